@@ -59,7 +59,7 @@ case account_type when 'savings' then 'savings' when 'credit' then 'debt_payoff'
 case when account_id % 2 = 0 then name end as linked_account_name,
 cast(abs(balance) * 2 as decimal(15,2)) as target_amount,
 cast(abs(balance) * 3 as decimal(15,2)) as original_debt,
-cast(abs(balance) / 4 + 100 as decimal(15,2)) as spending_limit,
+cast(abs(balance) + 100 as decimal(15,2)) as spending_limit,
 case when account_id % 4 = 1 then '1-URGENT' when account_id % 4 = 3 then '2-HIGH' end as category,
 cast(date '2001-08-01' + cast(account_id % 400 - 100 as integer) as date) as deadline
 from accounts""",

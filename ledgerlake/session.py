@@ -32,6 +32,7 @@ def local_session(cores: str = "*", shuffle_partitions: int = 8, app: str = "led
         .config("spark.sql.shuffle.partitions", str(shuffle_partitions))
         .config("spark.driver.memory", os.environ.get("LEDGERLAKE_DRIVER_MEMORY", "16g"))
         .config("spark.sql.warehouse.dir", tempfile.mkdtemp(prefix="ledgerlake-wh-"))
+        .config("spark.ui.showConsoleProgress", "false")
     )
     for k, v in BASE_CONF.items():
         builder = builder.config(k, v)

@@ -174,7 +174,7 @@ def goals(spark: SparkSession, d: str) -> DataFrame:
         F.when(F.col("account_id") % 2 == 0, F.col("name")).alias("linked_account_name"),
         (F.abs(bal) * 2).cast("decimal(15,2)").alias("target_amount"),
         (F.abs(bal) * 3).cast("decimal(15,2)").alias("original_debt"),
-        (F.abs(bal) / 4 + 100).cast("decimal(15,2)").alias("spending_limit"),
+        (F.abs(bal) + 100).cast("decimal(15,2)").alias("spending_limit"),
         F.when(F.col("account_id") % 4 == 1, "1-URGENT").when(F.col("account_id") % 4 == 3, "2-HIGH").alias("category"),
         F.date_add(F.lit(BANK_AS_OF.date()), (F.col("account_id") % 400).cast("int") - 100).alias("deadline"),
     )
