@@ -63,6 +63,23 @@ cast(abs(balance) + 100 as decimal(15,2)) as spending_limit,
 case when account_id % 4 = 1 then '1-URGENT' when account_id % 4 = 3 then '2-HIGH' end as category,
 cast(date '2001-08-01' + cast(account_id % 400 - 100 as integer) as date) as deadline
 from accounts""",
+    "loans": """select c_custkey as loan_id, cast(10000 + (c_custkey % 50) * 5000 as double) as principal,
+case when c_custkey % 37 = 0 then 0.0 else cast(c_custkey % 8 as double) + 1.5 end as annual_rate,
+case c_custkey % 4 when 0 then 10 when 1 then 15 when 2 then 20 else 30 end as term_years,
+cast((c_custkey % 5) * 100 as double) as extra_payment from customer""",
+    "savings_plans": """select c_custkey as plan_id, abs(c_acctbal) as initial_deposit,
+cast((c_custkey % 10) * 100 as double) as monthly_contribution, cast(c_custkey % 9 as double) as annual_return,
+cast(5 + c_custkey % 26 as integer) as years from customer""",
+    "budget_plans": """select c_custkey as plan_id, cast(3000 + (c_custkey % 40) * 100 as double) as income,
+cast(20 + c_custkey % 20 as integer) as housing, cast(5 + c_custkey % 15 as integer) as transportation,
+cast(5 + c_custkey % 12 as integer) as food, cast(5 + c_custkey % 25 as integer) as savings from customer""",
+    "retirement_plans": """select c_custkey as plan_id, cast(25 + c_custkey % 30 as integer) as current_age,
+65 as retirement_age, abs(c_acctbal) * 10 as current_savings,
+cast(200 + (c_custkey % 9) * 100 as double) as monthly_contribution, cast(3 + c_custkey % 6 as double) as expected_return
+from customer""",
+    "emergency_plans": """select c_custkey as plan_id, cast(2000 + (c_custkey % 30) * 100 as double) as monthly_expenses,
+cast(3 + c_custkey % 4 as integer) as target_months, abs(c_acctbal) as current_savings,
+cast((c_custkey % 6) * 100 as double) as monthly_savings from customer""",
 }
 
 _DEPS = {n: [m for m in FIXTURE_SQL if m != n and re.search(rf"\b{m}\b", s)] for n, s in FIXTURE_SQL.items()}

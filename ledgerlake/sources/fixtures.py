@@ -178,3 +178,53 @@ def goals(spark: SparkSession, d: str) -> DataFrame:
         F.when(F.col("account_id") % 4 == 1, "1-URGENT").when(F.col("account_id") % 4 == 3, "2-HIGH").alias("category"),
         F.date_add(F.lit(BANK_AS_OF.date()), (F.col("account_id") % 400).cast("int") - 100).alias("deadline"),
     )
+
+
+# Scenario tables for the projection jobs (X1-X5): arithmetic on customer keys
+# and balances, one scenario per customer, including the edge cases (rate 0,
+# no contribution, no monthly saving, over-allocated budgets).
+
+def _cust(spark: SparkSession, d: str) -> DataFrame:
+    return read_table(spark, d, "customer")
+
+
+def loans(spark: SparkSession, d: str) -> DataFrame:
+    k = F.col("c_custkey")
+    return _cust(spark, d).select(
+        k.alias("loan_id"), (10000 + (k % 50) * 5000).cast("double").alias("principal"),
+        F.when(k % 37 == 0, F.lit(0.0)).otherwise((k % 8).cast("double") + 1.5).alias("annual_rate"),
+        F.when(k % 4 == 0, 10).when(k % 4 == 1, 15).when(k % 4 == 2, 20).otherwise(30).alias("term_years"),
+        ((k % 5) * 100).cast("double").alias("extra_payment"))
+
+
+def savings_plans(spark: SparkSession, d: str) -> DataFrame:
+    k = F.col("c_custkey")
+    return _cust(spark, d).select(
+        k.alias("plan_id"), F.abs("c_acctbal").alias("initial_deposit"),
+        ((k % 10) * 100).cast("double").alias("monthly_contribution"),
+        (k % 9).cast("double").alias("annual_return"), (5 + k % 26).cast("int").alias("years"))
+
+
+def budget_plans(spark: SparkSession, d: str) -> DataFrame:
+    k = F.col("c_custkey")
+    return _cust(spark, d).select(
+        k.alias("plan_id"), (3000 + (k % 40) * 100).cast("double").alias("income"),
+        (20 + k % 20).cast("int").alias("housing"), (5 + k % 15).cast("int").alias("transportation"),
+        (5 + k % 12).cast("int").alias("food"), (5 + k % 25).cast("int").alias("savings"))
+
+
+def retirement_plans(spark: SparkSession, d: str) -> DataFrame:
+    k = F.col("c_custkey")
+    return _cust(spark, d).select(
+        k.alias("plan_id"), (25 + k % 30).cast("int").alias("current_age"), F.lit(65).alias("retirement_age"),
+        (F.abs("c_acctbal") * 10).alias("current_savings"),
+        (200 + (k % 9) * 100).cast("double").alias("monthly_contribution"),
+        (3 + k % 6).cast("double").alias("expected_return"))
+
+
+def emergency_plans(spark: SparkSession, d: str) -> DataFrame:
+    k = F.col("c_custkey")
+    return _cust(spark, d).select(
+        k.alias("plan_id"), (2000 + (k % 30) * 100).cast("double").alias("monthly_expenses"),
+        (3 + k % 4).cast("int").alias("target_months"), F.abs("c_acctbal").alias("current_savings"),
+        ((k % 6) * 100).cast("double").alias("monthly_savings"))
