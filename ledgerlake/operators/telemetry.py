@@ -257,3 +257,62 @@ def list_sessions(sessions: DataFrame) -> DataFrame:
     """Each user's sessions, most recently updated first."""
     w = Window.partitionBy("user_id").orderBy(F.col("updated_at").desc(), F.col("session_id").desc())
     return sessions.select("user_id", "session_id", "updated_at", F.row_number().over(w).cast("bigint").alias("rank"))
+
+
+# ---------------------------------------------------------------- trace fan-out
+
+def explode_trace(raw: DataFrame) -> dict[str, DataFrame]:
+    """One raw agent trace -> chat_history, agent_traces and tool_usage rows.
+
+    ``raw``: trace_id, session_id, user_id, nodes_list array<string>,
+    event_times array<double> (seconds), messages array<string> (one JSON
+    array of messages per step).  As in the reference: the first step's
+    message list, when longer than two, is treated as replayed history and its
+    first ``len - 2`` entries are skipped in every step; a human / ai message
+    id is kept once per trace; a tool call is an AI message whose finish
+    reason is ``tool_calls``.
+    """
+    from pyspark.sql.types import ArrayType
+
+    from ..functions.json import MESSAGE_SCHEMA, message_fields
+
+    steps = raw.select("trace_id", "session_id", "user_id",
+                       F.posexplode(F.arrays_zip("nodes_list", "event_times", "messages")).alias("i", "s"))
+    steps = steps.select("trace_id", "session_id", "user_id", (F.col("i") + 1).cast("int").alias("step"),
+                         F.col("s.nodes_list").alias("agent_name"),
+                         F.round(F.col("s.event_times") * 1000).cast("int").alias("duration_ms"),
+                         F.from_json(F.col("s.messages"), ArrayType(MESSAGE_SCHEMA)).alias("msgs"))
+    first = steps.filter(F.col("step") == 1).select(
+        F.col("trace_id").alias("_t"),
+        F.when(F.size("msgs") > 2, F.size("msgs") - 2).otherwise(0).alias("skip_n"))
+    s = steps.join(first, steps["trace_id"] == first["_t"], "left").drop("_t")
+    kept = s.select("*", F.posexplode(F.slice("msgs", F.coalesce("skip_n", F.lit(0)) + 1,
+                                              F.greatest(F.size("msgs"), F.lit(1)))).alias("pos", "m"))
+    f = kept.select("trace_id", "session_id", "user_id", "step", "pos", "agent_name", "duration_ms",
+                    message_fields(F.col("m")).alias("f")).select("*", "f.*").drop("f")
+    cls, fin = F.col("message_class"), F.col("finish_reason")
+    mtype = (F.when(cls == "HumanMessage", "human")
+              .when((cls == "AIMessage") & (F.coalesce(fin, F.lit("")) == "tool_calls"), "tool_call")
+              .when(cls == "AIMessage", "ai").when(cls == "ToolMessage", "tool_result"))
+    rows = f.withColumn("message_type", mtype).filter(F.col("message_type").isNotNull())
+    rows = rows.withColumn("routing_step", F.when(F.col("message_type") == "human", 0).otherwise(F.col("step")))
+    w = Window.partitionBy("trace_id", "message_key").orderBy("step", "pos")
+    once = F.col("message_type").isin("human", "ai")
+    rows = rows.withColumn("_r", F.when(once, F.row_number().over(w)).otherwise(F.lit(1))).filter("_r = 1").drop("_r")
+    history = rows.select(
+        F.col("message_key").alias("message_id"), "session_id", "trace_id", "user_id",
+        F.when(F.col("message_type") != "human", F.col("agent_name")).alias("agent_name"), "routing_step",
+        "message_type", "content", "total_tokens", "completion_tokens", "prompt_tokens", "model_name",
+        "content_filter_results", "finish_reason",
+        F.when(F.col("message_type") == "ai", F.col("duration_ms")).alias("response_time_ms"),
+        F.coalesce("tool_call_id_out", "tool_call_id_in").alias("tool_call_id"),
+        F.coalesce("tool_name", "tool_result_name").alias("tool_name"), "tool_input",
+        F.when(F.col("message_type") == "tool_result", F.col("content")).alias("tool_output"))
+    wt = Window.partitionBy("trace_id").orderBy("step")
+    traces = steps.select("session_id", "trace_id", "user_id", F.col("step").alias("step_order"),
+                          F.lag("agent_name", 1, "system").over(wt).alias("from_agent"),
+                          F.col("agent_name").alias("current_agent"),
+                          F.col("duration_ms").alias("execution_duration_ms"))
+    usage = build_tool_usage(history.select("tool_call_id", "session_id", "trace_id", "message_type", "tool_name",
+                                            "tool_input", "tool_output", "agent_name", "total_tokens"))
+    return {"chat_history": history, "agent_traces": traces, "tool_usage": usage}

@@ -80,6 +80,13 @@ from customer""",
     "emergency_plans": """select c_custkey as plan_id, cast(2000 + (c_custkey % 30) * 100 as double) as monthly_expenses,
 cast(3 + c_custkey % 4 as integer) as target_months, abs(c_acctbal) as current_savings,
 cast((c_custkey % 6) * 100 as double) as monthly_savings from customer""",
+    "ai_widgets": """select user_id * 100 + j as widget_id, user_id,
+case when j >= 7 then 'simulation' else 'chart' end as widget_type,
+case when j >= 7 or (user_id + j) % 3 = 0 then 'static' else 'dynamic' end as data_mode, query_type,
+['last_6_months', 'this_year', 'last_3_months', 'all_time'][cast((user_id + j) % 4 + 1 as integer)] as time_range,
+'{"title":"' || query_type || ' widget","chartType":"bar","customProps":{"colors":["#3B82F6"],"data":[]}}' as config,
+timestamp '2001-07-01 00:00:00' + interval '1' hour * ((user_id * 7 + j * 13) % 500) as updated_at
+from (select user_id, unnest(generate_series(0, 11)) as j, unnest(['spending_by_category', 'monthly_trend', 'monthly_income_expenses', 'account_balances', 'top_merchants', 'daily_spending', 'category_trend', 'loan_repayment', 'savings_projector', 'budget_planner', 'retirement_calculator', 'emergency_fund']) as query_type from users) w""",
 }
 
 _DEPS = {n: [m for m in FIXTURE_SQL if m != n and re.search(rf"\b{m}\b", s)] for n, s in FIXTURE_SQL.items()}

@@ -228,3 +228,31 @@ def emergency_plans(spark: SparkSession, d: str) -> DataFrame:
         k.alias("plan_id"), (2000 + (k % 30) * 100).cast("double").alias("monthly_expenses"),
         (3 + k % 4).cast("int").alias("target_months"), F.abs("c_acctbal").alias("current_savings"),
         ((k % 6) * 100).cast("double").alias("monthly_savings"))
+
+
+# Widget kinds created per user (7 chart queries, 5 simulations)
+# and the time ranges cycled through.
+WIDGET_KINDS = ["spending_by_category", "monthly_trend", "monthly_income_expenses", "account_balances",
+                "top_merchants", "daily_spending", "category_trend",
+                "loan_repayment", "savings_projector", "budget_planner", "retirement_calculator", "emergency_fund"]
+WIDGET_RANGES = ["last_6_months", "this_year", "last_3_months", "all_time"]
+
+
+def ai_widgets(spark: SparkSession, d: str) -> DataFrame:
+    """One widget per (user, kind); every third chart is static; configs hold an empty data list."""
+    u = users(spark, d)
+    rows = u.select("user_id", F.posexplode(F.array(*[F.lit(k) for k in WIDGET_KINDS])).alias("j", "query_type"))
+    is_sim = F.col("j") >= 7
+    cfg = F.concat(F.lit('{"title":"'), F.col("query_type"), F.lit(' widget","chartType":"bar",'
+                                                                  '"customProps":{"colors":["#3B82F6"],"data":[]}}'))
+    return rows.select(
+        (F.col("user_id") * 100 + F.col("j")).alias("widget_id"), "user_id",
+        F.when(is_sim, "simulation").otherwise("chart").alias("widget_type"),
+        F.when(is_sim | ((F.col("user_id") + F.col("j")) % 3 == 0), "static").otherwise("dynamic").alias("data_mode"),
+        "query_type",
+        F.element_at(F.array(*[F.lit(r) for r in WIDGET_RANGES]), ((F.col("user_id") + F.col("j")) % 4 + 1).cast("int"))
+         .alias("time_range"),
+        cfg.alias("config"),
+        (F.lit("2001-07-01 00:00:00").cast("timestamp_ntz")
+         + F.make_dt_interval(hours=((F.col("user_id") * 7 + F.col("j") * 13) % 500).cast("int"))).alias("updated_at"),
+    )
