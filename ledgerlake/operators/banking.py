@@ -459,7 +459,7 @@ def credit_outstanding(acc: DataFrame, credit_limit: float = 10000.0) -> DataFra
     c = acc.filter(F.col("account_type") == "credit")
     per_user = c.groupBy("user_id").agg(F.sum(F.abs("balance")).alias("o"), F.count(F.lit(1)).alias("n_credit"))
     return per_user.select("user_id", money("o").alias("outstanding"), "n_credit",
-                           F.round(F.col("o").cast("double") / (F.col("n_credit") * credit_limit) * 100, 4)
+                           F.round(F.col("o").cast("double") / (F.col("n_credit") * credit_limit) * 100, 6)
                            .alias("utilisation_pct"))
 
 

@@ -330,7 +330,7 @@ def a36(spark, d):
 
 @register("a37_credit_outstanding", """
 select user_id, round(cast(sum(abs(balance)) as double), 2) as outstanding, count(*) as n_credit,
-  round(cast(sum(abs(balance)) as double) / (count(*) * cast(10000.0 as double)) * 100, 4) as utilisation_pct
+  round(cast(sum(abs(balance)) as double) / (count(*) * cast(10000.0 as double)) * 100, 6) as utilisation_pct
 from accounts where account_type = 'credit' group by user_id""")
 def a37(spark, d):
     return B.credit_outstanding(X.accounts(spark, d), credit_limit=10000.0)
