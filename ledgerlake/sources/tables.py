@@ -42,3 +42,4 @@ def read_path_or_empty(spark: SparkSession, path: str, schema: StructType) -> Da
         if "PATH_NOT_FOUND" in str(exc) or "does not exist" in str(exc):
             return spark.createDataFrame([], schema)
         raise
+
