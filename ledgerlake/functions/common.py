@@ -156,6 +156,13 @@ def fmt_month(c: Column | str) -> Column:
     return F.date_format(c, MONTH_LABEL)
 
 
+def fmt_iso(c: Column | str) -> Column:
+    """F8: ISO-8601 like Python's isoformat: the fraction only when microseconds are non-zero."""
+    c = F.col(c) if isinstance(c, str) else c
+    whole = F.date_format(c, "yyyy-MM-dd'T'HH:mm:ss")
+    return F.when(F.date_format(c, "SSSSSS") == "000000", whole).otherwise(F.date_format(c, "yyyy-MM-dd'T'HH:mm:ss.SSSSSS"))
+
+
 def fmt_day(c: Column | str) -> Column:
     return F.date_format(c, "yyyy-MM-dd")
 

@@ -28,11 +28,18 @@ from ..functions.common import (fmt_day, fmt_month, in_period, label, largest_pe
 # ---------------------------------------------------------------- filters
 
 def for_user(df: DataFrame, ids, col: str = "user_id") -> DataFrame:
-    """Scope to one or more users."""
+    """Scope to one or more users: a literal id list, or a frame of ids (semi-join, any size)."""
+    if isinstance(ids, DataFrame):
+        return df.join(ids.select(F.col(ids.columns[0]).alias(col)).distinct(), col, "left_semi")
     ids = [ids] if not isinstance(ids, (list, tuple, set)) else list(ids)
     return df.filter(F.col(col).isin(ids))
 
 
+def topn(df: DataFrame, n: int, order: list[Column]) -> DataFrame:
+    """The first ``n`` rows in ``order`` (TakeOrderedAndProject: n per partition, then merged)."""
+    return df.orderBy(*order).limit(n)
+
+
 def apply_filters(tx: DataFrame, acc: DataFrame, filters: dict | None) -> tuple[DataFrame, DataFrame]:
     """Optional category list, account id and account type filters."""
     f = filters or {}
