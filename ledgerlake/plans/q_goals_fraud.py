@@ -22,7 +22,7 @@ LINKED = """(select n.u, n.name, n.linked_id, a.balance as bal
   join accounts a on a.account_id = n.linked_id)"""
 
 
-@register("a14_goal_savings", f"""
+A14_SQL = f"""
 select goal_id, user_id, round(cast(cur as double), 2) as current_amount, round(cast(target_amount as double), 2) as target_amount,
   round(case when target_amount > 0 then least(100.0, cast(cur as double) / cast(target_amount as double) * 100) else 0.0 end, 1)
     as progress_percent,
@@ -39,12 +39,15 @@ from (select g.*, l.linked_id, c.contrib,
       left join (select to_account_id, sum(amount) as contrib from transactions
                  where type in ('deposit', 'transfer') and created_at between {sql_ts(SINCE30)} and {sql_ts(AS_OF)}
                  group by 1) c on c.to_account_id = l.linked_id
-      where g.goal_type = 'savings') x""")
+      where g.goal_type = 'savings') x"""
+
+
+@register("a14_goal_savings", A14_SQL)
 def a14(spark, d):
     return G.goal_savings(X.goals(spark, d), X.accounts(spark, d), X.transactions(spark, d), AS_OF)
 
 
-@register("a15_goal_debt", f"""
+A15_SQL = f"""
 select goal_id, user_id, round(cast(cur as double), 2) as current_debt, round(cast(original_debt as double), 2) as original_debt,
   round(cast(greatest(0, original_debt - cur) as double), 2) as amount_paid,
   round(case when original_debt > 0 then least(100.0, cast(greatest(0, original_debt - cur) as double)
@@ -55,7 +58,10 @@ from (select g.*, case when g.linked_account_name is not null then coalesce(abs(
       left join {LINKED} l on l.u = g.user_id and l.name = g.linked_account_name
       left join (select user_id, sum(abs(balance)) as tot from accounts where account_type = 'credit' group by 1) s
         on s.user_id = g.user_id
-      where g.goal_type = 'debt_payoff') x""")
+      where g.goal_type = 'debt_payoff') x"""
+
+
+@register("a15_goal_debt", A15_SQL)
 def a15(spark, d):
     return G.goal_debt(X.goals(spark, d), X.accounts(spark, d))
 
@@ -65,7 +71,7 @@ SPEND_CAT = f"""(select a.user_id, t.category, sum(t.amount) as s from transacti
   where t.type = 'payment' and t.created_at between {sql_ts(S3)} and {sql_ts(E)} group by 1, 2)"""
 
 
-@register("a16_goal_spending_limit", f"""
+A16_SQL = f"""
 select goal_id, user_id, round(cast(spent as double), 2) as current_spending,
   round(cast(spending_limit as double), 2) as spending_limit,
   round(cast(greatest(0, spending_limit - spent) as double), 2) as remaining,
@@ -76,7 +82,10 @@ from (select g.*, case when g.category is not null then coalesce(c.s, 0) else co
       from goals g
       left join (select user_id, sum(s) as s from {SPEND_CAT} sc group by 1) u on u.user_id = g.user_id
       left join {SPEND_CAT} c on c.user_id = g.user_id and c.category = g.category
-      where g.goal_type = 'spending_limit') x""")
+      where g.goal_type = 'spending_limit') x"""
+
+
+@register("a16_goal_spending_limit", A16_SQL)
 def a16(spark, d):
     return G.goal_spending_limit(X.goals(spark, d), X.transactions(spark, d), X.accounts(spark, d), AS_OF,
                                  "last_3_months")
@@ -90,7 +99,22 @@ def _all_progress(spark, d):
             .unionByName(G.goal_spending_limit(goals, tx, acc, AS_OF, "last_3_months").select(*cols)))
 
 
-@register("a17_goal_status", None)
+def _strip(sql: str) -> str:
+    return sql.strip()
+
+
+@register("a17_goal_status", f"""
+select p.goal_id, p.user_id, g.goal_type, p.progress_percent,
+  case when g.deadline is not null then
+    cast(ceil((epoch(cast(g.deadline as timestamp)) - epoch({sql_ts(AS_OF)})) / 86400.0) as bigint) end as days_remaining,
+  case when g.goal_type = 'spending_limit' then
+         case when p.progress_percent >= 100 then 'red' when p.progress_percent >= 80 then 'amber' else 'green' end
+       else case when p.progress_percent >= 100 then 'green' when p.progress_percent >= 50 then 'blue' else 'indigo' end
+  end as band
+from (select goal_id, user_id, progress_percent from ({_strip(A14_SQL)}) s
+      union all select goal_id, user_id, progress_percent from ({_strip(A15_SQL)}) t
+      union all select goal_id, user_id, progress_percent from ({_strip(A16_SQL)}) u) p
+join goals g on g.goal_id = p.goal_id""")
 def a17(spark, d):
     return G.goal_status(_all_progress(spark, d), X.goals(spark, d), AS_OF)
 
