@@ -33,9 +33,8 @@ SCORE_FIELDS = [f"{m}{s}" for m in METRICS for s in ("", "_reason", "_result", "
 
 def qa_pairs(ch: DataFrame) -> DataFrame:
     """Human question joined to ai answer on (trace_id, session_id); both texts non-null."""
-    msgs = conversation_messages(ch)
-    w = Window.partitionBy("session_id").orderBy("trace_end", "trace_id", "routing_step", "message_id")
-    msgs = msgs.withColumn("turn_number", F.row_number().over(w).cast("bigint"))
+    from .telemetry import turn_number
+    msgs = turn_number(conversation_messages(ch))
     q = msgs.filter(F.col("message_type") == "human").alias("q")
     a = msgs.filter(F.col("message_type") == "ai").alias("a")
     j = q.join(a, (F.col("q.trace_id") == F.col("a.trace_id")) & (F.col("q.session_id") == F.col("a.session_id")))

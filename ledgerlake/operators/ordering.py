@@ -5,7 +5,9 @@ to one task.  ``ordinal_within`` range-partitions by (key, order) instead, so a
 hot key spans several partitions; it numbers rows inside each
 (partition, key) slice and adds, per key, the row counts of the key's earlier
 slices.  Slices are bounded by partition size; the offset table has one row per
-(partition, key) slice.
+(partition, key) slice.  The range-partitioned rows are checkpointed once
+(one write, like a shuffle) so partition ids cannot drift between the two
+branches of the plan or across task retries.
 """
 
 from __future__ import annotations
@@ -19,7 +21,10 @@ def ordinal_within(df: DataFrame, key: str, order: list[str], name: str, partiti
     """``df`` with ``name`` = 1, 2, ... per ``key`` in ``order`` (``order`` must end in a unique column)."""
     spark = df.sparkSession
     p = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
-    ranged = df.repartitionByRange(p, key, *order).withColumn("_p", F.spark_partition_id())
+    # The partition id must mean the same slice in both branches below (and after
+    # a retry): the range partitioner samples its input, so the partitioned rows
+    # are frozen with a reliable checkpoint in the shared checkpoint folder.
+    ranged = df.repartitionByRange(p, key, *order).withColumn("_p", F.spark_partition_id()).checkpoint(eager=True)
     local = ranged.withColumn("_lr", F.row_number().over(Window.partitionBy("_p", key).orderBy(*order)))
     counts = local.groupBy("_p", key).agg(F.count(F.lit(1)).alias("_c"))
     earlier = Window.partitionBy(key).orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)

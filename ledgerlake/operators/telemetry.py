@@ -42,9 +42,9 @@ def conversation_messages(ch: DataFrame) -> DataFrame:
 
 
 def turn_number(msgs: DataFrame) -> DataFrame:
-    """Order of each message within its session (D1 tie-break)."""
-    w = Window.partitionBy("session_id").orderBy(*ORDER_KEYS)
-    return msgs.withColumn("turn_number", F.row_number().over(w).cast("bigint"))
+    """Order of each message within its session (D1 tie-break); a huge session stays distributed."""
+    from .ordering import ordinal_within
+    return ordinal_within(msgs, "session_id", ORDER_KEYS, "turn_number")
 
 
 def agent_hops(steps: DataFrame, key: str = "trace_id") -> DataFrame:
@@ -246,17 +246,22 @@ def rebuild_transcript(ch: DataFrame) -> DataFrame:
     msgs = ch.filter(F.col("message_type").isin("human", "ai"))
     first = msgs.groupBy(F.col("trace_id").alias("_t")).agg(F.min("trace_end").alias("_trace_first"))
     j = msgs.join(first, msgs["trace_id"] == first["_t"]).drop("_t")
+    from .ordering import ordinal_within
     prio = F.when(F.col("message_type") == "human", PRIORITY["human"]).when(F.col("message_type") == "ai", PRIORITY["ai"]) \
         .otherwise(OTHER_PRIORITY)
-    w = Window.partitionBy("session_id").orderBy("_trace_first", "trace_id", prio, "trace_end", "message_id")
-    return j.select("session_id", "trace_id", "message_type", "content",
-                    F.row_number().over(w).cast("bigint").alias("position"))
+    keyed = j.withColumn("_prio", prio)
+    ranked = ordinal_within(keyed, "session_id", ["_trace_first", "trace_id", "_prio", "trace_end", "message_id"],
+                            "position")
+    return ranked.select("session_id", "trace_id", "message_type", "content", "position")
 
 
 def list_sessions(sessions: DataFrame) -> DataFrame:
-    """Each user's sessions, most recently updated first."""
-    w = Window.partitionBy("user_id").orderBy(F.col("updated_at").desc(), F.col("session_id").desc())
-    return sessions.select("user_id", "session_id", "updated_at", F.row_number().over(w).cast("bigint").alias("rank"))
+    """Each user's sessions, most recently updated first (a user with very many sessions stays distributed)."""
+    from .ordering import ordinal_within
+    keyed = sessions.select("user_id", "session_id", "updated_at",
+                            (-F.unix_micros(F.col("updated_at").cast("timestamp"))).alias("_k1"),
+                            (-F.col("session_id")).alias("_k2"))
+    return ordinal_within(keyed, "user_id", ["_k1", "_k2"], "rank").drop("_k1", "_k2")
 
 
 # ---------------------------------------------------------------- trace fan-out

@@ -144,6 +144,8 @@ def widget_counts(widgets: DataFrame) -> DataFrame:
 
 def list_widgets(widgets: DataFrame) -> DataFrame:
     """T6 (widgets): each user's widgets, most recently updated first."""
-    from pyspark.sql.window import Window
-    w = Window.partitionBy("user_id").orderBy(F.col("updated_at").desc(), F.col("widget_id").desc())
-    return widgets.select("user_id", "widget_id", "updated_at", F.row_number().over(w).cast("bigint").alias("rank"))
+    from .ordering import ordinal_within
+    keyed = widgets.select("user_id", "widget_id", "updated_at",
+                           (-F.unix_micros(F.col("updated_at").cast("timestamp"))).alias("_k1"),
+                           (-F.col("widget_id")).alias("_k2"))
+    return ordinal_within(keyed, "user_id", ["_k1", "_k2"], "rank").drop("_k1", "_k2")

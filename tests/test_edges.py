@@ -354,3 +354,18 @@ def test_pluggable_scorer_runs_per_batch(spark):
         return pd.DataFrame(res)
     df = spark.createDataFrame([("q", "a")], "user_question string, agent_answer string")
     assert EV.score_pairs(df, scorer).select("evaluation_results.relevance").first()[0] == 4.0
+
+
+# ---------------------------------------------------------------- hot keys
+
+def test_ordinal_within_splits_a_hot_key_and_stays_exact(spark):
+    from ledgerlake.operators.ordering import ordinal_within
+    rows = [(1 if i % 10 else 2 + i, 1000 - i, i) for i in range(2000)]      # key 1 holds 90 % of rows
+    df = spark.createDataFrame(rows, "k bigint, t bigint, id bigint")
+    out = ordinal_within(df, "k", ["t", "id"], "n", partitions=16)
+    got = {r["id"]: r["n"] for r in out.collect()}
+    hot = sorted((t, i) for k, t, i in rows if k == 1)
+    assert [got[i] for _, i in hot] == list(range(1, len(hot) + 1))
+    assert all(got[i] == 1 for k, t, i in rows if k != 1)
+    ranged = df.repartitionByRange(16, "k", "t", "id").withColumn("p", F.spark_partition_id())
+    assert ranged.filter("k = 1").select("p").distinct().count() > 1       # the hot key spans tasks
