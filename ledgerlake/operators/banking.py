@@ -92,49 +92,91 @@ def _users_with_accounts(acc: DataFrame) -> DataFrame:
 
 
 # ---------------------------------------------------------------- widgets A1-A7
+#
+# Each widget query takes one range name, or a list ``ranges`` to compute many
+# periods in one pass: a transaction is exploded into every period it falls in
+# (behind one coarse date filter that still reaches the parquet scan) and
+# ``time_range`` becomes one more grouping key.  Bulk widget refresh uses this
+# so the transactions are read once per query type, not once per period.
+
+
+def _bounds(as_of: datetime, ranges: list[str], month_floor: bool = False) -> list[tuple[str, datetime, datetime]]:
+    out = []
+    for r in ranges:
+        s, e = time_range(r, as_of)
+        out.append((r, datetime(s.year, s.month, 1) if month_floor else s, e))
+    return out
+
+
+def _in_periods(tx: DataFrame, as_of: datetime, ranges: list[str], month_floor: bool = False) -> DataFrame:
+    """Rows of ``tx`` tagged with each period (``time_range``) whose [start, end] holds ``created_at``."""
+    b = _bounds(as_of, ranges, month_floor)
+    t = tx.filter(in_period("created_at", min(x[1] for x in b), max(x[2] for x in b)))
+    if len(b) == 1:
+        return t.withColumn("time_range", F.lit(b[0][0]))
+    periods = F.array(*[F.struct(F.lit(r).alias("r"), ts_lit(s).alias("s"), ts_lit(e).alias("e")) for r, s, e in b])
+    hits = F.filter(periods, lambda p: F.col("created_at").between(p["s"], p["e"]))
+    return t.withColumn("time_range", F.explode(F.transform(hits, lambda p: p["r"])))
+
+
+def _month_spines(as_of: datetime, ranges: list[str]) -> Column:
+    """Map time_range -> array of its month starts (the zero-fill spine of each period)."""
+    return F.create_map(*[x for r in ranges for x in (F.lit(r), month_spine(*time_range(r, as_of)))])
+
+
+def _spine(users: DataFrame, as_of: datetime, ranges: list[str]) -> DataFrame:
+    per = users.select("user_id", F.explode(F.array(*[F.lit(r) for r in ranges])).alias("time_range"))
+    return per.select("user_id", "time_range",
+                      F.explode(F.element_at(_month_spines(as_of, ranges), F.col("time_range"))).alias("month"))
+
+
+def _finish(df: DataFrame, ranges: list[str] | None) -> DataFrame:
+    return df if ranges else df.drop("time_range")
+
 
 def spending_by_category(tx: DataFrame, acc: DataFrame, as_of: datetime, range_name: str = "last_6_months",
-                         filters: dict | None = None) -> DataFrame:
+                         filters: dict | None = None, ranges: list[str] | None = None) -> DataFrame:
     """A1: payments per user and category in the range; NULL / '' -> Uncategorized."""
-    start, end = time_range(range_name, as_of)
     tx, acc = apply_filters(tx, acc, filters)
-    pay = tx.filter((F.col("type") == "payment") & in_period("created_at", start, end))
-    agg = _per_user(pay, acc, F.col("from_account_id"), ["category"], {"value": ("sum", F.col("amount"))})
-    return agg.select("user_id", label("category", "Uncategorized").alias("name"), money("value").alias("value"))
+    pay = _in_periods(tx.filter(F.col("type") == "payment"), as_of, ranges or [range_name])
+    agg = _per_user(pay, acc, F.col("from_account_id"), ["time_range", "category"], {"value": ("sum", F.col("amount"))})
+    return _finish(agg.select("user_id", "time_range", label("category", "Uncategorized").alias("name"),
+                              money("value").alias("value")), ranges)
 
 
 def monthly_trend(tx: DataFrame, acc: DataFrame, as_of: datetime, range_name: str = "last_6_months",
-                  filters: dict | None = None) -> DataFrame:
+                  filters: dict | None = None, ranges: list[str] | None = None) -> DataFrame:
     """A2: payments per user and calendar month, every month present (zero-filled)."""
-    start, end = time_range(range_name, as_of)
+    rs = ranges or [range_name]
     tx, acc = apply_filters(tx, acc, filters)
-    first_month = datetime(start.year, start.month, 1)
-    pay = tx.filter((F.col("type") == "payment") & in_period("created_at", first_month, end))
-    sums = _per_user(pay, acc, F.col("from_account_id"), [F.date_trunc("month", "created_at").alias("month")],
+    pay = _in_periods(tx.filter(F.col("type") == "payment"), as_of, rs, month_floor=True)
+    sums = _per_user(pay, acc, F.col("from_account_id"),
+                     ["time_range", F.date_trunc("month", "created_at").alias("month")],
                      {"value": ("sum", F.col("amount"))})
-    spine = _users_with_accounts(acc).select("user_id", F.explode(month_spine(start, end)).alias("month"))
-    return (spine.join(sums, ["user_id", "month"], "left")
-                 .select("user_id", "month", fmt_month("month").alias("name"),
-                         money(F.coalesce("value", F.lit(0))).alias("value")))
+    spine = _spine(_users_with_accounts(acc), as_of, rs)
+    out = (spine.join(sums, ["user_id", "time_range", "month"], "left")
+                .select("user_id", "time_range", "month", fmt_month("month").alias("name"),
+                        money(F.coalesce("value", F.lit(0))).alias("value")))
+    return _finish(out, ranges)
 
 
 def monthly_income_expenses(tx: DataFrame, acc: DataFrame, as_of: datetime, range_name: str = "last_6_months",
-                            filters: dict | None = None) -> DataFrame:
+                            filters: dict | None = None, ranges: list[str] | None = None) -> DataFrame:
     """A3: deposits into and payments out of the user's accounts per month, zero-filled."""
-    start, end = time_range(range_name, as_of)
+    rs = ranges or [range_name]
     tx, acc = apply_filters(tx, acc, filters)
-    first_month = datetime(start.year, start.month, 1)
-    t = tx.filter(F.col("type").isin("deposit", "payment") & in_period("created_at", first_month, end))
+    t = _in_periods(tx.filter(F.col("type").isin("deposit", "payment")), as_of, rs, month_floor=True)
     acct = F.when(F.col("type") == "deposit", F.col("to_account_id")).otherwise(F.col("from_account_id"))
-    sums = _per_user(t, acc, acct, [F.date_trunc("month", "created_at").alias("month")], {
+    sums = _per_user(t, acc, acct, ["time_range", F.date_trunc("month", "created_at").alias("month")], {
         "income": ("sum", F.when(F.col("type") == "deposit", F.col("amount"))),
         "expenses": ("sum", F.when(F.col("type") == "payment", F.col("amount"))),
     })
-    spine = _users_with_accounts(acc).select("user_id", F.explode(month_spine(start, end)).alias("month"))
-    return (spine.join(sums, ["user_id", "month"], "left")
-                 .select("user_id", "month", fmt_month("month").alias("name"),
-                         money(F.coalesce("income", F.lit(0))).alias("income"),
-                         money(F.coalesce("expenses", F.lit(0))).alias("expenses")))
+    spine = _spine(_users_with_accounts(acc), as_of, rs)
+    out = (spine.join(sums, ["user_id", "time_range", "month"], "left")
+                .select("user_id", "time_range", "month", fmt_month("month").alias("name"),
+                        money(F.coalesce("income", F.lit(0))).alias("income"),
+                        money(F.coalesce("expenses", F.lit(0))).alias("expenses")))
+    return _finish(out, ranges)
 
 
 def account_balances(acc: DataFrame, account_type: str | None = None) -> DataFrame:
@@ -157,57 +199,62 @@ def top_per(df: DataFrame, keys: list[str], order: list[Column], k: int, rank_co
 
 
 def top_merchants(tx: DataFrame, acc: DataFrame, as_of: datetime, range_name: str = "last_6_months",
-                  limit: int = 10, filters: dict | None = None) -> DataFrame:
+                  limit: int = 10, filters: dict | None = None, ranges: list[str] | None = None) -> DataFrame:
     """A5: payment sum and count per description, best ``limit`` per user."""
-    start, end = time_range(range_name, as_of)
     tx, acc = apply_filters(tx, acc, filters)
-    pay = tx.filter((F.col("type") == "payment") & in_period("created_at", start, end))
-    agg = _per_user(pay, acc, F.col("from_account_id"), ["description"],
+    pay = _in_periods(tx.filter(F.col("type") == "payment"), as_of, ranges or [range_name])
+    agg = _per_user(pay, acc, F.col("from_account_id"), ["time_range", "description"],
                     {"value": ("sum", F.col("amount")), "transactions": ("count", F.col("id"))})
-    top = top_per(agg, ["user_id"], [F.col("value").desc(), F.col("description").asc_nulls_last()], limit)
-    return top.select("user_id", "rank", label("description", "Unknown").alias("name"),
-                      money("value").alias("value"), F.col("transactions").cast("bigint").alias("transactions"))
+    top = top_per(agg, ["user_id", "time_range"], [F.col("value").desc(), F.col("description").asc_nulls_last()],
+                  limit)
+    return _finish(top.select("user_id", "time_range", "rank", label("description", "Unknown").alias("name"),
+                              money("value").alias("value"), F.col("transactions").cast("bigint").alias("transactions")),
+                   ranges)
 
 
 def daily_spending(tx: DataFrame, acc: DataFrame, as_of: datetime, range_name: str = "last_6_months",
-                   filters: dict | None = None) -> DataFrame:
+                   filters: dict | None = None, ranges: list[str] | None = None) -> DataFrame:
     """Payments per user and day."""
-    start, end = time_range(range_name, as_of)
     tx, acc = apply_filters(tx, acc, filters)
-    pay = tx.filter((F.col("type") == "payment") & in_period("created_at", start, end))
-    agg = _per_user(pay, acc, F.col("from_account_id"), [F.to_date("created_at").alias("date")],
+    pay = _in_periods(tx.filter(F.col("type") == "payment"), as_of, ranges or [range_name])
+    agg = _per_user(pay, acc, F.col("from_account_id"), ["time_range", F.to_date("created_at").alias("date")],
                     {"value": ("sum", F.col("amount"))})
-    return agg.select("user_id", "date", fmt_day("date").alias("name"), money("value").alias("value"))
+    return _finish(agg.select("user_id", "time_range", "date", fmt_day("date").alias("name"),
+                              money("value").alias("value")), ranges)
 
 
 def category_trend(tx: DataFrame, acc: DataFrame, as_of: datetime, range_name: str = "last_6_months",
-                   categories: list[str] | None = None, top_n: int = 5, filters: dict | None = None) -> DataFrame:
+                   categories: list[str] | None = None, top_n: int = 5, filters: dict | None = None,
+                   ranges: list[str] | None = None) -> DataFrame:
     """Month x category spending, long form, zero-filled.
 
     Categories are the given list, else each user's top ``top_n`` by spend in
     the range; a NULL category can take a slot and is then dropped (D11).
     ``pivot_category_trend`` turns this into the reference's wide rows.
     """
-    start, end = time_range(range_name, as_of)
+    rs = ranges or [range_name]
     tx, acc = apply_filters(tx, acc, filters)
-    first_month = datetime(start.year, start.month, 1)
-    pay = tx.filter((F.col("type") == "payment") & in_period("created_at", first_month, end))
-    monthly = _per_user(pay, acc, F.col("from_account_id"),
-                        ["category", F.date_trunc("month", "created_at").alias("month")],
+    payments = tx.filter(F.col("type") == "payment")
+    monthly = _per_user(_in_periods(payments, as_of, rs, month_floor=True), acc, F.col("from_account_id"),
+                        ["time_range", "category", F.date_trunc("month", "created_at").alias("month")],
                         {"value": ("sum", F.col("amount"))})
     users = _users_with_accounts(acc)
     if categories:
-        cats = users.select("user_id", F.explode(F.array(*[F.lit(c) for c in categories])).alias("category"))
+        cats = users.select("user_id", F.explode(F.array(*[F.lit(r) for r in rs])).alias("time_range")) \
+            .select("user_id", "time_range", F.explode(F.array(*[F.lit(c) for c in categories])).alias("category"))
     else:
-        in_range = pay.filter(in_period("created_at", start, end))
-        totals = _per_user(in_range, acc, F.col("from_account_id"), ["category"], {"total": ("sum", F.col("amount"))})
-        cats = (top_per(totals, ["user_id"], [F.col("total").desc(), F.col("category").asc_nulls_first()], top_n)
+        totals = _per_user(_in_periods(payments, as_of, rs), acc, F.col("from_account_id"),
+                           ["time_range", "category"], {"total": ("sum", F.col("amount"))})
+        cats = (top_per(totals, ["user_id", "time_range"], [F.col("total").desc(), F.col("category").asc_nulls_first()],
+                        top_n)
                 .filter(F.col("category").isNotNull() & (F.col("category") != ""))
-                .select("user_id", "category"))
-    grid = cats.select("user_id", "category", F.explode(month_spine(start, end)).alias("month"))
-    return (grid.join(monthly, ["user_id", "category", "month"], "left")
-                .select("user_id", "month", fmt_month("month").alias("name"), "category",
-                        money(F.coalesce("value", F.lit(0))).alias("value")))
+                .select("user_id", "time_range", "category"))
+    grid = cats.select("user_id", "time_range", "category",
+                       F.explode(F.element_at(_month_spines(as_of, rs), F.col("time_range"))).alias("month"))
+    out = (grid.join(monthly, ["user_id", "time_range", "category", "month"], "left")
+               .select("user_id", "time_range", "month", fmt_month("month").alias("name"), "category",
+                       money(F.coalesce("value", F.lit(0))).alias("value")))
+    return _finish(out, ranges)
 
 
 def pivot_category_trend(long_df: DataFrame, categories: list[str]) -> DataFrame:

@@ -33,23 +33,27 @@ CONFIG_SCHEMA = StructType([
 
 
 def run_query(name: str, tx: DataFrame, acc: DataFrame, as_of: datetime, time_range: str = "last_6_months",
-              filters: dict | None = None) -> DataFrame | None:
-    """V7: dispatch a widget query by name; unknown names give None (the reference returns [])."""
+              filters: dict | None = None, ranges: list[str] | None = None) -> DataFrame | None:
+    """V7: dispatch a widget query by name; unknown names give None (the reference returns []).
+
+    With ``ranges`` the result carries ``time_range`` and covers all of them in one pass.
+    """
     f = filters or {}
     if name == "spending_by_category":
-        return B.spending_by_category(tx, acc, as_of, time_range, f)
+        return B.spending_by_category(tx, acc, as_of, time_range, f, ranges=ranges)
     if name == "monthly_trend":
-        return B.monthly_trend(tx, acc, as_of, time_range, f)
+        return B.monthly_trend(tx, acc, as_of, time_range, f, ranges=ranges)
     if name == "monthly_income_expenses":
-        return B.monthly_income_expenses(tx, acc, as_of, time_range, f)
+        return B.monthly_income_expenses(tx, acc, as_of, time_range, f, ranges=ranges)
     if name == "account_balances":
-        return B.account_balances(acc, f.get("account_type"))
+        out = B.account_balances(acc, f.get("account_type"))
+        return out.withColumn("time_range", F.explode(F.array(*[F.lit(r) for r in ranges]))) if ranges else out
     if name == "top_merchants":
-        return B.top_merchants(tx, acc, as_of, time_range, int(f.get("limit", 10)), f)
+        return B.top_merchants(tx, acc, as_of, time_range, int(f.get("limit", 10)), f, ranges=ranges)
     if name == "daily_spending":
-        return B.daily_spending(tx, acc, as_of, time_range, f)
+        return B.daily_spending(tx, acc, as_of, time_range, f, ranges=ranges)
     if name == "category_trend":
-        return B.category_trend(tx, acc, as_of, time_range, f.get("categories"), filters=f)
+        return B.category_trend(tx, acc, as_of, time_range, f.get("categories"), filters=f, ranges=ranges)
     return None
 
 
@@ -81,28 +85,30 @@ def _point_order(name: str) -> Column:
 
 
 def widget_points(name: str, result: DataFrame) -> DataFrame:
-    """(user_id, order, point JSON) for one query result; the JSON carries the chart fields."""
-    drop = {"user_id", "month", "date", "rank", "account_id"}
+    """(user_id[, time_range], order, point JSON) for one query result; the JSON carries the chart fields."""
+    drop = {"user_id", "month", "date", "rank", "account_id", "time_range"}
     fields = [c for c in result.columns if c not in drop]
-    return result.select("user_id", _point_order(name).alias("_o"), F.to_json(F.struct(*fields)).alias("point"))
+    keep = ["user_id"] + (["time_range"] if "time_range" in result.columns else [])
+    return result.select(*keep, _point_order(name).alias("_o"), F.to_json(F.struct(*fields)).alias("point"))
 
 
 def refresh_widgets(widgets: DataFrame, tx: DataFrame, acc: DataFrame, as_of: datetime) -> DataFrame:
     """Recompute every dynamic widget and write the points into its config.
 
     The (query_type, time_range) pairs come from the widgets themselves; they
-    are enumeration values (at most 7 x 10), so listing them is bounded.
+    are enumeration values (at most 7 x 10), so listing them is bounded.  Each
+    query type runs once for all of its periods (one pass over transactions).
     """
     dyn = widgets.filter(F.col("data_mode") == "dynamic")
-    pairs = [(r["query_type"], r["time_range"]) for r in
-             dyn.select("query_type", "time_range").distinct().collect()]
+    by_type: dict[str, list[str]] = {}
+    for r in dyn.select("query_type", "time_range").distinct().collect():
+        by_type.setdefault(r["query_type"], []).append(r["time_range"])
     parts = None
-    for qt, tr in sorted(pairs):
-        res = run_query(qt, tx, acc, as_of, tr)
+    for qt, trs in sorted(by_type.items()):
+        res = run_query(qt, tx, acc, as_of, ranges=sorted(trs))
         if res is None:
             continue
-        pts = widget_points(qt, res).select("user_id", F.lit(qt).alias("query_type"), F.lit(tr).alias("time_range"),
-                                            "_o", "point")
+        pts = widget_points(qt, res).select("user_id", F.lit(qt).alias("query_type"), "time_range", "_o", "point")
         parts = pts if parts is None else parts.unionByName(pts)
     if parts is None:
         return dyn.withColumn("n_points", F.lit(0).cast("bigint"))

@@ -369,3 +369,17 @@ def test_ordinal_within_splits_a_hot_key_and_stays_exact(spark):
     assert all(got[i] == 1 for k, t, i in rows if k != 1)
     ranged = df.repartitionByRange(16, "k", "t", "id").withColumn("p", F.spark_partition_id())
     assert ranged.filter("k = 1").select("p").distinct().count() > 1       # the hot key spans tasks
+
+
+def test_multi_period_widgets_equal_single_period_runs(spark, small_dir):
+    from ledgerlake.sources import fixtures as X
+    from ledgerlake.operators import widgets as W
+    tx, acc = X.transactions(spark, small_dir), X.accounts(spark, small_dir)
+    ranges = ["last_6_months", "this_year", "last_3_months", "all_time"]
+    for name in W.CHART_QUERIES:
+        multi = W.run_query(name, tx, acc, X.BANK_AS_OF, ranges=ranges)
+        for r in ranges:
+            single = W.run_query(name, tx, acc, X.BANK_AS_OF, r)
+            part = multi.filter(F.col("time_range") == r).drop("time_range")
+            assert sorted(tuple(x) for x in part.select(*single.columns).collect()) == \
+                sorted(tuple(x) for x in single.collect()), (name, r)
