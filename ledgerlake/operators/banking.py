@@ -278,8 +278,9 @@ def transactions_summary(tx: DataFrame, acc: DataFrame, as_of: datetime, period:
     per_user = ranked.groupBy("user_id").agg(
         F.sum("amount").alias("total"),
         F.count(F.lit(1)).alias("n_categories"),
-        F.array_sort(F.collect_list(F.when(F.col("rank") <= 3, F.struct("rank", label("category", "Uncategorized")
-                                                                           .alias("category"))))).alias("top"),
+        F.array_sort(F.collect_list(F.when(F.col("rank") <= 3, F.struct(
+            "rank", label("category", "Uncategorized").alias("category"),
+            F.col("amount").cast("decimal(38,2)").cast("string").alias("amount"))))).alias("top"),
     )
     users = _users_with_accounts(acc)
     filt = account_name or "All Accounts"
@@ -289,6 +290,7 @@ def transactions_summary(tx: DataFrame, acc: DataFrame, as_of: datetime, period:
         money(F.coalesce("total", F.lit(0))).alias("total_spending"),
         F.coalesce("n_categories", F.lit(0)).cast("bigint").alias("n_categories"),
         F.array_join(F.transform(F.coalesce("top", F.array()), lambda x: x["category"]), ",").alias("top_categories"),
+        F.array_join(F.transform(F.coalesce("top", F.array()), lambda x: x["amount"]), ",").alias("top_amounts"),
         F.lit(filt).alias("account_filter"),
         F.when(F.col("total").isNull(),
                F.lit(f"You have no spending for the period '{period}' in account '{filt}'.")).alias("message"),
@@ -314,9 +316,10 @@ def user_transactions(tx: DataFrame, acc: DataFrame) -> DataFrame:
 
 def current_month_spending(tx: DataFrame, acc: DataFrame, as_of: datetime) -> DataFrame:
     """A10: payments in the calendar month of ``as_of`` (year and month, D7)."""
-    ut = user_transactions(tx.filter(F.col("type") == "payment"), acc)
     m0 = datetime(as_of.year, as_of.month, 1)
-    cur = ut.filter((F.col("created_at") >= ts_lit(m0)) & (F.col("created_at") <= ts_lit(as_of)))
+    # filter before the per-user de-duplication so the month reaches the parquet scan
+    cur = user_transactions(tx.filter((F.col("type") == "payment") & (F.col("created_at") >= ts_lit(m0))
+                                      & (F.col("created_at") <= ts_lit(as_of))), acc)
     users = _users_with_accounts(acc)
     s = cur.groupBy("user_id").agg(F.sum("amount").alias("s"))
     return users.join(s, "user_id", "left").select("user_id", money(F.coalesce("s", F.lit(0))).alias("monthly_spending"))

@@ -22,8 +22,14 @@ from ..functions.common import fmt_day, fmt_minute, in_period, money
 CHECKS = [("UNUSUAL_AMOUNT", 2), ("RAPID_TRANSACTIONS", 3), ("UNUSUAL_TIME", 1), ("ROUND_AMOUNT", 1)]
 CHECK_NAMES = {"unusual_amounts": "UNUSUAL_AMOUNT", "rapid_transactions": "RAPID_TRANSACTIONS",
                "unusual_time": "UNUSUAL_TIME", "round_amounts": "ROUND_AMOUNT"}
-# Risk bands (score >= 10 HIGH, >= 5 MEDIUM, > 0 LOW, else NONE).
+# Risk bands (score >= 10 HIGH, >= 5 MEDIUM, > 0 LOW, else NONE) and their advice.
 HIGH, MEDIUM = 10, 5
+RECOMMENDATIONS = {
+    "HIGH": "🚨 Contact your bank immediately to review these transactions",
+    "MEDIUM": "⚠️ Review these transactions carefully",
+    "LOW": "ℹ️ Minor anomalies detected, monitor your account",
+    "NONE": "✓ No suspicious activity detected",
+}
 
 
 @dataclass(frozen=True)
@@ -127,9 +133,13 @@ def fraud_report(scoped: DataFrame, as_of: datetime, p: FraudParams = FraudParam
                                      F.count(F.lit(1)).alias("transaction_count"))
     j = stats.join(score, "user_id", "left").join(first, "user_id", "left")
     s = F.coalesce("risk_score", F.lit(0)).cast("bigint")
+    level = F.when(s >= HIGH, "HIGH").when(s >= MEDIUM, "MEDIUM").when(s > 0, "LOW").otherwise("NONE")
+    advice = F.when(s >= HIGH, RECOMMENDATIONS["HIGH"]).when(s >= MEDIUM, RECOMMENDATIONS["MEDIUM"]) \
+        .when(s > 0, RECOMMENDATIONS["LOW"]).otherwise(RECOMMENDATIONS["NONE"])
+    days = min(max(1, p.lookback_days), 30)
     return j.select(
-        "user_id", s.alias("risk_score"),
-        F.when(s >= HIGH, "HIGH").when(s >= MEDIUM, "MEDIUM").when(s > 0, "LOW").otherwise("NONE").alias("risk_level"),
+        "user_id", s.alias("risk_score"), level.alias("risk_level"), advice.alias("recommendation"),
+        F.lit(f"{days} days").alias("period_analyzed"),
         F.coalesce("suspicious_count", F.lit(0)).cast("bigint").alias("suspicious_count"),
         F.array_join(F.transform(F.coalesce("_top", F.array()), lambda x: x["k"]), ",").alias("findings"),
         "average_amount", "highest_amount", "transaction_count",

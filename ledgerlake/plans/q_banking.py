@@ -112,11 +112,13 @@ def a7(spark, d):
 @register("a8_transactions_summary", f"""
 select u.user_id, round(cast(coalesce(p.total, 0) as double), 2) as total_spending,
   coalesce(p.n_categories, 0) as n_categories, coalesce(p.top_categories, '') as top_categories,
+  coalesce(p.top_amounts, '') as top_amounts,
   'All Accounts' as account_filter,
   case when p.total is null then 'You have no spending for the period ''this year'' in account ''All Accounts''.' end as message
 from {USERS} u left join (
   select user_id, sum(amount) as total, count(*) as n_categories,
-    string_agg(case when rk <= 3 then coalesce(nullif(category, ''), 'Uncategorized') end, ',' order by rk) as top_categories
+    string_agg(case when rk <= 3 then coalesce(nullif(category, ''), 'Uncategorized') end, ',' order by rk) as top_categories,
+    string_agg(case when rk <= 3 then cast(cast(amount as decimal(38,2)) as varchar) end, ',' order by rk) as top_amounts
   from (select a.user_id, t.category, sum(t.amount) as amount,
           row_number() over (partition by a.user_id order by sum(t.amount) desc, t.category asc nulls first) as rk
         from {PAY_FROM} where t.type = 'payment' and t.created_at between {sql_ts(SY)} and {sql_ts(E)}

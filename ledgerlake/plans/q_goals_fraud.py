@@ -188,10 +188,15 @@ def u1(spark, d):
     return FR.fraud_findings(_timed(spark, d, P30), P30)
 
 
-def _report_sql() -> str:
-    return """select st.user_id, coalesce(sc.score, 0) as risk_score,
+def _report_sql(p: FR.FraudParams) -> str:
+    rec = FR.RECOMMENDATIONS
+    days = min(max(1, p.lookback_days), 30)
+    return f"""select st.user_id, coalesce(sc.score, 0) as risk_score,
   case when coalesce(sc.score, 0) >= 10 then 'HIGH' when coalesce(sc.score, 0) >= 5 then 'MEDIUM'
        when coalesce(sc.score, 0) > 0 then 'LOW' else 'NONE' end as risk_level,
+  case when coalesce(sc.score, 0) >= 10 then '{rec["HIGH"]}' when coalesce(sc.score, 0) >= 5 then '{rec["MEDIUM"]}'
+       when coalesce(sc.score, 0) > 0 then '{rec["LOW"]}' else '{rec["NONE"]}' end as recommendation,
+  '{days} days' as period_analyzed,
   coalesce(sc.cnt, 0) as suspicious_count, coalesce(ft.findings, '') as findings,
   st.average_amount, st.highest_amount, st.transaction_count
 from (select user_id, round(avg(cast(amount as double)), 2) as average_amount,
@@ -204,7 +209,7 @@ left join (select user_id, string_agg(k, ',' order by r) as findings from (
     from ff) z where r <= 10 group by 1) ft on ft.user_id = st.user_id"""
 
 
-@register("a22_fraud_report", _report_sql(), ctes=[("fw", _fw(P30)), ("ff", _findings_sql(P30))])
+@register("a22_fraud_report", _report_sql(P30), ctes=[("fw", _fw(P30)), ("ff", _findings_sql(P30))])
 def a22(spark, d):
     return FR.fraud_report(X.timed_transactions(spark, d), TAS, P30)
 
@@ -213,7 +218,7 @@ PB = FR.FraudParams(lookback_days=30)
 SB, EB = PB.window(AS_OF)
 
 
-@register("a22b_fraud_report_bank", _report_sql(), ctes=[
+@register("a22b_fraud_report_bank", _report_sql(PB), ctes=[
     ("fw", f"""select t.*, a.user_id from transactions t join accounts a on t.from_account_id = a.account_id
 where t.status = 'completed' and t.created_at between {sql_ts(SB)} and {sql_ts(EB)}"""),
     ("ff", _findings_sql(PB))])
