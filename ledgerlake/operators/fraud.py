@@ -72,7 +72,7 @@ def fraud_unusual_amount(t: DataFrame, p: FraudParams) -> DataFrame:
 
 def fraud_rapid(t: DataFrame, p: FraudParams) -> DataFrame:
     """>= rapid_min transactions in one time bucket."""
-    b = F.date_trunc(p.rapid_bucket, "created_at")
+    b = F.date_trunc(p.rapid_bucket, "created_at").cast("timestamp_ntz")   # keep wall-clock type
     g = t.groupBy("user_id", b.alias("event_at")).agg(F.count(F.lit(1)).alias("count"), F.sum("amount").alias("_tot"),
                                                F.max("id").alias("_last_id"))
     return g.filter(F.col("count") >= p.rapid_min).select(
