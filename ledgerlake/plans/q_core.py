@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from ..functions.common import (fmt_day, fmt_iso, fmt_minute, fmt_month, in_period, label, largest_period, money,
                                 ms_to_s, signed_amount, sql_ts, summary_period, time_range, ts_lit)
-from ..functions.text import CONTEXT_SEPARATOR, chunk, join_context
+from ..functions.text import chunk, join_context
 from ..operators import banking as B
 from ..operators import documents as D
 from ..operators import evaluation as EV

@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from datetime import timedelta
 
-from pyspark.sql import functions as F
 
 from ..functions.common import sql_ts, time_range
 from ..operators import banking as B

@@ -5,7 +5,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..functions.common import TOOL_ALIASES, canonical_tool
+from ..functions.common import canonical_tool
 from ..functions.json import decode_at, decode_json
 from ..operators import star as ST
 from ..operators import telemetry as T
