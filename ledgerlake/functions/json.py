@@ -1,7 +1,6 @@
 """JSON column functions (F4, F5): typed extraction from agent messages, nested decoding."""
 
-from __future__ import annotations
-
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, LongType, StringType, StructField, StructType
@@ -67,3 +66,39 @@ def decode_json(text: Column) -> Column:
 def decode_at(v: Column, path: str) -> Column:
     """decode a JSON document held as a string at ``path`` inside a VARIANT."""
     return decode_json(F.try_variant_get(v, path, "string"))
+
+
+def _decode_deep(text: str | None):
+    """Parse JSON and keep parsing strings that hold JSON, at any depth (helper for decode_json_deep)."""
+    import json
+
+    def walk(v):
+        if isinstance(v, str):
+            try:
+                return walk(json.loads(v))
+            except (ValueError, TypeError):
+                return v
+        if isinstance(v, list):
+            return [walk(x) for x in v]
+        if isinstance(v, dict):
+            return {str(k): walk(x) for k, x in v.items()}
+        return v
+
+    if text is None:
+        return None
+    out = walk(text)
+    return json.dumps(out, separators=(",", ":"), sort_keys=False, ensure_ascii=False)
+
+
+def decode_json_deep(text: Column) -> Column:
+    """F5 (any depth): canonical JSON text with every JSON-in-a-string decoded, recursively.
+
+    Arbitrary depth is not expressible with fixed SQL expressions, so this is a
+    vectorised pandas UDF (one Arrow batch per call); ``decode_json`` is the
+    JVM-side path for the common two-level case.
+    """
+    @F.pandas_udf("string")
+    def deep(s: pd.Series) -> pd.Series:
+        return s.map(_decode_deep)
+
+    return deep(text)

@@ -170,3 +170,11 @@ def trace_to_events(ch: DataFrame) -> DataFrame:
                   "user_id", F.col("content").alias("message"), "agent_name", "user_message",
                   F.lit("None").alias("filter_category"), F.lit(NOT_BLOCKED).alias("content_filter_info"))
     return j.select("trace_id", "routing_step", F.to_json(ev).alias("event"))
+
+
+def blocked_to_events(blocked: DataFrame) -> DataFrame:
+    """S16 (failure path): a blocked request emits one event carrying its category and filter details."""
+    ev = F.struct(F.date_format("timestamp", "yyyy-MM-dd'T'HH:mm:ss.SSSSSS").alias("timestamp"), "trace_id",
+                  "session_id", "user_id", "message", "agent_name", "user_message", "filter_category",
+                  "content_filter_info")
+    return blocked.filter(kql_not_contains("filter_category", "None")).select("trace_id", F.to_json(ev).alias("event"))

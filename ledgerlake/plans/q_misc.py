@@ -6,7 +6,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions.common import canonical_tool
-from ..functions.json import decode_at, decode_json
+from ..functions.json import decode_at, decode_json, decode_json_deep
 from ..operators import star as ST
 from ..operators import telemetry as T
 from ..operators import widgets as W
@@ -133,6 +133,16 @@ def f5(spark, d):
                     F.variant_get(decode_at(v, "$.payload"), "$.k", "bigint").alias("k"))
 
 
+@register("f5b_decode_json_deep", """
+select event_id, '{"event_type":"' || event_type || '","payload":' || cast(json(props) as varchar) || '}' as decoded
+from events""")
+def f5b(spark, d):
+    """Every JSON string inside the document decoded, at any depth (vectorised UDF, one Arrow batch per call)."""
+    e = read_table(spark, d, "events")
+    wrapped = F.to_json(F.struct("event_type", F.col("props").alias("payload")))
+    return e.select("event_id", decode_json_deep(wrapped).alias("decoded"))
+
+
 def raw_traces(spark, d):
     """Raw agent traces rebuilt from chat_history: per trace, one step per ai message; the first
     step also carries the trace's last question."""

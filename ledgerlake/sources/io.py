@@ -42,6 +42,13 @@ def purge_sessions(table: DataFrame, session_ids: DataFrame, key: str = "session
     return table.join(session_ids.select(key).distinct(), key, "left_anti")
 
 
+def purge_all(tables: dict[str, DataFrame], session_ids: DataFrame | None = None) -> dict[str, DataFrame]:
+    """Purge every telemetry table, or only the given sessions from each of them."""
+    if session_ids is None:
+        return {name: df.limit(0) for name, df in tables.items()}
+    return {name: purge_sessions(df, session_ids) for name, df in tables.items()}
+
+
 def with_empty_vector(df: DataFrame, col: str = "embeddings") -> DataFrame:
     """A copy of the table with an empty vector column (CTAS + ALTER ADD)."""
     return df.withColumn(col, F.lit(None).cast("array<float>"))

@@ -383,3 +383,30 @@ def test_multi_period_widgets_equal_single_period_runs(spark, small_dir):
             part = multi.filter(F.col("time_range") == r).drop("time_range")
             assert sorted(tuple(x) for x in part.select(*single.columns).collect()) == \
                 sorted(tuple(x) for x in single.collect()), (name, r)
+
+
+def test_decode_json_deep_any_depth(spark):
+    from ledgerlake.functions.json import decode_json_deep
+    inner = '{"b": "{\\"c\\": [1, \\"{\\\\\\"d\\\\\\": 2}\\"]}"}'
+    df = spark.createDataFrame([(inner,), ("plain",), (None,)], "j string")
+    out = [r[0] for r in df.select(decode_json_deep(F.col("j"))).collect()]
+    assert out[0] == '{"b":{"c":[1,{"d":2}]}}'
+    assert out[1] == '"plain"' and out[2] is None
+
+
+def test_purge_all_and_blocked_events(spark):
+    from ledgerlake.sources import io as IO2
+    from ledgerlake.operators import safety as S2
+    a = spark.createDataFrame([(1, "x"), (2, "y")], "session_id bigint, v string")
+    b = spark.createDataFrame([(1, 5), (3, 6)], "session_id bigint, w int")
+    ids = spark.createDataFrame([(1,)], "session_id bigint")
+    out = IO2.purge_all({"a": a, "b": b}, ids)
+    assert [r[0] for r in out["a"].collect()] == [2] and [r[0] for r in out["b"].collect()] == [3]
+    assert all(df.count() == 0 for df in IO2.purge_all({"a": a, "b": b}).values())
+    ev = spark.createDataFrame([(datetime(2024, 1, 1), 1, 2, 3, "m", "agent", "q", "self_harm", "blocked"),
+                                (datetime(2024, 1, 1), 2, 2, 3, "m", "agent", "q", "None", "ok")],
+                               "timestamp timestamp_ntz, trace_id bigint, session_id bigint, user_id bigint, "
+                               "message string, agent_name string, user_message string, filter_category string, "
+                               "content_filter_info string")
+    rows = S2.blocked_to_events(ev).collect()
+    assert len(rows) == 1 and '"filter_category":"self_harm"' in rows[0]["event"]
