@@ -48,13 +48,24 @@ def turn_number(msgs: DataFrame) -> DataFrame:
 
 
 def agent_hops(steps: DataFrame, key: str = "trace_id") -> DataFrame:
-    """Step order per trace and the hop chain (from_agent = previous agent, first = 'system')."""
-    w = Window.partitionBy(key).orderBy("routing_step", "message_id")
-    return steps.select("session_id", "trace_id", "user_id", "message_id",
-                        F.row_number().over(w).cast("int").alias("step_order"),
-                        F.lag("agent_name", 1, "system").over(w).alias("from_agent"),
-                        F.col("agent_name").alias("current_agent"),
-                        F.col("response_time_ms").alias("execution_duration_ms"))
+    """Step order per trace and the hop chain (from_agent = previous agent, first = 'system').
+
+    The previous step is found by an equi-join on (trace, step_order - 1)
+    rather than ``lag`` over a per-trace window, so a very long trace is split
+    by the range numbering and by AQE's skew-join handling instead of landing
+    in one task.
+    """
+    from .ordering import ordinal_within
+    numbered = ordinal_within(steps.select("session_id", "trace_id", "user_id", "message_id", "routing_step",
+                                           "agent_name", "response_time_ms"),
+                              key, ["routing_step", "message_id"], "_n")
+    prev = numbered.select(F.col(key).alias("_k"), (F.col("_n") + 1).alias("_n"), F.col("agent_name").alias("_prev"))
+    j = numbered.join(prev, (numbered[key] == prev["_k"]) & (numbered["_n"] == prev["_n"]), "left")
+    return j.select("session_id", "trace_id", "user_id", "message_id",
+                    numbered["_n"].cast("int").alias("step_order"),
+                    F.when(numbered["_n"] == 1, F.lit("system")).otherwise(F.col("_prev")).alias("from_agent"),
+                    F.col("agent_name").alias("current_agent"),
+                    F.col("response_time_ms").alias("execution_duration_ms"))
 
 
 def dedupe_messages(msgs: DataFrame) -> DataFrame:
