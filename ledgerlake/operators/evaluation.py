@@ -199,16 +199,22 @@ def score_increment(pairs: DataFrame, scores_path: str, run_id: str,
     """R14 (batch): score only unseen traces and append them to the scores table at ``scores_path``.
 
     Re-running with no new pairs appends nothing.  Returns the number of rows
-    appended (from the written files' metadata count, not a second pass).
+    appended and the run's metrics, collected with ``observe`` during the write
+    itself (no second pass, unlike the reference's repeated ``count()`` calls).
     """
+    from pyspark.sql import Observation
     spark = pairs.sparkSession
     from ..sources.tables import read_path_or_empty
     existing = read_path_or_empty(spark, scores_path, _scores_schema(pairs))
     todo = new_pairs(qa_with_history(pairs), existing)
     out = flatten_scores(score_pairs(todo, scorer), run_id)
     out = out.select(*_scores_schema(pairs).fieldNames())
+    obs = Observation(f"score_{run_id}")
+    out = out.observe(obs, F.count(F.lit(1)).alias("rows"),
+                      F.count(F.col("evaluation_error")).alias("errors"),
+                      *[F.count(F.when(F.col(m).isNull(), 1)).alias(f"null_{m}") for m in METRICS])
     out.write.mode("append").parquet(scores_path)
-    return spark.read.parquet(scores_path).filter(F.col("evaluation_run_id") == run_id).count()
+    return int(obs.get["rows"])
 
 
 def _scores_schema(pairs: DataFrame):
