@@ -32,12 +32,15 @@ def test_windowed_stream_equals_batch(spark, small_dir):
 
 def test_landed_events_equal_source(spark, small_dir):
     out = tempfile.mkdtemp(prefix="ll-land-")
-    q = SE.land_events(SE.read_events_stream(spark, small_dir), out + "/events")
-    q.awaitTermination()
+    ck = checkpoint_path(spark, f"land-ck-{uuid.uuid4().hex}")
+    SE.land_events(SE.read_events_stream(spark, small_dir), out + "/events", ck).awaitTermination()
     landed = spark.read.parquet(out + "/events")
-    assert landed.count() == read_table(spark, small_dir, "events").count()
-    # a second run from the same checkpoint adds nothing
-    assert S.allowed_events(landed.withColumn("timestamp", F.col("timestamp"))).count() > 0
+    n = read_table(spark, small_dir, "events").count()
+    assert landed.count() == n
+    # a second run from the same checkpoint finds no new files and adds nothing
+    SE.land_events(SE.read_events_stream(spark, small_dir), out + "/events", ck).awaitTermination()
+    assert spark.read.parquet(out + "/events").count() == n
+    assert S.allowed_events(landed).count() > 0
 
 
 def test_tool_usage_upsert_is_idempotent(spark, small_dir):
@@ -147,3 +150,21 @@ def test_trace_fan_out_skips_replayed_history(spark):
     assert hops == [(1, "system", "coordinator", 500), (2, "coordinator", "account_agent", 1250)]
     tu = out["tool_usage"].first()
     assert (tu["tool_name"], tu["status"], tu["tool_message"]) == ("get_user_accounts", "Errored", "Error: boom")
+
+
+def test_widget_refresh_writes_the_query_points(spark, small_dir):
+    import json
+    from ledgerlake.operators import widgets as W
+    widgets, tx, acc = X.ai_widgets(spark, small_dir), X.transactions(spark, small_dir), X.accounts(spark, small_dir)
+    out = W.refresh_widgets(widgets, tx, acc, X.BANK_AS_OF)
+    assert out.count() == widgets.filter(F.col("data_mode") == "dynamic").count()
+    rows = out.filter(F.col("query_type") == "spending_by_category").collect()
+    for r in rows[:20]:
+        cfg = json.loads(r["config"])
+        assert cfg["title"] == "spending_by_category widget" and cfg["customProps"]["colors"] == ["#3B82F6"]
+        data = cfg["customProps"]["data"]
+        assert len(data) == r["n_points"]
+        want = W.run_query("spending_by_category", tx, acc, X.BANK_AS_OF, r["time_range"]) \
+            .filter(F.col("user_id") == r["user_id"]).collect()
+        assert sorted((p["name"], p["value"]) for p in data) == sorted((w["name"], w["value"]) for w in want)
+        assert [p["value"] for p in data] == sorted((p["value"] for p in data), reverse=True)
