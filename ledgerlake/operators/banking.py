@@ -306,12 +306,18 @@ def balance_overview(acc: DataFrame) -> DataFrame:
 def user_transactions(tx: DataFrame, acc: DataFrame) -> DataFrame:
     """Transactions touching a user on either side, once per (user, transaction).
 
-    The reference's OR-join becomes an explode of both account ids and one
-    equi-join; a transfer between two accounts of one user is kept once.
+    Both sides' owners are looked up on the same row (two equi-joins against
+    the account -> user map) and the row is exploded over the distinct owners,
+    so a transfer between two accounts of one user appears once without a
+    de-duplication shuffle.  With a broadcastable account map (AQE decides by
+    size) the transactions are not shuffled at all.
     """
-    sides = tx.withColumn("_acct", F.explode(F.array_distinct(F.array("from_account_id", "to_account_id"))))
-    a = acc.select(F.col("account_id").alias("_acct"), "user_id")
-    return sides.join(a, "_acct").drop("_acct").dropDuplicates(["user_id", "id"])
+    fa = acc.select(F.col("account_id").alias("_fa"), F.col("user_id").alias("_fu"))
+    ta = acc.select(F.col("account_id").alias("_ta"), F.col("user_id").alias("_tu"))
+    both = (tx.join(fa, tx["from_account_id"] == fa["_fa"], "left")
+              .join(ta, tx["to_account_id"] == ta["_ta"], "left"))
+    owners = F.array_distinct(F.filter(F.array("_fu", "_tu"), lambda u: u.isNotNull()))
+    return both.select(*tx.columns, F.explode(owners).alias("user_id"))
 
 
 def current_month_spending(tx: DataFrame, acc: DataFrame, as_of: datetime) -> DataFrame:
