@@ -343,3 +343,24 @@ select category, round(cast(sum(amount) as double), 2) as total_spent, count(*)
 from transactions where type = 'payment' group by category""")
 def a38(spark, d):
     return B.spend_by_category_all(X.transactions(spark, d))
+
+
+CATS = ["1-URGENT", "2-HIGH", "3-MEDIUM", "5-LOW"]
+WIDE_COLS = ", ".join(
+    "round(cast(coalesce(sum(case when s.category = '%s' then s.v end), 0) as double), 2) as \"%s\"" % (c, c)
+    for c in CATS)
+CAT_LIST = ", ".join("'%s'" % c for c in CATS)
+
+
+@register("a7b_category_trend_wide", f"""
+select g.user_id, g.month, strftime(g.month, '%b %Y') as name, {WIDE_COLS}
+from (select user_id, month from {USERS} u cross join {SPINE6} m) g
+left join (select a.user_id, t.category, date_trunc('month', t.created_at) as month, sum(t.amount) as v
+           from {PAY_FROM} where t.type = 'payment' and t.category in ({CAT_LIST})
+             and t.created_at between {sql_ts(FM6)} and {sql_ts(E)} group by 1, 2, 3) s
+  on s.user_id = g.user_id and s.month = g.month
+group by g.user_id, g.month""")
+def a7b(spark, d):
+    """A7 with a given category list, in the reference's wide shape (one column per category)."""
+    long_df = B.category_trend(*_tx_acc(spark, d), AS_OF, "last_6_months", categories=CATS)
+    return B.pivot_category_trend(long_df, CATS)
