@@ -168,3 +168,12 @@ def test_widget_refresh_writes_the_query_points(spark, small_dir):
             .filter(F.col("user_id") == r["user_id"]).collect()
         assert sorted((p["name"], p["value"]) for p in data) == sorted((w["name"], w["value"]) for w in want)
         assert [p["value"] for p in data] == sorted((p["value"] for p in data), reverse=True)
+
+
+def test_command_line_lists_and_explains(spark, small_dir, capsys):
+    from ledgerlake.__main__ import main
+    assert main(["list"]) == 0
+    listed = capsys.readouterr().out.split("\n")
+    assert any(line.startswith("a1_spending_by_category (oracle)") for line in listed)
+    assert main(["explain", "a5_top_merchants", "--data", small_dir]) == 0
+    assert "WindowGroupLimit" in capsys.readouterr().out
