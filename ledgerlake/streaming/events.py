@@ -30,9 +30,17 @@ AGENTIC_EVENT_FIELDS = ["timestamp", "trace_id", "session_id", "user_id", "messa
                         "filter_category", "content_filter_info"]
 
 
-def read_events_stream(spark: SparkSession, data_dir: str, max_files_per_trigger: int | None = None) -> DataFrame:
-    """The event stream with the agentic-event shape; event time as TIMESTAMP (watermarks need it)."""
-    r = (spark.readStream.schema(RAW_EVENT_SCHEMA).option("pathGlobFilter", "events.parquet"))
+def read_events_stream(spark: SparkSession, data_dir: str, max_files_per_trigger: int | None = None,
+                       glob: str | None = "events.parquet") -> DataFrame:
+    """The event stream with the agentic-event shape; event time as TIMESTAMP (watermarks need it).
+
+    ``glob`` selects the event files inside ``data_dir`` (the test layout keeps
+    one ``events.parquet`` next to other tables; a landing folder of event
+    files uses ``glob=None``).
+    """
+    r = spark.readStream.schema(RAW_EVENT_SCHEMA)
+    if glob:
+        r = r.option("pathGlobFilter", glob)
     if max_files_per_trigger:
         r = r.option("maxFilesPerTrigger", max_files_per_trigger)
     raw = r.parquet(data_dir)
