@@ -116,17 +116,18 @@ def upsert_tool_usage(updates: DataFrame, log_path: str, checkpoint: str | None
                       watermark: str = "1 hour") -> StreamingQuery:
     """Idempotent tool-usage upserts.
 
-    Exact replays are dropped within the watermark; every micro-batch appends
-    to an upsert log (atomic file commit), and readers take the latest row per
-    tool_call_id with ``current_tool_usage`` (merge on read, W4).  Replaying a
-    batch after a failure re-appends identical rows, which the read collapses.
+    Exact replays are dropped within the watermark; every micro-batch writes
+    its own ``epoch=<n>`` folder of the upsert log (overwrite, atomic commit),
+    so a batch replayed after a failure replaces exactly what it wrote before;
+    readers take the latest row per tool_call_id with ``current_tool_usage``
+    (merge on read, W4).
     """
     spark = updates.sparkSession
     ck = checkpoint or checkpoint_path(spark, f"tool-usage-{uuid.uuid4().hex}")
     dedup = updates.withWatermark("logged_at", watermark).dropDuplicatesWithinWatermark(["tool_call_id", "logged_at"])
 
     def write(batch: DataFrame, epoch: int) -> None:
-        batch.withColumn("epoch", F.lit(epoch)).write.mode("append").parquet(log_path)
+        batch.write.mode("overwrite").parquet(f"{log_path.rstrip('/')}/epoch={epoch}")
 
     return dedup.writeStream.foreachBatch(write).option("checkpointLocation", ck).trigger(availableNow=True).start()
 
