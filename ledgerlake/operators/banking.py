@@ -269,8 +269,11 @@ def transactions_summary(tx: DataFrame, acc: DataFrame, as_of: datetime, period:
                          account_name: str | None = None) -> DataFrame:
     """Total spend, top three categories and a message for users without spend."""
     start, end = summary_period(period, as_of)
+    users = _users_with_accounts(acc)
+    named = None
     if account_name:
         acc = acc.filter(F.col("name") == account_name)
+        named = _users_with_accounts(acc).withColumn("_has", F.lit(True))
     pay = tx.filter((F.col("type") == "payment") & in_period("created_at", start, end))
     cats = _per_user(pay, acc, F.col("from_account_id"), ["category"], {"amount": ("sum", F.col("amount"))})
     ranked = cats.withColumn("rank", F.row_number().over(
@@ -282,9 +285,13 @@ def transactions_summary(tx: DataFrame, acc: DataFrame, as_of: datetime, period:
             "rank", label("category", "Uncategorized").alias("category"),
             F.col("amount").cast("decimal(38,2)").cast("string").alias("amount"))))).alias("top"),
     )
-    users = _users_with_accounts(acc)
     filt = account_name or "All Accounts"
     out = users.join(per_user, "user_id", "left")
+    no_spend = F.when(F.col("total").isNull(),
+                      F.lit(f"You have no spending for the period '{period}' in account '{filt}'."))
+    if named is not None:          # the reference answers "not found" when the user has no such account
+        out = out.join(named, "user_id", "left")
+        no_spend = F.when(F.col("_has").isNull(), F.lit(f"Account '{account_name}' not found.")).otherwise(no_spend)
     return out.select(
         "user_id",
         money(F.coalesce("total", F.lit(0))).alias("total_spending"),
@@ -292,8 +299,7 @@ def transactions_summary(tx: DataFrame, acc: DataFrame, as_of: datetime, period:
         F.array_join(F.transform(F.coalesce("top", F.array()), lambda x: x["category"]), ",").alias("top_categories"),
         F.array_join(F.transform(F.coalesce("top", F.array()), lambda x: x["amount"]), ",").alias("top_amounts"),
         F.lit(filt).alias("account_filter"),
-        F.when(F.col("total").isNull(),
-               F.lit(f"You have no spending for the period '{period}' in account '{filt}'.")).alias("message"),
+        no_spend.alias("message"),
     )
 
 

@@ -115,9 +115,17 @@ def fraud_findings(t: DataFrame, p: FraudParams, check_type: str = "all") -> Dat
     return out
 
 
+NO_TRANSACTIONS = "No transactions found in the specified period"
+
+
 def fraud_report(scoped: DataFrame, as_of: datetime, p: FraudParams = FraudParams(),
-                 check_type: str = "all") -> DataFrame:
-    """Score, level, first findings and statistics per user with transactions in the window."""
+                 check_type: str = "all", users: DataFrame | None = None) -> DataFrame:
+    """Score, level, first findings and statistics per user.
+
+    Users with transactions in the window are reported; with ``users`` (one
+    ``user_id`` per user that has accounts) the others get a NONE row and the
+    reference's "no transactions" message.
+    """
     t = in_window(scoped, as_of, p)
     f = fraud_findings(t, p, check_type)
     score = f.groupBy("user_id").agg(F.sum("risk_points").cast("bigint").alias("risk_score"),
@@ -132,6 +140,8 @@ def fraud_report(scoped: DataFrame, as_of: datetime, p: FraudParams = FraudParam
                                      money(F.max("amount")).alias("highest_amount"),
                                      F.count(F.lit(1)).alias("transaction_count"))
     j = stats.join(score, "user_id", "left").join(first, "user_id", "left")
+    if users is not None:
+        j = users.select("user_id").distinct().join(j, "user_id", "left")
     s = F.coalesce("risk_score", F.lit(0)).cast("bigint")
     level = F.when(s >= HIGH, "HIGH").when(s >= MEDIUM, "MEDIUM").when(s > 0, "LOW").otherwise("NONE")
     advice = F.when(s >= HIGH, RECOMMENDATIONS["HIGH"]).when(s >= MEDIUM, RECOMMENDATIONS["MEDIUM"]) \
@@ -142,5 +152,7 @@ def fraud_report(scoped: DataFrame, as_of: datetime, p: FraudParams = FraudParam
         F.lit(f"{days} days").alias("period_analyzed"),
         F.coalesce("suspicious_count", F.lit(0)).cast("bigint").alias("suspicious_count"),
         F.array_join(F.transform(F.coalesce("_top", F.array()), lambda x: x["k"]), ",").alias("findings"),
-        "average_amount", "highest_amount", "transaction_count",
+        "average_amount", "highest_amount",
+        F.coalesce("transaction_count", F.lit(0)).cast("bigint").alias("transaction_count"),
+        F.when(F.col("transaction_count").isNull(), F.lit(NO_TRANSACTIONS)).alias("message"),
     )

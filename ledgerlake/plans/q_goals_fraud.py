@@ -187,28 +187,36 @@ def u1(spark, d):
     return FR.fraud_findings(_timed(spark, d, P30), P30)
 
 
-def _report_sql(p: FR.FraudParams) -> str:
+def _report_sql(p: FR.FraudParams, users_sql: str | None = None) -> str:
     rec = FR.RECOMMENDATIONS
     days = min(max(1, p.lookback_days), 30)
-    return f"""select st.user_id, coalesce(sc.score, 0) as risk_score,
+    base = (f"({users_sql}) uu left join st on st.user_id = uu.user_id" if users_sql
+            else "st")
+    uid = "uu.user_id" if users_sql else "st.user_id"
+    return f"""select {uid} as user_id, coalesce(sc.score, 0) as risk_score,
   case when coalesce(sc.score, 0) >= 10 then 'HIGH' when coalesce(sc.score, 0) >= 5 then 'MEDIUM'
        when coalesce(sc.score, 0) > 0 then 'LOW' else 'NONE' end as risk_level,
   case when coalesce(sc.score, 0) >= 10 then '{rec["HIGH"]}' when coalesce(sc.score, 0) >= 5 then '{rec["MEDIUM"]}'
        when coalesce(sc.score, 0) > 0 then '{rec["LOW"]}' else '{rec["NONE"]}' end as recommendation,
   '{days} days' as period_analyzed,
   coalesce(sc.cnt, 0) as suspicious_count, coalesce(ft.findings, '') as findings,
-  st.average_amount, st.highest_amount, st.transaction_count
-from (select user_id, round(avg(cast(amount as double)), 2) as average_amount,
-        round(cast(max(amount) as double), 2) as highest_amount, count(*) as transaction_count from fw group by 1) st
+  st.average_amount, st.highest_amount, coalesce(st.transaction_count, 0) as transaction_count,
+  case when st.transaction_count is null then '{FR.NO_TRANSACTIONS}' end as message
+from {base}
 left join (select user_id, cast(sum(risk_points) as bigint) as score, count(*) as cnt from ff group by 1) sc
-  on sc.user_id = st.user_id
+  on sc.user_id = {uid}
 left join (select user_id, string_agg(k, ',' order by r) as findings from (
     select user_id, type || ':' || coalesce(cast(transaction_id as varchar), time) as k,
       row_number() over (partition by user_id order by check_order, event_at desc, transaction_id asc nulls last) as r
-    from ff) z where r <= 10 group by 1) ft on ft.user_id = st.user_id"""
+    from ff) z where r <= 10 group by 1) ft on ft.user_id = {uid}"""
 
 
-@register("a22_fraud_report", _report_sql(P30), ctes=[("fw", _fw(P30)), ("ff", _findings_sql(P30))])
+ST_SQL = """select user_id, round(avg(cast(amount as double)), 2) as average_amount,
+  round(cast(max(amount) as double), 2) as highest_amount, count(*) as transaction_count from fw group by 1"""
+
+
+@register("a22_fraud_report", _report_sql(P30),
+          ctes=[("fw", _fw(P30)), ("ff", _findings_sql(P30)), ("st", ST_SQL)])
 def a22(spark, d):
     return FR.fraud_report(X.timed_transactions(spark, d), TAS, P30)
 
@@ -217,10 +225,12 @@ PB = FR.FraudParams(lookback_days=30)
 SB, EB = PB.window(AS_OF)
 
 
-@register("a22b_fraud_report_bank", _report_sql(PB), ctes=[
+@register("a22b_fraud_report_bank", _report_sql(PB, "select distinct user_id from accounts"), ctes=[
     ("fw", f"""select t.*, a.user_id from transactions t join accounts a on t.from_account_id = a.account_id
 where t.status = 'completed' and t.created_at between {sql_ts(SB)} and {sql_ts(EB)}"""),
-    ("ff", _findings_sql(PB))])
+    ("ff", _findings_sql(PB)), ("st", ST_SQL)])
 def a22b(spark, d):
-    scoped = B.user_scope(X.transactions(spark, d), X.accounts(spark, d), "from")
-    return FR.fraud_report(scoped, AS_OF, PB)
+    """Every user with accounts; users without completed transactions in the window get the NONE row."""
+    acc = X.accounts(spark, d)
+    scoped = B.user_scope(X.transactions(spark, d), acc, "from")
+    return FR.fraud_report(scoped, AS_OF, PB, users=acc.select("user_id"))

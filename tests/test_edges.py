@@ -410,3 +410,12 @@ def test_purge_all_and_blocked_events(spark):
                                "content_filter_info string")
     rows = S2.blocked_to_events(ev).collect()
     assert len(rows) == 1 and '"filter_category":"self_harm"' in rows[0]["event"]
+
+
+def test_summary_for_a_named_account(spark):
+    acc = spark.createDataFrame([(1, 10, "checking", d(100), "Main"), (2, 11, "checking", d(50), "Other")], ACC_SCHEMA)
+    now = datetime(2024, 6, 1)
+    tx = spark.createDataFrame([(1, 1, None, d(5), "payment", "m", "Food", "completed", now)], TX_SCHEMA)
+    out = {r["user_id"]: r for r in B.transactions_summary(tx, acc, now, "this year", "Main").collect()}
+    assert out[10]["total_spending"] == 5.0 and out[10]["message"] is None
+    assert out[11]["message"] == "Account 'Main' not found."
