@@ -429,9 +429,13 @@ def largest_transaction(tx: DataFrame, acc: DataFrame, as_of: datetime, period:
     scoped = user_transactions(t, acc) if side == "either" else user_scope(t, acc, "from")
     best = top_per(scoped, ["user_id"], [F.col("amount").desc(), F.col("id").asc()], 1).drop("rank")
     named = with_account_names(best, acc)
-    return named.select("user_id", F.col("id").alias("transaction_id"), money("amount").alias("amount"),
-                        fmt_day("created_at").alias("date"), "description", "category", "type",
-                        "from_account", "to_account", "status")
+    found = named.select("user_id", F.col("id").alias("transaction_id"), money("amount").alias("amount"),
+                         fmt_day("created_at").alias("date"), "description", "category", "type",
+                         "from_account", "to_account", "status")
+    # every user with accounts gets an answer; no match -> the reference's message
+    out = _users_with_accounts(acc).join(found, "user_id", "left")
+    return out.withColumn("message", F.when(F.col("transaction_id").isNull(),
+                                            F.lit("No transactions found for the specified criteria")))
 
 
 def recent_transactions(tx: DataFrame, acc: DataFrame, k: int = 5) -> DataFrame:

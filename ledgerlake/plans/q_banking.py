@@ -222,6 +222,9 @@ def j8(spark, d):
 
 
 @register("t3_largest_transaction", f"""
+select u.user_id, y.transaction_id, y.amount, y.date, y.description, y.category, y.type, y.from_account, y.to_account,
+  y.status, case when y.transaction_id is null then 'No transactions found for the specified criteria' end as message
+from {USERS} u left join (
 select x.user_id, x.id as transaction_id, round(cast(x.amount as double), 2) as amount,
   strftime(x.created_at, '%Y-%m-%d') as date, x.description, x.category, x.type,
   coalesce(fa.name, 'External') as from_account, coalesce(ta.name, 'External') as to_account, x.status
@@ -229,7 +232,7 @@ from (select t.*, a.user_id, row_number() over (partition by a.user_id order by
       from {PAY_FROM} where t.created_at between {sql_ts(SL)} and {sql_ts(E)}) x
 left join accounts fa on fa.account_id = x.from_account_id
 left join accounts ta on ta.account_id = x.to_account_id
-where x.rk = 1""")
+where x.rk = 1) y on y.user_id = u.user_id""")
 def t3(spark, d):
     return B.largest_transaction(*_tx_acc(spark, d), AS_OF, "all time")
 
