@@ -95,13 +95,16 @@ def widget_points(name: str, result: DataFrame) -> DataFrame:
 def refresh_widgets(widgets: DataFrame, tx: DataFrame, acc: DataFrame, as_of: datetime) -> DataFrame:
     """Recompute every dynamic widget and write the points into its config.
 
-    The (query_type, time_range) pairs come from the widgets themselves; they
-    are enumeration values (at most 7 x 10), so listing them is bounded.  Each
+    Every widget gets a row: dynamic ones are ``refreshed`` (new config, point
+    count, refresh time); the others keep their config and report ``static``,
+    as the reference answers for a non-dynamic widget.  The
+    (query_type, time_range) pairs come from the widgets themselves; they are
+    enumeration values (at most 7 x 10), so listing them is bounded.  Each
     query type runs once for all of its periods (one pass over transactions).
     """
-    dyn = widgets.filter(F.col("data_mode") == "dynamic")
+    is_dyn = F.col("data_mode") == "dynamic"
     by_type: dict[str, list[str]] = {}
-    for r in dyn.select("query_type", "time_range").distinct().collect():
+    for r in widgets.filter(is_dyn).select("query_type", "time_range").distinct().collect():
         by_type.setdefault(r["query_type"], []).append(r["time_range"])
     parts = None
     for qt, trs in sorted(by_type.items()):
@@ -111,15 +114,17 @@ def refresh_widgets(widgets: DataFrame, tx: DataFrame, acc: DataFrame, as_of: da
         pts = widget_points(qt, res).select("user_id", F.lit(qt).alias("query_type"), "time_range", "_o", "point")
         parts = pts if parts is None else parts.unionByName(pts)
     if parts is None:
-        return dyn.withColumn("n_points", F.lit(0).cast("bigint"))
-    data = parts.groupBy("user_id", "query_type", "time_range").agg(
-        F.transform(F.array_sort(F.collect_list(F.struct("_o", "point"))), lambda x: x["point"]).alias("_data"))
-    j = dyn.join(data, ["user_id", "query_type", "time_range"], "left")
+        j = widgets.withColumn("_data", F.lit(None).cast("array<string>"))
+    else:
+        data = parts.groupBy("user_id", "query_type", "time_range").agg(
+            F.transform(F.array_sort(F.collect_list(F.struct("_o", "point"))), lambda x: x["point"]).alias("_data"))
+        j = widgets.join(data, ["user_id", "query_type", "time_range"], "left")
     new_data = F.coalesce("_data", F.array().cast("array<string>"))
     return j.select("widget_id", "user_id", "query_type", "time_range",
-                    F.size(new_data).cast("bigint").alias("n_points"),
-                    set_widget_data(F.col("config"), new_data).alias("config"),
-                    F.lit(as_of).cast("timestamp_ntz").alias("last_refreshed"))
+                    F.when(is_dyn, "refreshed").otherwise("static").alias("status"),
+                    F.when(is_dyn, F.size(new_data)).cast("bigint").alias("n_points"),
+                    F.when(is_dyn, set_widget_data(F.col("config"), new_data)).otherwise(F.col("config")).alias("config"),
+                    F.when(is_dyn, F.lit(as_of).cast("timestamp_ntz")).alias("last_refreshed"))
 
 
 DATA_SLOT = "__ledgerlake_data_slot__"

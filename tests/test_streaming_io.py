@@ -157,8 +157,12 @@ def test_widget_refresh_writes_the_query_points(spark, small_dir):
     from ledgerlake.operators import widgets as W
     widgets, tx, acc = X.ai_widgets(spark, small_dir), X.transactions(spark, small_dir), X.accounts(spark, small_dir)
     out = W.refresh_widgets(widgets, tx, acc, X.BANK_AS_OF)
-    assert out.count() == widgets.filter(F.col("data_mode") == "dynamic").count()
-    rows = out.filter(F.col("query_type") == "spending_by_category").collect()
+    assert out.count() == widgets.count()
+    assert out.filter(F.col("status") == "refreshed").count() == widgets.filter(F.col("data_mode") == "dynamic").count()
+    static = out.filter(F.col("status") == "static").join(widgets.select("widget_id", F.col("config").alias("c0")),
+                                                          "widget_id")
+    assert static.filter(F.col("config") != F.col("c0")).count() == 0
+    rows = out.filter((F.col("query_type") == "spending_by_category") & (F.col("status") == "refreshed")).collect()
     for r in rows[:20]:
         cfg = json.loads(r["config"])
         assert cfg["title"] == "spending_by_category widget" and cfg["customProps"]["colors"] == ["#3B82F6"]
