@@ -171,7 +171,7 @@ def raw_traces(spark, d):
                         F.transform("s", lambda x: x["m"]).alias("messages"))
 
 
-@register("r13_explode_trace", """
+R13_SQL = """
 select message_id, trace_id, session_id, message_type, routing_step, agent_name, total_tokens, response_time_ms
 from (select message_id, trace_id, session_id, 'human' as message_type, 0 as routing_step, cast(null as varchar) as agent_name,
         cast(null as integer) as total_tokens, cast(null as integer) as response_time_ms,
@@ -181,7 +181,10 @@ from (select message_id, trace_id, session_id, 'human' as message_type, 0 as rou
 union all
 select message_id, trace_id, session_id, 'ai', cast(row_number() over (partition by trace_id order by routing_step, message_id) as integer),
   agent_name, total_tokens, response_time_ms
-from chat_history where message_type = 'ai'""")
+from chat_history where message_type = 'ai'"""
+
+
+@register("r13_explode_trace", R13_SQL)
 def r13(spark, d):
     out = T.explode_trace(raw_traces(spark, d))["chat_history"]
     return out.select(F.col("message_id").cast("bigint").alias("message_id"), "trace_id", "session_id", "message_type",
@@ -189,6 +192,23 @@ def r13(spark, d):
                       "response_time_ms")
 
 
+@register("r13s_explode_trace_stream", R13_SQL)
+def r13s(spark, d):
+    """The same fan-out as a Structured Streaming job over a folder of raw traces."""
+    import uuid
+    from ..session import checkpoint_path
+    from ..streaming import events as SE
+    raw = raw_traces(spark, d)
+    src = checkpoint_path(spark, f"raw-traces-{uuid.uuid4().hex}")
+    raw.write.parquet(src)
+    out = checkpoint_path(spark, f"fan-out-{uuid.uuid4().hex}")
+    SE.explode_trace_stream(spark.readStream.schema(raw.schema).parquet(src), out).awaitTermination()
+    ch = spark.read.parquet(f"{out}/chat_history")
+    return ch.select(F.col("message_id").cast("bigint").alias("message_id"), "trace_id", "session_id", "message_type",
+                     F.col("routing_step").cast("int").alias("routing_step"), "agent_name", "total_tokens",
+                     "response_time_ms")
+
+
 @register("f4_message_fields", """
 select message_id, cast(total_tokens as integer) as total_tokens, 'stop' as finish_reason
 from chat_history where message_type = 'ai'""")

@@ -147,3 +147,23 @@ def score_increment_stream(pairs_stream: DataFrame, scores_path: str, checkpoint
         score_increment(batch, scores_path, run_id=f"epoch-{epoch}")
 
     return pairs_stream.writeStream.foreachBatch(run).option("checkpointLocation", ck).trigger(availableNow=True).start()
+
+
+def explode_trace_stream(raw_stream: DataFrame, out_dir: str, checkpoint: str | None = None) -> StreamingQuery:
+    """R13 streaming: raw agent traces -> chat_history, agent_traces and tool_usage tables.
+
+    A raw trace row carries the whole trace (its steps are arrays), so the
+    batch fan-out is exact per micro-batch.  Each batch writes one
+    ``epoch=<n>`` folder per table (overwrite), so a replayed batch replaces
+    its own output.
+    """
+    spark = raw_stream.sparkSession
+    ck = checkpoint or checkpoint_path(spark, f"traces-{uuid.uuid4().hex}")
+    base = out_dir.rstrip("/")
+
+    def run(batch: DataFrame, epoch: int) -> None:
+        for name, df in T.explode_trace(batch).items():
+            df.write.mode("overwrite").parquet(f"{base}/{name}/epoch={epoch}")
+
+    return raw_stream.writeStream.foreachBatch(run).option("checkpointLocation", ck) \
+        .trigger(availableNow=True).start()

@@ -19,7 +19,7 @@ from ledgerlake.streaming import events as SE
 
 
 def _rows(df):
-    return sorted(tuple(r) for r in df.collect())
+    return sorted((tuple(r) for r in df.collect()), key=repr)
 
 
 def test_windowed_stream_equals_batch(spark, small_dir):
@@ -181,3 +181,16 @@ def test_command_line_lists_and_explains(spark, small_dir, capsys):
     assert any(line.startswith("a1_spending_by_category (oracle)") for line in listed)
     assert main(["explain", "a5_top_merchants", "--data", small_dir]) == 0
     assert "WindowGroupLimit" in capsys.readouterr().out
+
+
+def test_trace_fan_out_stream_equals_batch(spark, small_dir):
+    from ledgerlake.plans.q_misc import raw_traces
+    raw = raw_traces(spark, small_dir)
+    src = checkpoint_path(spark, f"raw-{uuid.uuid4().hex}")
+    raw.write.parquet(src)
+    out = checkpoint_path(spark, f"fan-{uuid.uuid4().hex}")
+    SE.explode_trace_stream(spark.readStream.schema(raw.schema).parquet(src), out).awaitTermination()
+    want = T.explode_trace(raw)
+    for name in ("chat_history", "agent_traces"):
+        got = spark.read.parquet(f"{out}/{name}").drop("epoch")
+        assert _rows(got.select(*sorted(got.columns))) == _rows(want[name].select(*sorted(got.columns)))
