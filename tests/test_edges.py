@@ -419,3 +419,18 @@ def test_summary_for_a_named_account(spark):
     out = {r["user_id"]: r for r in B.transactions_summary(tx, acc, now, "this year", "Main").collect()}
     assert out[10]["total_spending"] == 5.0 and out[10]["message"] is None
     assert out[11]["message"] == "Account 'Main' not found."
+
+
+def test_rag_context_payload_equals_join_back(spark):
+    rng = np.random.default_rng(11)
+    items = rng.normal(size=(80, 6)).astype(np.float32)
+    df = spark.createDataFrame([(i, items[i].tolist(), f"chunk {i}") for i in range(80)],
+                               "id bigint, vec array<float>, chunk_text string").repartition(3)
+    q = spark.createDataFrame([(100 + i, rng.normal(size=6).astype(np.float32).tolist()) for i in range(12)],
+                              "query_id bigint, vec array<float>")
+    got = {r["query_id"]: r["context"] for r in V.rag_context(q, df, k=3).collect()}
+    hits = V.knn(q, df.select("id", "vec"), k=3).join(df.select("id", "chunk_text"), "id")
+    want = {}
+    for r in hits.collect():
+        want.setdefault(r["query_id"], []).append((r["rank"], r["chunk_text"]))
+    assert got == {k: "\n\n---\n\n".join(t for _, t in sorted(v)) for k, v in want.items()}
