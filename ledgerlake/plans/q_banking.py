@@ -367,3 +367,27 @@ def a7b(spark, d):
     """A7 with a given category list, in the reference's wide shape (one column per category)."""
     long_df = B.category_trend(*_tx_acc(spark, d), AS_OF, "last_6_months", categories=CATS)
     return B.pivot_category_trend(long_df, CATS)
+
+
+@register("a33b_highest_net_cash_flow", """
+select a.user_id, round(cast(sum(coalesce(i.v, 0)) - sum(coalesce(o.v, 0)) as double), 2) as net_cash_flow
+from accounts a
+left join (select to_account_id as acct, sum(amount) as v from transactions group by 1) i on i.acct = a.account_id
+left join (select from_account_id as acct, sum(amount) as v from transactions group by 1) o on o.acct = a.account_id
+group by a.user_id order by net_cash_flow desc, a.user_id limit 1""")
+def a33b(spark, d):
+    """The user with the highest net cash flow (top-1 is the feature)."""
+    net = B.net_cash_flow(*_tx_acc(spark, d)).select("user_id", "net_cash_flow")
+    return B.topn(net, 1, [F.col("net_cash_flow").desc(), F.col("user_id").asc()])
+
+
+@register("a37b_highest_credit_use", """
+select user_id, round(cast(sum(abs(balance)) as double), 2) as outstanding,
+  round(cast(sum(abs(balance)) as double) / (count(*) * cast(10000.0 as double)) * 100, 6) as utilisation_pct
+from accounts where account_type = 'credit' group by user_id
+order by utilisation_pct desc, user_id limit 1""")
+def a37b(spark, d):
+    """The user with the highest credit utilisation (top-1 is the feature)."""
+    c = B.credit_outstanding(X.accounts(spark, d), credit_limit=10000.0).select("user_id", "outstanding",
+                                                                               "utilisation_pct")
+    return B.topn(c, 1, [F.col("utilisation_pct").desc(), F.col("user_id").asc()])
