@@ -62,12 +62,20 @@ def to_agentic(raw: DataFrame) -> DataFrame:
 
 
 def land_events(stream: DataFrame, table_path: str, checkpoint: str | None = None,
-                available_now: bool = True) -> StreamingQuery:
-    """R2: land the stream unchanged in a parquet table (append, checkpointed)."""
+                available_now: bool = True, by_date: bool = True) -> StreamingQuery:
+    """R2: land the stream unchanged in a parquet table (append, checkpointed, exactly once).
+
+    With ``by_date`` the table is partitioned by ``event_date`` so retention
+    (R8) and recent-window reads (R7) prune to one or two partitions.
+    """
     spark = stream.sparkSession
     ck = checkpoint or checkpoint_path(spark, f"land-events-{uuid.uuid4().hex}")
+    if by_date:
+        stream = stream.withColumn("event_date", F.to_date("timestamp"))
     w = stream.writeStream.format("parquet").option("path", table_path).option("checkpointLocation", ck) \
         .outputMode("append")
+    if by_date:
+        w = w.partitionBy("event_date")
     w = w.trigger(availableNow=True) if available_now else w.trigger(processingTime="10 seconds")
     return w.start()
 
