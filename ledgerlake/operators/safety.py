@@ -77,8 +77,15 @@ def all_category_series(ev: DataFrame, categories=("self_harm", "violence", "sex
 
 
 def recent(ev: DataFrame, as_of: datetime, span: timedelta = timedelta(hours=1), col: str = "timestamp") -> DataFrame:
-    """Events in (as_of - span, as_of]."""
-    return ev.filter((F.col(col) > ts_lit(as_of - span)) & (F.col(col) <= ts_lit(as_of)))
+    """Events in (as_of - span, as_of].
+
+    On a landed table partitioned by ``event_date`` the same window is also
+    stated on the partition column, so only the touched dates are listed and read.
+    """
+    out = ev.filter((F.col(col) > ts_lit(as_of - span)) & (F.col(col) <= ts_lit(as_of)))
+    if "event_date" in ev.columns:
+        out = out.filter(F.col("event_date").between(F.lit((as_of - span).date()), F.lit(as_of.date())))
+    return out
 
 
 def retain(ev: DataFrame, as_of: datetime, span: timedelta = timedelta(days=1), col: str = "timestamp") -> DataFrame:

@@ -194,3 +194,16 @@ def test_trace_fan_out_stream_equals_batch(spark, small_dir):
     for name in ("chat_history", "agent_traces"):
         got = spark.read.parquet(f"{out}/{name}").drop("epoch")
         assert _rows(got.select(*sorted(got.columns))) == _rows(want[name].select(*sorted(got.columns)))
+
+
+def test_retention_prunes_landed_partitions(spark, small_dir):
+    out = checkpoint_path(spark, f"landed-{uuid.uuid4().hex}")
+    SE.land_events(SE.read_events_stream(spark, small_dir), out).awaitTermination()
+    landed = spark.read.parquet(out)
+    as_of = datetime(2024, 1, 30)
+    kept = S.retain(landed, as_of)
+    plan = kept._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters: [isnotnull(event_date" in plan or "event_date" in plan.split("PartitionFilters")[1][:200]
+    want = landed.filter((F.col("timestamp") > F.lit(datetime(2024, 1, 29)).cast("timestamp")) &
+                         (F.col("timestamp") <= F.lit(as_of).cast("timestamp"))).count()
+    assert kept.count() == want
