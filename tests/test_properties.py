@@ -41,3 +41,15 @@ def test_monthly_series_sum_to_period_spend(spark, small_dir):
     cats = B.spending_by_category(tx, acc, X.BANK_AS_OF, "all_time").groupBy("user_id").agg(F.sum("value").alias("c"))
     j = monthly.join(cats, "user_id")
     assert j.filter(F.abs(F.col("m") - F.col("c")) > 0.05).count() == 0
+
+
+def test_fraud_score_is_the_sum_of_finding_points(spark, small_dir):
+    from ledgerlake.operators import fraud as FR
+    p = FR.FraudParams(lookback_days=30, amount_floor=100.0, rapid_bucket="hour", round_unit=10)
+    tt = X.timed_transactions(spark, small_dir)
+    f = FR.fraud_findings(FR.in_window(tt, X.TIMED_AS_OF, p), p)
+    pts = f.groupBy("user_id").agg(F.sum("risk_points").alias("pts"), F.count(F.lit(1)).alias("n"))
+    rep = FR.fraud_report(tt, X.TIMED_AS_OF, p)
+    j = rep.join(pts, "user_id", "left")
+    assert j.filter(F.col("risk_score") != F.coalesce("pts", F.lit(0))).count() == 0
+    assert j.filter(F.col("suspicious_count") != F.coalesce("n", F.lit(0))).count() == 0
