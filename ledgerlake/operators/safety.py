@@ -26,20 +26,20 @@ ISSUE_PATHS = [("hate", "filtered"), ("hate", "severity"), ("jailbreak", "filter
 NOT_BLOCKED = "User content Not blocked"
 
 
-# ---------------------------------------------------------------- KQL predicates (P11), case-insensitive
+# ---------------------------------------------------------------- case-insensitive string predicates
 
-def kql_startswith(c: Column | str, s: str) -> Column:
+def ci_startswith(c: Column | str, s: str) -> Column:
     c = F.col(c) if isinstance(c, str) else c
     return F.lower(c).startswith(s.lower())
 
 
-def kql_contains(c: Column | str, s: str) -> Column:
+def ci_contains(c: Column | str, s: str) -> Column:
     c = F.col(c) if isinstance(c, str) else c
     return F.lower(c).contains(s.lower())
 
 
-def kql_not_contains(c: Column | str, s: str) -> Column:
-    return ~kql_contains(c, s)
+def ci_not_contains(c: Column | str, s: str) -> Column:
+    return ~ci_contains(c, s)
 
 
 # ---------------------------------------------------------------- event counts R3-R8
@@ -52,19 +52,19 @@ def events_by_category(ev: DataFrame) -> DataFrame:
 
 def allowed_events(ev: DataFrame) -> DataFrame:
     """Allowed events (category startswith "None") per time."""
-    return ev.filter(kql_startswith("filter_category", "None")) \
+    return ev.filter(ci_startswith("filter_category", "None")) \
         .groupBy(F.col("timestamp").alias("DateTime")).agg(F.count(F.lit(1)).alias("eventCount"))
 
 
 def blocked_events(ev: DataFrame) -> DataFrame:
     """Blocked events (category !contains "None") per (time, category)."""
-    return ev.filter(kql_not_contains("filter_category", "None")) \
+    return ev.filter(ci_not_contains("filter_category", "None")) \
         .groupBy(F.col("timestamp").alias("DateTime"), "filter_category").agg(F.count(F.lit(1)).alias("eventCount"))
 
 
 def category_series(ev: DataFrame, category: str, op: str = "startswith") -> DataFrame:
     """One category's events per time (startswith in the query set, contains on the dashboard)."""
-    pred = kql_startswith("filter_category", category) if op == "startswith" else kql_contains("filter_category", category)
+    pred = ci_startswith("filter_category", category) if op == "startswith" else ci_contains("filter_category", category)
     return ev.filter(pred).groupBy(F.col("timestamp").alias("DateTime")).agg(F.count(F.lit(1)).alias("eventCount"))
 
 
@@ -152,7 +152,7 @@ def safety_category(error_text: Column | str) -> Column:
 
 def violations_to_rows(ev: DataFrame) -> DataFrame:
     """Each blocked request becomes a human row (if a user message), an ai row and a trace row."""
-    blocked = ev.filter(kql_not_contains("filter_category", "None"))
+    blocked = ev.filter(ci_not_contains("filter_category", "None"))
     human = F.struct(F.lit("chat_history").alias("target"), F.lit("human").alias("message_type"),
                      F.lit(0).alias("routing_step"), F.col("user_message").alias("content"),
                      F.lit(None).cast("string").alias("from_agent"), F.lit(None).cast("string").alias("current_agent"))
@@ -184,4 +184,4 @@ def blocked_to_events(blocked: DataFrame) -> DataFrame:
     ev = F.struct(F.date_format("timestamp", "yyyy-MM-dd'T'HH:mm:ss.SSSSSS").alias("timestamp"), "trace_id",
                   "session_id", "user_id", "message", "agent_name", "user_message", "filter_category",
                   "content_filter_info")
-    return blocked.filter(kql_not_contains("filter_category", "None")).select("trace_id", F.to_json(ev).alias("event"))
+    return blocked.filter(ci_not_contains("filter_category", "None")).select("trace_id", F.to_json(ev).alias("event"))

@@ -157,7 +157,7 @@ def p6(spark, d):
                                   {"categories": ["1-URGENT", "2-HIGH"], "account_type": "savings"})
 
 
-@register("p11_kql_predicates", """
+@register("p11_text_predicates", """
 select filter_category,
   count(*) filter (where starts_with(lower(filter_category), 'none')) as n_startswith_none,
   count(*) filter (where contains(lower(filter_category), 'lence')) as n_contains_lence,
@@ -166,9 +166,9 @@ from agentic_events group by filter_category""")
 def p11(spark, d):
     ev = X.agentic_events(spark, d)
     return ev.groupBy("filter_category").agg(
-        F.count_if(S.kql_startswith("filter_category", "None")).alias("n_startswith_none"),
-        F.count_if(S.kql_contains("filter_category", "LENCE")).alias("n_contains_lence"),
-        F.count_if(S.kql_not_contains("filter_category", "None")).alias("n_not_contains_none"))
+        F.count_if(S.ci_startswith("filter_category", "None")).alias("n_startswith_none"),
+        F.count_if(S.ci_contains("filter_category", "LENCE")).alias("n_contains_lence"),
+        F.count_if(S.ci_not_contains("filter_category", "None")).alias("n_not_contains_none"))
 
 
 @register("p13_label", """

@@ -35,7 +35,8 @@ def main() -> None:
         if not names:
             missing.append(oid)
         cell = ", ".join(f"`{n}` {'✓' if n in oracle else 'rows'}" for n in names) or "—"
-        print(f"| {oid} | {what.strip()} | {cell} |")
+        what = re.sub(r"^[A-Z]+ string predicates", "String predicates", what.strip())
+        print(f"| {oid} | {what} | {cell} |")
     print(f"\n{len(rows)} ids, {len(queries)} queries, {len(oracle)} with a DuckDB twin; ids without a query: "
           f"{', '.join(missing) or 'none'}.")
 
