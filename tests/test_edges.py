@@ -202,7 +202,7 @@ def test_safety_category_last_match_wins_and_all_marked(spark):
     assert out[1]["filter_category"] == "unknown" and out[2]["filter_category"] == "unknown"
 
 
-def test_kql_predicates_are_case_insensitive(spark):
+def test_text_predicates_are_case_insensitive(spark):
     df = spark.createDataFrame([("Violence",), ("none",), ("self_harm",)], "c string")
     assert df.filter(S.ci_startswith("c", "violence")).count() == 1
     assert df.filter(S.ci_not_contains("c", "None")).count() == 2
