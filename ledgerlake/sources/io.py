@@ -14,6 +14,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import DateType, DecimalType, TimestampNTZType, TimestampType
 
+from ..functions.common import fmt_iso
+
 
 def append(df: DataFrame, path: str, fmt: str = "parquet") -> None:
     """Append a result to a table folder (atomic per job)."""
@@ -98,7 +100,7 @@ def to_json_rows(df: DataFrame) -> DataFrame:
     for f in df.schema.fields:
         c = F.col(f.name)
         if isinstance(f.dataType, (TimestampType, TimestampNTZType)):
-            c = F.date_format(c, "yyyy-MM-dd'T'HH:mm:ss.SSSSSS")
+            c = fmt_iso(c)                       # isoformat: fraction only when non-zero
         elif isinstance(f.dataType, DateType):
             c = F.date_format(c, "yyyy-MM-dd")
         elif isinstance(f.dataType, DecimalType):
