@@ -12,7 +12,7 @@ from datetime import datetime, timedelta
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.common import ts_lit
+from ..functions.common import fmt_iso, ts_lit
 
 # The five safety categories, the marker of a filtered response,
 # and the error-text fragment that flags each category.
@@ -173,10 +173,11 @@ def trace_to_events(ch: DataFrame) -> DataFrame:
         .agg(F.min_by("content", "routing_step").alias("user_message"))
     steps = ch.filter(F.col("message_type") == "ai")
     j = steps.join(q, steps["trace_id"] == q["_t"], "left")
-    ev = F.struct(F.date_format("trace_end", "yyyy-MM-dd'T'HH:mm:ss.SSSSSS").alias("timestamp"), "trace_id", "session_id",
+    ev = F.struct(fmt_iso("trace_end").alias("timestamp"), "trace_id", "session_id",
                   "user_id", F.col("content").alias("message"), "agent_name", "user_message",
                   F.lit("None").alias("filter_category"), F.lit(NOT_BLOCKED).alias("content_filter_info"))
-    return j.select("trace_id", "routing_step", F.to_json(ev).alias("event"))
+    # every key is emitted, missing values as null (like the reference's json.dumps of its dict)
+    return j.select("trace_id", "routing_step", F.to_json(ev, {"ignoreNullFields": "false"}).alias("event"))
 
 
 def blocked_to_events(blocked: DataFrame) -> DataFrame:

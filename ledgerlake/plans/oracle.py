@@ -112,3 +112,9 @@ def with_fixtures(sql: str, extra_ctes: list[tuple[str, str]] | None = None) ->
     if not ctes:
         return body
     return "with " + ",\n".join(f"{n} as (\n{s}\n)" for n, s in ctes) + "\n" + body
+
+
+def sql_iso(col: str) -> str:
+    """isoformat() of a TIMESTAMP in DuckDB: the fraction only when microseconds are non-zero."""
+    return (f"case when date_part('microseconds', {col}) % 1000000 = 0 then strftime({col}, '%Y-%m-%dT%H:%M:%S') "
+            f"else strftime({col}, '%Y-%m-%dT%H:%M:%S.%f') end")

@@ -13,6 +13,7 @@ from ..operators import widgets as W
 from ..sources import fixtures as X
 from ..sources import io as IO
 from ..sources.tables import read_table
+from .oracle import sql_iso
 from .registry import register
 
 AS_OF = X.BANK_AS_OF
@@ -262,7 +263,11 @@ def s14(spark, d):
                                  "from orders group by o_orderstatus", limit=5000)
 
 
-@register("s15_to_json_rows", None)
+@register("s15_to_json_rows", f"""
+select json_object('id', id, 'from_account_id', from_account_id, 'to_account_id', to_account_id,
+  'amount', cast(amount as varchar), 'type', type, 'description', description, 'category', category,
+  'status', status, 'created_at', {sql_iso("created_at")})::varchar as json
+from transactions""")
 def s15(spark, d):
     return IO.to_json_rows(X.transactions(spark, d))
 

@@ -10,6 +10,7 @@ from ..operators import safety as S
 from ..sources import fixtures as X
 from ..sources.tables import read_table
 from ..streaming import events as SE
+from .oracle import sql_iso
 from .registry import register
 
 EV_AS_OF = X.TIMED_AS_OF - timedelta(days=1)   # last event day
@@ -149,7 +150,15 @@ def r12(spark, d):
     return S.violations_to_rows(ev)
 
 
-@register("s16_trace_to_events", None)
+@register("s16_trace_to_events", f"""
+select a.trace_id, a.routing_step,
+  json_object('timestamp', {sql_iso("a.trace_end")}, 'trace_id', a.trace_id, 'session_id', a.session_id,
+    'user_id', a.user_id, 'message', a.content, 'agent_name', a.agent_name, 'user_message', q.user_message,
+    'filter_category', 'None', 'content_filter_info', '{S.NOT_BLOCKED}')::varchar as event
+from chat_history a
+left join (select trace_id, arg_min(content, routing_step) as user_message from chat_history
+           where message_type = 'human' group by trace_id) q on q.trace_id = a.trace_id
+where a.message_type = 'ai'""")
 def s16(spark, d):
     return S.trace_to_events(X.chat_history(spark, d))
 
