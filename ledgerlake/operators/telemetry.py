@@ -324,6 +324,8 @@ def explode_trace(raw: DataFrame) -> dict[str, DataFrame]:
         F.coalesce("tool_call_id_out", "tool_call_id_in").alias("tool_call_id"),
         F.coalesce("tool_name", "tool_result_name").alias("tool_name"), "tool_input",
         F.when(F.col("message_type") == "tool_result", F.col("content")).alias("tool_output"))
+    # a trace's steps come from the arrays of one raw row, so this window never
+    # holds more than a single input row already held
     wt = Window.partitionBy("trace_id").orderBy("step")
     traces = steps.select("session_id", "trace_id", "user_id", F.col("step").alias("step_order"),
                           F.lag("agent_name", 1, "system").over(wt).alias("from_agent"),
