@@ -189,9 +189,12 @@ def eval_quality(scores: DataFrame) -> DataFrame:
 
 
 def eval_describe(scores: DataFrame) -> DataFrame:
-    """Count / mean / stddev / min / max of the metrics."""
-    return scores.select(*[F.col(m).cast("double").alias(m) for m in METRICS]).summary("count", "mean", "stddev",
-                                                                                        "min", "max")
+    """describe() of the metrics as numbers: one row per metric with count, mean,
+    sample stddev, min and max (one pass: unpivot, then one groupBy)."""
+    long = scores.unpivot([], [F.col(m).cast("double").alias(m) for m in METRICS], "metric", "score")
+    return long.groupBy("metric").agg(
+        F.count("score").alias("count"), F.round(F.avg("score"), 6).alias("mean"),
+        F.round(F.stddev_samp("score"), 6).alias("stddev"), F.min("score").alias("min"), F.max("score").alias("max"))
 
 
 def score_increment(pairs: DataFrame, scores_path: str, run_id: str,

@@ -159,6 +159,9 @@ def a30(spark, d):
     return EV.eval_quality(_scores(spark, d))
 
 
-@register("a31_eval_describe", None)
+@register("a31_eval_describe", "\nunion all\n".join(
+    f"select '{m}' as metric, count({m}) as count, round(avg(cast({m} as double)), 6) as mean, "
+    f"round(stddev_samp(cast({m} as double)), 6) as stddev, min(cast({m} as double)) as min, "
+    f"max(cast({m} as double)) as max from scores" for m in EV.METRICS), ctes=CTES)
 def a31(spark, d):
     return EV.eval_describe(_scores(spark, d))
