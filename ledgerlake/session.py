@@ -43,24 +43,18 @@ def local_session(cores: str = "*", shuffle_partitions: int = 8, app: str = "led
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
-    """Return the cluster's checkpoint folder, setting a scratch one only when unset.
+    """The cluster's shared checkpoint folder; a scratch one only where none is set.
 
     On a cluster ``spark.checkpoint.dir`` names a shared folder and is left
-    alone.  Only a bare local session (tests) gets a fresh temporary folder.
+    alone.  A session without it (tests, a bare local run) gets a fresh local
+    folder through ``SparkContext.setCheckpointDir``: the setting itself is
+    static and cannot be changed on a running session.
     """
     current = spark.conf.get("spark.checkpoint.dir", None)
-    try:
-        sc = spark.sparkContext
-    except Exception:  # Spark Connect: no SparkContext on the client
-        sc = None
-    if not current and sc is not None:
-        current = sc.getCheckpointDir()
-    if not current:
-        current = tempfile.mkdtemp(prefix="ledgerlake-ckpt-")
-        spark.conf.set("spark.checkpoint.dir", current)
-    if sc is not None and sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(current)
-    return current
+    sc = spark.sparkContext
+    if sc.getCheckpointDir() is None:
+        sc.setCheckpointDir(current or tempfile.mkdtemp(prefix="ledgerlake-ckpt-"))
+    return current or sc.getCheckpointDir()
 
 
 def checkpoint_path(spark: SparkSession, name: str) -> str:

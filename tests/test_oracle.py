@@ -6,11 +6,13 @@ import duckdb
 import pytest
 
 import __spark_entry__ as ep
+from ledgerlake.plans import registry
 from ledgerlake.sources.tables import RAW_TABLES
 from tools.check_oracle import digest
 
-QUERIES = ep.queries()
-ORACLE = ep.oracle_sql()
+registry.load_all()
+QUERIES = {k: v for k, v in ep.queries().items() if k in registry.QUERIES}
+ORACLE = dict(registry.ORACLE)
 
 
 @pytest.fixture(scope="module")
