@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import checkpoint_path
-from . import bpe, chat, mixing, urlfilter, warc
+from . import ann, bpe, chat, mixing, topk, urlfilter, warc
 from .common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -26,6 +26,29 @@ def register(name: str, sql: str | None = None):
     return deco
 
 
+@register("op1_cross_polytope_ann")
+def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 5 nearest embeddings found for every fiftieth one."""
+    rows = table(spark, sf_dir, "embeddings")
+    return ann.nearest_neighbours(rows, rows.where(F.col("vec_id") % 50 == 0), 5)
+
+
+@register("op4_dual_tree_topk", """
+with e as (
+  select vec_id, list_transform(embedding, lambda x: cast(floor(64 * cast(x as double)) as bigint)) as v from embeddings
+  where embedding is not null and len(embedding) > 0
+    and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0),
+s as (
+  select q.vec_id as query_id, r.vec_id, cast(list_dot_product(cast(q.v as double[]), cast(r.v as double[])) as bigint) as score
+  from e q join e r on q.vec_id <> r.vec_id where q.vec_id % 20 = 0),
+k as (select *, row_number() over (partition by query_id order by score desc, vec_id) as rank from s)
+select query_id, cast(rank as integer) as rank, vec_id, score from k where rank <= 20""")
+def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 20 largest integer inner products of every twentieth embedding."""
+    rows = table(spark, sf_dir, "embeddings")
+    return topk.top_products(rows, rows.where(F.col("vec_id") % 20 == 0), 20)
+
+
 RANKS = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
 
 
