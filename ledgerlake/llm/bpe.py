@@ -1,9 +1,8 @@
 """Byte-level BPE: exact merges in linear time by backtracking over longest matches.
 
 The ranks of a tiktoken file define the merges.  Bytes are read as Latin-1
-characters, so that an Aho-Corasick automaton over the tokens finds, in one
-pass, the longest token that starts at each byte.  Encoding walks from match to
-match.  Two neighbours are kept only if BPE would leave a boundary between them;
+characters, so that pyahocorasick's trie over the tokens finds the longest token
+that starts at a byte.  Encoding walks from match to match.  Two neighbours are kept only if BPE would leave a boundary between them;
 that test undoes both tokens' merges from the last to the first and is memoised.
 Where a match doesn't fit its left neighbour, the next shorter token is tried,
 and where none is left, the walk steps back one token.  A byte position that
@@ -33,7 +32,7 @@ from pyspark.sql import types as T
 from .common import add_columns
 
 #: Distinct chunks of text whose ids a worker remembers: up to twice as many, the older half goes first.
-REMEMBERED = 300_000
+REMEMBERED = 150_000
 
 
 class Vocabulary:
@@ -45,6 +44,7 @@ class Vocabulary:
         self.ranks = ranks
         self.text = {rank: token for token, rank in ranks.items()}
         self.length = [len(self.text.get(rank, "")) for rank in range(max(self.text, default=-1) + 1)]
+        self.widest = max(self.length, default=1)
         self.parts: dict[int, tuple[int, int]] = {}
         self.merged: dict[tuple[int, int], int] = {}
         self.shorter: dict[int, int | None] = {}
@@ -54,13 +54,12 @@ class Vocabulary:
             self._add(token, rank)
         self.fits.clear()
         for rank in [r for r in self.shorter if r in self.parts or self.length[r] == 1]:
-            self.automaton.add_word(self.text[rank], (rank, self.length[rank] - 1))
+            self.automaton.add_word(self.text[rank], rank)
         # a token that no sequence of merges reaches never appears inside a piece
         for rank, prefix in self.shorter.items():
             while prefix is not None and self.length[prefix] > 1 and prefix not in self.parts:
                 prefix = self.shorter[prefix]
             self.shorter[rank] = prefix
-        self.automaton.make_automaton()
 
     def _add(self, token: str, rank: int) -> None:
         """The longest shorter token that begins ``token``, and the pair whose merge makes it."""
@@ -109,12 +108,9 @@ class Vocabulary:
         if whole is not None:
             return [whole]
         size, length, shorter, fits = len(data), self.length, self.shorter, self.fits
-        longest = [0] * size
-        for end, (rank, back) in self.automaton.iter(data):  # a longer token of the same start ends later
-            longest[end - back] = rank
         dead = bytearray(size + 1)
         out: list[int] = []
-        at, token = 0, longest[0]
+        at, token = 0, self.longest(data, 0)
         while True:
             end = at + length[token]
             if not dead[end]:
@@ -125,7 +121,7 @@ class Vocabulary:
                     out.append(token)
                     if end == size:
                         return out
-                    at, token = end, longest[end]
+                    at, token = end, self.longest(data, end)
                     continue
             token = shorter[token]
             if token is None:
@@ -133,6 +129,16 @@ class Vocabulary:
                 token = out.pop()
                 at -= length[token]
 
+    def longest(self, data: str, at: int) -> int:
+        """The longest token that starts at this byte; every single byte is a token."""
+        window = data[at:at + self.widest]
+        n = self.automaton.longest_prefix(window)  # as far as some token goes on like this
+        while True:
+            rank = self.automaton.get(window[:n], None)
+            if rank is not None:
+                return rank
+            n -= 1
+
 
 @lru_cache(maxsize=4)
 def vocabulary(rank_lines: bytes) -> Vocabulary:
@@ -295,20 +301,25 @@ def decode(df: DataFrame, rank_file: str, ids: str = "ids", decoded: str = "deco
     lines = _ranks(rank_file)
 
     def make():
-        vocab = vocabulary(lines)
-        known = {rank: token.encode("latin-1") for rank, token in vocab.text.items()}
+        known = _token_bytes(lines)
 
         def step(column):
-            return [pa.array([_joined(x, known) for x in column.to_pylist()], pa.binary())]
+            values, offsets = column.flatten(), np.concatenate([[0], np.cumsum(np.asarray(column.value_lengths().fill_null(0)))])
+            valid = np.asarray(column.is_valid())
+            return [pa.array([_joined(values[a:b], known) if v else None
+                              for v, a, b in zip(valid, offsets, offsets[1:])], pa.binary())]
         return step
 
     return add_columns(df, [ids], T.StructType([T.StructField(decoded, T.BinaryType())]), make)
 
 
-def _joined(ids: list[int] | None, known: dict[int, bytes]) -> bytes | None:
-    if ids is None:
-        return None
+@lru_cache(maxsize=4)
+def _token_bytes(rank_lines: bytes) -> dict[int, bytes]:
+    return {int(rank): base64.b64decode(token) for token, rank in map(bytes.split, rank_lines.splitlines())}
+
+
+def _joined(ids: pa.Array, known: dict[int, bytes]) -> bytes | None:
     try:
-        return b"".join(map(known.__getitem__, ids))
+        return b"".join(map(known.__getitem__, ids.to_pylist()))
     except KeyError:
         return None

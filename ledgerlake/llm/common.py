@@ -14,6 +14,10 @@ from pyspark.sql.pandas.types import to_arrow_schema
 from ..session import checkpoint_path
 
 
+#: Rows of an Arrow batch that are worked on at a time, so that long texts take little memory.
+SLICE = 256
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -55,7 +59,7 @@ def add_columns(df: DataFrame, used: list[str], added: T.StructType, make: Calla
 
     def run(batches):
         step = make()
-        for batch in batches:
+        for batch in (b.slice(at, SLICE) for b in batches for at in range(0, b.num_rows, SLICE)):
             new = step(*[batch.column(n + i) for i in range(m)])
             yield pa.RecordBatch.from_arrays(
                 [batch.column(i) for i in range(n)] + [x if isinstance(x, pa.Array) else pa.array(x, f.type)
