@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import checkpoint_path
-from . import ann, bpe, chat, mixing, topk, urlfilter, warc
+from . import ann, bpe, chat, mixing, ngram_join, quality, topk, urlfilter, warc
 from .common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -33,6 +33,13 @@ def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ann.nearest_neighbours(rows, rows.where(F.col("vec_id") % 50 == 0), 5)
 
 
+@register("op3_quality_classifier")
+def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's quality score, learned from the labels outside the held-out fold."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return quality.classify(docs, table(spark, sf_dir, "labels")).select("doc_id", "held_out", "score", "predicted")
+
+
 @register("op4_dual_tree_topk", """
 with e as (
   select vec_id, list_transform(embedding, lambda x: cast(floor(64 * cast(x as double)) as bigint)) as v from embeddings
@@ -119,6 +126,12 @@ def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
                 F.char_length("formatted").cast("long").alias("formatted_chars"))
 
 
+@register("op7_ngram_jaccard_join")
+def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's component of links by sets of three-word shingles."""
+    return ngram_join.join_components(table(spark, sf_dir, "documents").select("doc_id", "text"), 3, 90)
+
+
 #: The URL rules that the query applies (host, path).
 RULES = [urlfilter.Rule("allow", "com", "/"), urlfilter.Rule("block", "example.com", "/en/"),
          urlfilter.Rule("allow", "www.example.com", "/en/"), urlfilter.Rule("block", "net", "/es/"),
