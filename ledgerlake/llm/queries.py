@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import checkpoint_path
-from . import ann, bpe, chat, mixing, ngram_join, quality, topk, urlfilter, warc
+from . import ann, bpe, chat, lm, mixing, ngram_join, quality, topk, urlfilter, warc
 from .common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -132,6 +132,13 @@ def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.join_components(table(spark, sf_dir, "documents").select("doc_id", "text"), 3, 90)
 
 
+@register("op8_attention_lm")
+def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's log10 probability under the attention model and under the unigram baseline."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return lm.score_texts(docs, RANKS, public_tokenizers.PATTERN)
+
+
 #: The URL rules that the query applies (host, path).
 RULES = [urlfilter.Rule("allow", "com", "/"), urlfilter.Rule("block", "example.com", "/en/"),
          urlfilter.Rule("allow", "www.example.com", "/en/"), urlfilter.Rule("block", "net", "/es/"),

@@ -39,6 +39,11 @@ def stir(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint64(32))
 
 
+def lowered(raw: np.ndarray) -> np.ndarray:
+    """A-Z in lower case."""
+    return _LOWER[raw]
+
+
 def bytes_of(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """The UTF-8 bytes of all texts (null: none), and where each text begins and the last ends."""
     texts = pa.array([], pa.large_string()) if not len(texts) else texts.cast(pa.large_string()).fill_null("")
@@ -72,7 +77,7 @@ def word_hashes(texts: pa.Array, lower: bool = True) -> tuple[np.ndarray, np.nda
     """The hash of every word, and the number of the first word of each text."""
     raw, offsets = bytes_of(texts)
     starts, ends, first = bounds(raw, offsets)
-    return hashes(_LOWER[raw] if lower else raw, starts, ends), first
+    return hashes(lowered(raw) if lower else raw, starts, ends), first
 
 
 def shingle_sets(words: np.ndarray, first: np.ndarray, size: int) -> list[np.ndarray]:
