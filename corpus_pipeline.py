@@ -1,15 +1,41 @@
-"""From raw documents to token ids: the stages of a training-data pipeline."""
+"""From raw documents to token ids: the stages of a training-data pipeline.
+
+Each stage takes (spark, docs, sf_dir) and returns a DataFrame; all but the last
+return the columns of documents.  Empty tables pass through as empty tables.
+"""
 
 from __future__ import annotations
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from ledgerlake.llm import bpe, mixing
+from ledgerlake.llm import bpe, mixing, ngram_join, quality
 from ledgerlake.llm.common import materialize, table
 from ledgerlake.llm.queries import BLOCK_ROWS, OTHER_WEIGHT, RANKS, WEIGHTS
 
 
+def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The documents that the quality classifier doesn't reject (score of at least 0.3)."""
+    scored = quality.classify(docs, table(spark, sf_dir, "labels"))
+    return scored.where(F.col("predicted") == 1).select(docs.columns)
+
+
+def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near copies (word 5-grams, similarity of at least 0.8): the smallest id's.
+
+    Of rows with that id and equal texts one stays.  A document without words is
+    a group of its own.  Documents without an id stay, once per text.
+    """
+    groups = ngram_join.join_components(docs, 5, 80)
+    chosen = groups.where("doc_id is null or doc_id = component_id").groupBy("doc_id").agg(F.count(F.lit(1)).alias("rows"))
+
+    def kept(ids: DataFrame) -> DataFrame:
+        return docs.join(ids.withColumnRenamed("doc_id", "_id"), F.col("doc_id").eqNullSafe(F.col("_id")), "left_semi")
+
+    return kept(chosen.where("rows = 1")).unionByName(kept(chosen.where("rows > 1")).dropDuplicates(["doc_id", "text"]))
+
+
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All rows in the order of the mix; the files, read by name, follow it."""
     mixed = mixing.mix(docs, WEIGHTS, OTHER_WEIGHT, BLOCK_ROWS)
@@ -21,15 +47,17 @@ def encode_texts(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
     return bpe.encode(docs, RANKS, public_tokenizers.PATTERN).drop("text")
 
 
-STAGES = [("mixing", mix_sources), ("byte-level BPE", encode_texts)]
+STAGES = [("quality classifier", keep_quality), ("n-gram Jaccard join", one_of_each_group),
+          ("mixing", mix_sources), ("byte-level BPE", encode_texts)]
 
+#: SQL can express neither the network nor the merges; tests compare each stage with a brute-force version.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The stages applied to ``documents``, each over all rows that the one before kept."""
     docs = table(spark, sf_dir, "documents")
-    for k, (name, stage) in enumerate(STAGES):
+    for k, (_, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)
         if k + 1 < len(STAGES):
             docs = materialize(docs, f"stage{k}")
