@@ -75,9 +75,13 @@ def dedupe_messages(msgs: DataFrame) -> DataFrame:
 
 
 def latest_tool_usage(tu: DataFrame, order_col: str = "logged_at") -> DataFrame:
-    """One row per tool_call_id, the latest write wins (an upsert as an aggregate)."""
+    """One row per tool_call_id, the latest write wins (an upsert as an aggregate).
+
+    Of different rows with equal times always the same one wins, by their hash.
+    """
     cols = [c for c in tu.columns if c not in ("tool_call_id", order_col)]
-    latest = tu.groupBy("tool_call_id").agg(F.max_by(F.struct(*cols, order_col), F.col(order_col)).alias("_l"))
+    latest = tu.groupBy("tool_call_id").agg(F.max_by(
+        F.struct(*cols, order_col), F.struct(F.col(order_col), F.xxhash64(*cols))).alias("_l"))
     return latest.select("tool_call_id", "_l.*")
 
 

@@ -4,7 +4,7 @@ The reference refreshes one widget per HTTP call, one SQL query per month.
 Here every dynamic widget is refreshed in one job: each distinct
 (query_type, time_range) pair present among the widgets is computed once for
 all users, the per-user points are gathered with ``collect_list`` and written
-into ``config.customProps.data`` with a typed struct update.
+into ``config.customProps.data``; all other members of the config stay.
 """
 
 from __future__ import annotations
@@ -13,7 +13,6 @@ from datetime import datetime
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType, StringType, StructField, StructType
 
 from ..functions.common import fmt_day, fmt_month, in_period, label, money, ts_lit
 from . import banking as B
@@ -25,14 +24,6 @@ CHART_QUERIES = ["spending_by_category", "monthly_trend", "monthly_income_expens
 GOAL_QUERIES = ["goal_savings_progress", "goal_debt_payoff_progress", "goal_spending_limit"]
 SIMULATIONS = ["loan_repayment", "savings_projector", "budget_planner", "retirement_calculator", "emergency_fund"]
 
-# Widget config as stored (title, chart type, custom props with colours and data points).
-CONFIG_SCHEMA = StructType([
-    StructField("title", StringType()), StructField("chartType", StringType()),
-    StructField("customProps", StructType([StructField("colors", ArrayType(StringType())),
-                                           StructField("data", ArrayType(StringType()))])),
-])
-
-
 def run_query(name: str, tx: DataFrame, acc: DataFrame, as_of: datetime, time_range: str = "last_6_months",
               filters: dict | None = None, ranges: list[str] | None = None) -> DataFrame | None:
     """V7: dispatch a widget query by name; unknown names give None (the reference returns []).
@@ -87,12 +78,31 @@ def _point_order(name: str) -> Column:
 
 def widget_points(name: str, result: DataFrame) -> DataFrame:
     """(user_id[, time_range], order, point JSON) for one query result; the JSON carries the chart fields."""
+    if name == "category_trend":
+        return wide_points(result)
     drop = {"user_id", "month", "date", "rank", "account_id", "time_range"}
     fields = [c for c in result.columns if c not in drop]
     keep = ["user_id"] + (["time_range"] if "time_range" in result.columns else [])
     return result.select(*keep, _point_order(name).alias("_o"), F.to_json(F.struct(*fields)).alias("point"))
 
 
+def wide_points(result: DataFrame, months: DataFrame | None = None) -> DataFrame:
+    """Points of category_trend: one per month, its name and a member for each category.
+
+    ``months`` (user_id, time_range, month) adds the months without spending.
+    """
+    keep = ["user_id"] + (["time_range"] if "time_range" in result.columns else [])
+    by_month = result.groupBy(*keep, "month").agg(
+        F.map_from_entries(F.array_sort(F.collect_list(F.struct("category", "value")))).alias("_v"))
+    if months is not None:
+        by_month = months.join(by_month, [*keep, "month"], "left")
+    name = F.to_json(F.struct(fmt_month("month").alias("name")))
+    values = F.to_json(F.coalesce("_v", F.create_map().cast("map<string,double>")))
+    point = F.when(values == "{}", name).otherwise(F.concat(F.rtrim(name, F.lit("}")), F.lit(","), F.ltrim(values, F.lit("{"))))
+    return by_month.select(*keep, F.struct(F.col("month").cast("string").alias("a"), F.lit("").alias("b")).alias("_o"),
+                           point.alias("point"))
+
+
 def refresh_widgets(widgets: DataFrame, tx: DataFrame, acc: DataFrame, as_of: datetime) -> DataFrame:
     """Recompute every dynamic widget and write the points into its config.
 
@@ -115,7 +125,8 @@ def refresh_widgets(widgets: DataFrame, tx: DataFrame, acc: DataFrame, as_of: da
         res = shared.get(qt) if qt in shared else run_query(qt, tx, acc, as_of, ranges=sorted(trs))
         if res is None:
             continue
-        pts = widget_points(qt, res).select("user_id", F.lit(qt).alias("query_type"), "time_range", "_o", "point")
+        pts = wide_points(res, B._spine(B._users_with_accounts(acc), as_of, sorted(trs))) if qt == "category_trend" else widget_points(qt, res)
+        pts = pts.select("user_id", F.lit(qt).alias("query_type"), "time_range", "_o", "point")
         parts = pts if parts is None else parts.unionByName(pts)
     if parts is None:
         j = widgets.withColumn("_data", F.lit(None).cast("array<string>"))
@@ -131,22 +142,20 @@ def refresh_widgets(widgets: DataFrame, tx: DataFrame, acc: DataFrame, as_of: da
                     F.when(is_dyn, F.lit(as_of).cast("timestamp_ntz")).alias("last_refreshed"))
 
 
-DATA_SLOT = "__ledgerlake_data_slot__"
-
-
 def set_widget_data(config: Column, data: Column) -> Column:
     """config JSON with ``customProps.data`` replaced (customProps created if absent).
 
-    ``data`` is an array of JSON objects (one per point, in order).  The
-    config is rebuilt as a typed struct; the points are spliced in as raw
-    JSON at a slot so each keeps its own fields.
+    ``data`` is an array of JSON objects (one per point, in order).  Every other
+    member of the config and of customProps stays, whatever its type.  A config
+    that is null or no JSON object is returned as it is.
     """
-    parsed = F.from_json(config, CONFIG_SCHEMA)
-    cp = F.coalesce(parsed["customProps"], F.struct(F.lit(None).cast("array<string>").alias("colors"),
-                                                   F.lit(None).cast("array<string>").alias("data")))
-    updated = parsed.withField("customProps", cp.withField("data", F.array(F.lit(DATA_SLOT))))
-    raw = F.concat(F.lit("["), F.array_join(data, ","), F.lit("]"))
-    return F.replace(F.to_json(updated), F.lit(f'["{DATA_SLOT}"]'), raw)
+    members = F.try_parse_json(config).try_cast("map<string,variant>")
+    props = F.coalesce(members["customProps"].try_cast("map<string,variant>"), F.create_map().cast("map<string,variant>"))
+    points = F.parse_json(F.concat(F.lit("["), F.array_join(data, ","), F.lit("]")))
+    props = F.map_concat(F.map_filter(props, lambda k, v: k != "data"), F.create_map(F.lit("data"), points))
+    whole = F.map_concat(F.map_filter(members, lambda k, v: k != "customProps"),
+                         F.create_map(F.lit("customProps"), F.call_function("to_variant_object", props)))
+    return F.coalesce(F.to_json(whole), config)
 
 
 def widget_counts(widgets: DataFrame) -> DataFrame:

@@ -86,13 +86,25 @@ def j11(spark, d):
     return W.refresh_widgets(X.ai_widgets(spark, d), X.transactions(spark, d), X.accounts(spark, d), AS_OF)
 
 
-@register("f6_set_widget_data", """
-select widget_id, replace(config, '"data":[]', '"data":[{"widget":' || cast(widget_id as varchar) || '}]') as config
-from ai_widgets""")
+# Members that a refresh must leave alone, inserted into the stored config.
+F6_EXTRA = '"xAxisKey":"name","n":null,"nested":{"quote":"a\\"b","list":[1,2.5,true]},'
+
+
+@register("f6_set_widget_data", f"""
+select widget_id, config->>'$.title' as title, config->>'$.chartType' as chart_type, config->>'$.customProps.colors' as colors,
+  config->>'$.customProps.data' as data, config->>'$.customProps.height' as height, config->>'$.xAxisKey' as x_axis,
+  config->>'$.nested.quote' as quote, config->>'$.nested.list' as list
+from (select widget_id, replace(replace(config, '{{"title"', '{{{F6_EXTRA}"title"'), '"data":[]',
+        '"height":30,"data":[{{"widget":' || cast(widget_id as varchar) || '}}]') as config from ai_widgets) d""")
 def f6(spark, d):
     w = X.ai_widgets(spark, d)
+    stored = F.replace(F.replace(F.col("config"), F.lit('{"title"'), F.lit("{" + F6_EXTRA + '"title"')),
+                       F.lit('"data":[]'), F.lit('"height":30,"data":[]'))
     point = F.concat(F.lit('{"widget":'), F.col("widget_id").cast("string"), F.lit("}"))
-    return w.select("widget_id", W.set_widget_data(F.col("config"), F.array(point)).alias("config"))
+    done = w.select("widget_id", W.set_widget_data(stored, F.array(point)).alias("c"))
+    paths = {"title": "$.title", "chart_type": "$.chartType", "colors": "$.customProps.colors", "data": "$.customProps.data",
+             "height": "$.customProps.height", "x_axis": "$.xAxisKey", "quote": "$.nested.quote", "list": "$.nested.list"}
+    return done.select("widget_id", *[F.get_json_object("c", p).alias(n) for n, p in paths.items()])
 
 
 @register("v7_run_query", None)
@@ -272,12 +284,6 @@ def s15(spark, d):
     return IO.to_json_rows(X.transactions(spark, d))
 
 
-@register("s17_generate_bank", None)
-def s17(spark, d):
-    """Synthetic bank data for every user of the test tables (a deterministic function of user id)."""
-    return IO.generate_bank(X.users(spark, d), AS_OF)["transactions"]
-
-
 @register("s18_orphan_transactions", """
 select id, 'from_account_id' as side, from_account_id as account_id from transactions
 where from_account_id is not null and from_account_id not in (select account_id from accounts)

@@ -1,8 +1,7 @@
-"""Table maintenance, guarded reads, result export and data generation.
+"""Table maintenance, guarded reads, result export.
 
 Writes are whole-job file commits (one job, not 100 rows per commit); keyed
-inserts and purges are anti-joins; the generator is a pure function of
-(user id, seed), so a retried task regenerates exactly the same rows.
+inserts and purges are anti-joins.
 """
 
 from __future__ import annotations
@@ -118,104 +117,3 @@ def orphan_transactions(tx: DataFrame, acc: DataFrame) -> DataFrame:
         o = t.join(ids, t["account_id"] == ids["_a"], "left_anti")
         out = o if out is None else out.unionByName(o)
     return out
-
-
-# ---------------------------------------------------------------- generator
-
-# Payment categories with their merchants, deposit categories with
-# their descriptions, and the account kinds of the reference's user generator.
-PAYMENT_CATEGORIES = [
-    ("Groceries", ["Whole Foods", "Trader Joe's", "Safeway", "Kroger", "Target"]),
-    ("Restaurants", ["Starbucks", "Chipotle", "McDonald's", "Subway", "Pizza Hut"]),
-    ("Shopping", ["Amazon", "Walmart", "Best Buy", "Target", "Costco"]),
-    ("Entertainment", ["Netflix", "Spotify", "AMC Theaters", "PlayStation Store"]),
-    ("Utilities", ["PG&E", "Comcast", "AT&T", "Water District", "Electric Co"]),
-    ("Transportation", ["Shell", "Chevron", "Uber", "Lyft", "Metro Transit"]),
-    ("Healthcare", ["CVS Pharmacy", "Walgreens", "Medical Center", "Dental Care"]),
-]
-DEPOSIT_CATEGORIES = [
-    ("Salary", ["Direct Deposit - Payroll", "Monthly Salary"]),
-    ("Refund", ["Tax Refund", "Purchase Refund"]),
-    ("Transfer", ["External Transfer", "Wire Transfer"]),
-]
-EXTRA_ACCOUNT_TYPES = ["checking", "savings", "credit"]
-
-
-def _u(seed: int, *parts) -> Column:
-    """A uniform [0, 1) number from the hash of (seed, parts): deterministic per row."""
-    h = F.xxhash64(F.lit(seed), *parts)
-    return (F.pmod(h, F.lit(1_000_000_007)) / F.lit(1_000_000_007.0))
-
-
-def _uniform(lo: float, hi: float, u: Column) -> Column:
-    return F.round(F.lit(lo) + F.lit(hi - lo) * u, 2)
-
-
-def _pick(arr: Column, u: Column) -> Column:
-    return F.element_at(arr, (F.floor(u * F.size(arr)) + 1).cast("int"))
-
-
-def generate_bank(users: DataFrame, as_of: datetime, seed: int = 42) -> dict[str, DataFrame]:
-    """2-4 accounts per user (a checking and a savings first), 20-50 transactions over 180 days,
-    payment / deposit / transfer at 60 / 20 / 20, credit balances negative.
-
-    Everything is an expression of (seed, user_id, index): one pass over the
-    users table, no joins, no driver state.
-    """
-    uid = F.col("user_id")
-    n_acc = (2 + F.floor(_u(seed, uid, F.lit("n_acc")) * 3)).cast("int")
-    kinds = F.array(*[F.lit(k) for k in EXTRA_ACCOUNT_TYPES])
-
-    def acct(a: Column) -> Column:
-        u = _u(seed, uid, a, F.lit("kind"))
-        kind = F.when(a == 0, F.lit("checking")).when(a == 1, F.lit("savings")).otherwise(_pick(kinds, u))
-        ub = _u(seed, uid, a, F.lit("bal"))
-        mandatory_bal = F.when(a == 0, _uniform(500, 5000, ub)).otherwise(_uniform(1000, 20000, ub))
-        extra_bal = (F.when(kind == "credit", _uniform(-2000, -100, ub))
-                      .when(kind == "savings", _uniform(1000, 30000, ub)).otherwise(_uniform(100, 8000, ub)))
-        return F.struct((uid * 10 + a).alias("account_id"), kind.alias("account_type"),
-                        F.when(a < 2, mandatory_bal).otherwise(extra_bal).cast("decimal(15,2)").alias("balance"),
-                        F.concat(F.lit("Account "), a.cast("string"), F.lit(" "), F.initcap(kind)).alias("name"))
-
-    with_acc = users.select("user_id", F.transform(F.sequence(F.lit(0), n_acc - 1), acct).alias("accs"))
-    accounts = with_acc.select("user_id", F.explode("accs").alias("a")).select("user_id", "a.*")
-
-    pay_cats = F.array(*[F.struct(F.lit(c).alias("c"), F.array(*[F.lit(m) for m in ms]).alias("m"))
-                         for c, ms in PAYMENT_CATEGORIES])
-    dep_cats = F.array(*[F.struct(F.lit(c).alias("c"), F.array(*[F.lit(m) for m in ms]).alias("m"))
-                         for c, ms in DEPOSIT_CATEGORIES])
-    n_tx = (20 + F.floor(_u(seed, uid, F.lit("n_tx")) * 31)).cast("int")
-    rows = with_acc.select("user_id", "accs", F.explode(F.sequence(F.lit(1), n_tx)).alias("i"))
-    i = F.col("i")
-    u_type = _u(seed, uid, i, F.lit("type"))
-    ttype = F.when(u_type < 0.6, "payment").when(u_type < 0.8, "deposit").otherwise("transfer")
-    spend_from = F.filter("accs", lambda a: a["account_type"].isin("checking", "savings"))
-    checking = F.filter("accs", lambda a: a["account_type"] == "checking")
-    src = _pick(F.col("accs"), _u(seed, uid, i, F.lit("src")))
-    others = F.filter("accs", lambda a: a["account_id"] != src["account_id"])
-    pcat = _pick(pay_cats, _u(seed, uid, i, F.lit("cat")))
-    dcat = _pick(dep_cats, _u(seed, uid, i, F.lit("cat")))
-    pay_from = _pick(spend_from, _u(seed, uid, i, F.lit("from")))
-    dep_to = _pick(checking, _u(seed, uid, i, F.lit("to")))
-    dst = _pick(others, _u(seed, uid, i, F.lit("dst")))
-    ua = _u(seed, uid, i, F.lit("amt"))
-    days = F.floor(_u(seed, uid, i, F.lit("day")) * 181).cast("int")
-    tx = rows.select(
-        (uid * 1000 + i).alias("id"), "user_id",
-        F.when(ttype == "payment", pay_from["account_id"]).when(ttype == "transfer", src["account_id"])
-         .alias("from_account_id"),
-        F.when(ttype == "deposit", dep_to["account_id"]).when(ttype == "transfer", dst["account_id"])
-         .alias("to_account_id"),
-        F.when(ttype == "payment", _uniform(5, 500, ua)).when(ttype == "deposit", _uniform(100, 3000, ua))
-         .otherwise(_uniform(50, 1000, ua)).cast("decimal(15,2)").alias("amount"),
-        ttype.alias("type"),
-        F.when(ttype == "payment", F.concat(F.lit("Payment to "), _pick(pcat["m"], _u(seed, uid, i, F.lit("m")))))
-         .when(ttype == "deposit", _pick(dcat["m"], _u(seed, uid, i, F.lit("m"))))
-         .otherwise(F.concat(F.lit("Transfer from "), src["name"], F.lit(" to "), dst["name"])).alias("description"),
-        F.when(ttype == "payment", pcat["c"]).when(ttype == "deposit", dcat["c"]).otherwise(F.lit("Transfer"))
-         .alias("category"),
-        F.lit("completed").alias("status"),
-        (F.lit(as_of.strftime("%Y-%m-%d %H:%M:%S")).cast("timestamp_ntz") - F.make_dt_interval(days=days))
-        .alias("created_at"),
-    )
-    return {"accounts": accounts, "transactions": tx}

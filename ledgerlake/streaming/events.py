@@ -1,13 +1,15 @@
 """Structured Streaming jobs over the content-safety event stream and telemetry.
 
-Sources are file streams with a fixed schema (never inferred); sinks carry a
-checkpoint under the cluster's shared ``spark.checkpoint.dir`` so a restarted
-or rescheduled query resumes exactly where it stopped.  Aggregations run on
-event time with a watermark, so state is bounded.
+Sources are file streams with a fixed schema (never inferred).  A job's
+checkpoint lies beside its output (``<target>/_checkpoint``, which readers
+skip) unless another folder is given, so the same call run again resumes where
+the last one stopped.  In append and update mode the watermark bounds the state
+of the event-time aggregations; complete mode keeps all groups.
 """
 
 from __future__ import annotations
 
+import hashlib
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -18,6 +20,7 @@ from pyspark.sql.types import DoubleType, LongType, StringType, StructField, Str
 from ..operators import safety as S
 from ..operators import telemetry as T
 from ..session import checkpoint_path
+from ..sources.tables import read_path_or_empty
 
 # Schema of the raw event files (the stream is schema-on-read in the reference; ours is fixed).
 RAW_EVENT_SCHEMA = StructType([
@@ -30,6 +33,17 @@ AGENTIC_EVENT_FIELDS = ["timestamp", "trace_id", "session_id", "user_id", "messa
                         "filter_category", "content_filter_info"]
 
 
+def default_checkpoint(target: str) -> str:
+    """The checkpoint folder of the job that writes to ``target``."""
+    return target.rstrip("/") + "/_checkpoint"
+
+
+def epoch_folder(target: str, checkpoint: str, epoch: int) -> str:
+    """The folder of one micro-batch: a replay overwrites its own, other checkpoints and batches never."""
+    job = hashlib.sha256(checkpoint.encode()).hexdigest()[:12]
+    return f"{target.rstrip('/')}/epoch={job}-{epoch:09d}"
+
+
 def read_events_stream(spark: SparkSession, data_dir: str, max_files_per_trigger: int | None = None,
                        glob: str | None = "events.parquet") -> DataFrame:
     """The event stream with the agentic-event shape; event time as TIMESTAMP (watermarks need it).
@@ -68,8 +82,7 @@ def land_events(stream: DataFrame, table_path: str, checkpoint: str | None = Non
     With ``by_date`` the table is partitioned by ``event_date`` so retention
     (R8) and recent-window reads (R7) prune to one or two partitions.
     """
-    spark = stream.sparkSession
-    ck = checkpoint or checkpoint_path(spark, f"land-events-{uuid.uuid4().hex}")
+    ck = checkpoint or default_checkpoint(table_path)
     if by_date:
         stream = stream.withColumn("event_date", F.to_date("timestamp"))
     w = stream.writeStream.format("parquet").option("path", table_path).option("checkpointLocation", ck) \
@@ -89,21 +102,25 @@ def events_by_category_windowed(stream: DataFrame, window: str = "1 minute", wat
                           "filter_category", "eventCount"))
 
 
-def run_to_table(df: DataFrame, mode: str = "complete", name: str | None = None) -> DataFrame:
-    """Drive a streaming query to completion (availableNow) and return its result as a batch frame.
+def run_to_table(df: DataFrame, mode: str = "complete", path: str | None = None) -> DataFrame:
+    """Run a streaming query over what is there (availableNow) and return its result table.
 
-    The memory sink is for checks on bounded inputs; production sinks are
-    ``land_events`` / ``foreachBatch`` writers.
+    The result is written to ``path`` (default: a fresh folder of the shared
+    one): appended batch by batch, or, in complete mode, the last full result.
+    Nothing passes through the driver.
     """
     spark = df.sparkSession
-    name = name or f"ll_{uuid.uuid4().hex[:12]}"
-    ck = checkpoint_path(spark, f"stream-{name}")
-    q = (df.writeStream.format("memory").queryName(name).outputMode(mode)
-           .option("checkpointLocation", ck).trigger(availableNow=True).start())
+    path = path or checkpoint_path(spark, f"stream-{uuid.uuid4().hex}")
+    ck = default_checkpoint(path)
+
+    def write(batch: DataFrame, epoch: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{path}/result" if mode == "complete" else epoch_folder(f"{path}/result", ck, epoch))
+
+    q = df.writeStream.foreachBatch(write).outputMode(mode).option("checkpointLocation", ck).trigger(availableNow=True).start()
     q.awaitTermination()
     if q.exception() is not None:
         raise RuntimeError(str(q.exception()))
-    return spark.table(name)
+    return read_path_or_empty(spark, f"{path}/result", df.schema).select(df.columns)
 
 
 def session_state(msgs: DataFrame, watermark: str = "1 day") -> DataFrame:
@@ -120,24 +137,21 @@ def session_state(msgs: DataFrame, watermark: str = "1 day") -> DataFrame:
                       .alias("session_duration_ms"))
 
 
-def upsert_tool_usage(updates: DataFrame, log_path: str, checkpoint: str | None = None,
-                      watermark: str = "1 hour") -> StreamingQuery:
-    """Idempotent tool-usage upserts.
+def upsert_tool_usage(updates: DataFrame, log_path: str, checkpoint: str | None = None) -> StreamingQuery:
+    """Idempotent tool-usage upserts, however late they come.
 
-    Exact replays are dropped within the watermark; every micro-batch writes
-    its own ``epoch=<n>`` folder of the upsert log (overwrite, atomic commit),
-    so a batch replayed after a failure replaces exactly what it wrote before;
-    readers take the latest row per tool_call_id with ``current_tool_usage``
-    (merge on read, W4).
+    Every micro-batch writes its own ``epoch=`` folder of the upsert log
+    (overwrite, atomic commit), so a batch replayed after a failure replaces
+    exactly what it wrote before; readers take the latest row per tool_call_id
+    with ``current_tool_usage`` (merge on read, W4), which also absorbs exact
+    replays of an update.
     """
-    spark = updates.sparkSession
-    ck = checkpoint or checkpoint_path(spark, f"tool-usage-{uuid.uuid4().hex}")
-    dedup = updates.withWatermark("logged_at", watermark).dropDuplicatesWithinWatermark(["tool_call_id", "logged_at"])
+    ck = checkpoint or default_checkpoint(log_path)
 
     def write(batch: DataFrame, epoch: int) -> None:
-        batch.write.mode("overwrite").parquet(f"{log_path.rstrip('/')}/epoch={epoch}")
+        batch.write.mode("overwrite").parquet(epoch_folder(log_path, ck, epoch))
 
-    return dedup.writeStream.foreachBatch(write).option("checkpointLocation", ck).trigger(availableNow=True).start()
+    return updates.writeStream.foreachBatch(write).option("checkpointLocation", ck).trigger(availableNow=True).start()
 
 
 def current_tool_usage(spark: SparkSession, log_path: str) -> DataFrame:
@@ -146,10 +160,9 @@ def current_tool_usage(spark: SparkSession, log_path: str) -> DataFrame:
 
 
 def score_increment_stream(pairs_stream: DataFrame, scores_path: str, checkpoint: str | None = None) -> StreamingQuery:
-    """R14 streaming: each micro-batch scores only unseen traces and appends them."""
+    """R14 streaming: each micro-batch scores only unseen traces, with their full history, and appends them."""
     from ..operators.evaluation import score_increment
-    spark = pairs_stream.sparkSession
-    ck = checkpoint or checkpoint_path(spark, f"score-{uuid.uuid4().hex}")
+    ck = checkpoint or default_checkpoint(scores_path)
 
     def run(batch: DataFrame, epoch: int) -> None:
         score_increment(batch, scores_path, run_id=f"epoch-{epoch}")
@@ -162,16 +175,19 @@ def explode_trace_stream(raw_stream: DataFrame, out_dir: str, checkpoint: str |
 
     A raw trace row carries the whole trace (its steps are arrays), so the
     batch fan-out is exact per micro-batch.  Each batch writes one
-    ``epoch=<n>`` folder per table (overwrite), so a replayed batch replaces
+    ``epoch=`` folder per table (overwrite), so a replayed batch replaces
     its own output.
     """
-    spark = raw_stream.sparkSession
-    ck = checkpoint or checkpoint_path(spark, f"traces-{uuid.uuid4().hex}")
+    ck = checkpoint or default_checkpoint(out_dir)
     base = out_dir.rstrip("/")
 
     def run(batch: DataFrame, epoch: int) -> None:
-        for name, df in T.explode_trace(batch).items():
-            df.write.mode("overwrite").parquet(f"{base}/{name}/epoch={epoch}")
+        batch.persist()          # three tables from one reading
+        try:
+            for name, df in T.explode_trace(batch).items():
+                df.write.mode("overwrite").parquet(epoch_folder(f"{base}/{name}", ck, epoch))
+        finally:
+            batch.unpersist()
 
     return raw_stream.writeStream.foreachBatch(run).option("checkpointLocation", ck) \
         .trigger(availableNow=True).start()

@@ -6,6 +6,7 @@ import tempfile
 import uuid
 from datetime import datetime
 
+import pandas as pd
 from pyspark.sql import functions as F
 
 from ledgerlake.operators import evaluation as EV
@@ -101,21 +102,6 @@ def test_dense_chunk_ids_are_contiguous(spark, small_dir):
     assert got == list(range(42, 42 + n))
 
 
-def test_generated_bank_is_consistent(spark, small_dir):
-    out = IO.generate_bank(X.users(spark, small_dir), datetime(2024, 6, 1), seed=1)
-    acc, tx = out["accounts"], out["transactions"]
-    per_user = acc.groupBy("user_id").agg(F.count(F.lit(1)).alias("n"),
-                                          F.sum((F.col("account_type") == "checking").cast("int")).alias("c"),
-                                          F.sum((F.col("account_type") == "savings").cast("int")).alias("s"))
-    assert per_user.filter((F.col("n") < 2) | (F.col("n") > 4) | (F.col("c") < 1) | (F.col("s") < 1)).count() == 0
-    assert acc.filter((F.col("account_type") == "credit") & (F.col("balance") >= 0)).count() == 0
-    n_tx = tx.groupBy("user_id").count()
-    assert n_tx.filter((F.col("count") < 20) | (F.col("count") > 50)).count() == 0
-    assert IO.orphan_transactions(tx, acc).count() == 0
-    again = IO.generate_bank(X.users(spark, small_dir), datetime(2024, 6, 1), seed=1)["transactions"]
-    assert _rows(tx.limit(0)) == [] and tx.exceptAll(again).count() == 0
-
-
 def test_describe_table_and_json_rows(spark, small_dir):
     tx = X.transactions(spark, small_dir)
     desc = IO.describe_table(spark, tx, "transactions").collect()
@@ -207,3 +193,107 @@ def test_retention_prunes_landed_partitions(spark, small_dir):
     want = landed.filter((F.col("timestamp") > F.lit(datetime(2024, 1, 29)).cast("timestamp")) &
                          (F.col("timestamp") <= F.lit(as_of).cast("timestamp"))).count()
     assert kept.count() == want
+
+
+def test_streams_run_again_take_new_files_once(spark, small_dir):
+    """Run, add files, run again without further arguments: every row exactly once, early and late ones."""
+    events = read_table(spark, small_dir, "events")
+    src = checkpoint_path(spark, f"again-src-{uuid.uuid4().hex}")
+    out = checkpoint_path(spark, f"again-out-{uuid.uuid4().hex}")
+    half = events.filter("event_id % 2 = 0"), events.filter("event_id % 2 = 1")
+    for k, part in enumerate(half):
+        part.write.parquet(f"{src}/b{k}")
+
+        def stream():
+            raw = spark.readStream.schema(SE.RAW_EVENT_SCHEMA).option("recursiveFileLookup", "true").parquet(src)
+            return SE.to_agentic(raw)
+        SE.land_events(stream(), f"{out}/events").awaitTermination()
+        got = SE.run_to_table(stream(), "append", f"{out}/table")
+        counted = SE.run_to_table(SE.events_by_category_windowed(stream()), "complete", f"{out}/windows")
+    assert spark.read.parquet(f"{out}/events").count() == events.count() == got.count()
+    assert _rows(got.select("trace_id")) == _rows(events.select(F.col("event_id").alias("trace_id")))
+    assert _rows(counted) == _rows(SE.events_by_category_windowed(SE.to_agentic(events)))
+
+
+def test_late_tool_updates_are_kept_across_runs(spark):
+    src = checkpoint_path(spark, f"late-src-{uuid.uuid4().hex}")
+    log = checkpoint_path(spark, f"late-log-{uuid.uuid4().hex}")
+    schema = "tool_call_id bigint, tool_output string, tokens_used int, logged_at timestamp"
+    for k, (call, text, at) in enumerate([(1, "a", "2024-01-05"), (2, "late", "2024-01-01"), (1, "b", "2024-01-06"), (1, "old", "2024-01-02")]):
+        spark.createDataFrame([(call, text, k, datetime.fromisoformat(at))], schema).write.parquet(f"{src}/b{k}")
+        stream = spark.readStream.schema(schema).option("recursiveFileLookup", "true").parquet(src)
+        SE.upsert_tool_usage(stream, log).awaitTermination()
+    assert _rows(SE.current_tool_usage(spark, log).select("tool_call_id", "tool_output")) == [(1, "b"), (2, "late")]
+
+
+def test_scores_do_not_depend_on_the_increments(spark, small_dir):
+    """A scorer that looks at the history gives the same scores in one run and in several."""
+    def scorer(pdf):
+        out = {f: [""] * len(pdf) for f in EV.SCORE_FIELDS}
+        for m in EV.METRICS:
+            out[m] = [float(len(h)) for h in pdf["conversation_history"]]
+            out[f"{m}_threshold"] = [3.0] * len(pdf)
+        return pd.DataFrame(out)
+    pairs = EV.qa_pairs(X.chat_history(spark, small_dir))
+    # a trace is scored at once; its place in the session is that of its first turn
+    first = pairs.groupBy("agent_trace_id").agg(F.min("turn_number").alias("_first"))
+    pairs = pairs.join(first, "agent_trace_id")
+    cuts = pairs.approxQuantile("_first", [0.4, 0.7], 0.0)
+    wanted = None
+    for bounds in ([], cuts[:1], cuts):
+        path = checkpoint_path(spark, f"incr-{uuid.uuid4().hex}")
+        low = None
+        for high in [*bounds, None]:
+            part = pairs
+            if low is not None:
+                part = part.filter(F.col("_first") > low)
+            if high is not None:
+                part = part.filter(F.col("_first") <= high)
+            EV.score_increment(part.drop("_first"), path, "r", scorer)
+            low = high
+        got = _rows(spark.read.parquet(path).select("agent_trace_id", "turn_number", EV.METRICS[0]))
+        wanted = wanted or got
+        assert got == wanted and max(r[2] for r in got) > 0
+
+
+def test_trend_points_are_wide_and_complete(spark, small_dir):
+    import json
+    from ledgerlake.operators import widgets as W
+    tx, acc = X.transactions(spark, small_dir), X.accounts(spark, small_dir)
+    widgets = X.ai_widgets(spark, small_dir).withColumn("data_mode", F.lit("dynamic"))
+    out = W.refresh_widgets(widgets, tx, acc, X.BANK_AS_OF).filter(F.col("query_type") == "category_trend").collect()
+    assert out
+    for r in out[:20]:
+        data = json.loads(r["config"])["customProps"]["data"]
+        long = W.run_query("category_trend", tx, acc, X.BANK_AS_OF, r["time_range"]).filter(F.col("user_id") == r["user_id"]).collect()
+        want = {}
+        for p in long:
+            want.setdefault(p["name"], {})[p["category"]] = p["value"]
+        months = [m["name"] for m in W.run_query("monthly_trend", tx, acc, X.BANK_AS_OF, r["time_range"])
+                  .filter(F.col("user_id") == r["user_id"]).orderBy("month").collect()]
+        assert [p.pop("name") for p in data] == months
+        assert data == [want.get(m, {}) for m in months]
+
+
+def test_widget_data_keeps_all_other_members(spark):
+    import json
+    from ledgerlake.operators import widgets as W
+    configs = ['{"a":1.5,"b":null,"customProps":{"height":{"x":[1,"q\\"",true]},"data":[1]},"é":"\\u00e9"}', '{}', '{"customProps":null}',
+               "[1]", "no json", None, '{"customProps":{"data":"x","n":12345678901234567890}}']
+    df = spark.createDataFrame([(i, c) for i, c in enumerate(configs)], "i int, c string")
+    got = {r["i"]: r["o"] for r in df.select("i", W.set_widget_data(F.col("c"), F.array(F.lit('{"v":2}'))).alias("o")).collect()}
+    for i, c in enumerate(configs[:3] + configs[6:]):
+        i = i if i < 3 else 6
+        want = json.loads(c)
+        want["customProps"] = {**(want.get("customProps") or {}), "data": [{"v": 2}]}
+        assert json.loads(got[i]) == want
+    assert [got[3], got[4], got[5]] == configs[3:6]
+
+
+def test_questions_without_rows(spark):
+    from ledgerlake.operators import vectors as V
+    none = spark.createDataFrame([], "query_id bigint, vec array<float>")
+    chunks = spark.createDataFrame([(1, [1.0], "t"), (2, None, "u")], "id bigint, vec array<float>, chunk_text string")
+    assert V.rag_context(none, chunks).count() == 0
+    one = spark.createDataFrame([(5, [2.0])], "query_id bigint, vec array<float>")
+    assert [tuple(r) for r in V.rag_context(one, chunks).collect()] == [(5, 1, V.rag_context(one, chunks).first()["context"])]
