@@ -16,15 +16,16 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from ..session import ensure_checkpoint_dir
 
-def ordinal_within(df: DataFrame, key: str, order: list[str], name: str, partitions: int | None = None) -> DataFrame:
+
+def ordinal_within(df: DataFrame, key: str, order: list[str], name: str) -> DataFrame:
     """``df`` with ``name`` = 1, 2, ... per ``key`` in ``order`` (``order`` must end in a unique column)."""
-    spark = df.sparkSession
-    p = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    ensure_checkpoint_dir(df.sparkSession)
     # The partition id must mean the same slice in both branches below (and after
     # a retry): the range partitioner samples its input, so the partitioned rows
     # are frozen with a reliable checkpoint in the shared checkpoint folder.
-    ranged = df.repartitionByRange(p, key, *order).withColumn("_p", F.spark_partition_id()).checkpoint(eager=True)
+    ranged = df.repartitionByRange(key, *order).withColumn("_p", F.spark_partition_id()).checkpoint(eager=True)
     local = ranged.withColumn("_lr", F.row_number().over(Window.partitionBy("_p", key).orderBy(*order)))
     counts = local.groupBy("_p", key).agg(F.count(F.lit(1)).alias("_c"))
     earlier = Window.partitionBy(key).orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)

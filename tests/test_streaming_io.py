@@ -100,6 +100,9 @@ def test_dense_chunk_ids_are_contiguous(spark, small_dir):
     n = chunks.count()
     got = [r["id"] for r in ids.orderBy("doc_id", "chunk_no").collect()]
     assert got == list(range(42, 42 + n))
+    whole = D.ingest_documents(X.chunk_source(spark, small_dir), existing)
+    columns = ["id", "doc_id", "chunk_no", "source_pdf", "chunk_text"]
+    assert _rows(whole.select(columns)) == _rows(ids.select(columns))
 
 
 def test_describe_table_and_json_rows(spark, small_dir):
