@@ -3,7 +3,8 @@
 Each entry is ``name -> (build(spark, sf_dir) -> DataFrame, oracle_sql | None)``.
 Names are the SURVEY ids plus the operator name.  Every plan reads the whole
 test tables (through the fixture derivations) with the documented default
-parameters; there are no row caps or id subsets.
+parameters, except where FIXTURES.md gives a reason (q_goals_fraud.py: floor 100,
+hour buckets, unit 10); there are no row caps or id subsets.
 """
 
 from __future__ import annotations
