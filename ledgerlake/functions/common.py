@@ -102,10 +102,6 @@ def money(c: Column | str) -> Column:
     return F.round(c.cast("double"), 2)
 
 
-def ratio(c: Column, digits: int = 6) -> Column:
-    return F.round(c.cast("double"), digits)
-
-
 def signed_amount(type_col: str = "type", amount_col: str = "amount") -> Column:
     """Payments count negative, everything else positive."""
     return F.when(F.col(type_col) == "payment", -F.col(amount_col)).otherwise(F.col(amount_col))
@@ -171,16 +167,6 @@ def fmt_minute(c: Column | str) -> Column:
     return F.date_format(c, "yyyy-MM-dd HH:mm")
 
 
-def month_starts(start: datetime, end: datetime) -> list[datetime]:
-    """Calendar months touched by [start, end] (D2: half-open calendar months)."""
-    cur = datetime(start.year, start.month, 1)
-    out = []
-    while cur <= end:
-        out.append(cur)
-        cur = cur + relativedelta(months=1)
-    return out
-
-
 def month_spine(start: datetime, end: datetime) -> Column:
     """An array of month-start timestamps to ``explode`` per row (no join)."""
     first = datetime(start.year, start.month, 1)

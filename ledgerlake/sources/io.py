@@ -29,13 +29,19 @@ def seed_if_empty(df: DataFrame, target: DataFrame, path: str) -> bool:
     return True
 
 
-def insert_missing(df: DataFrame, target: DataFrame, key: str) -> DataFrame:
-    """Rows of ``df`` whose key is absent from ``target`` (first row per key), appended to it.
+def missing_rows(df: DataFrame, target: DataFrame, key: str, order: list[str] | None = None) -> DataFrame:
+    """One row of ``df`` per key that ``target`` lacks: the first by ``order`` (default: by all other columns)."""
+    by = order or [c for c in df.columns if c != key] or [key]
+    first = df.groupBy(key).agg(F.min_by(F.struct(*df.columns), F.struct(*by)).alias("_row")).select("_row.*")
+    return first.join(target.select(key), key, "left_anti").select(df.columns)
 
-    The get-or-create / IF NOT EXISTS pattern of the reference, for a whole batch.
+
+def insert_missing(df: DataFrame, target: DataFrame, key: str, order: list[str] | None = None) -> DataFrame:
+    """``target`` with the rows of ``missing_rows`` (the get-or-create pattern for a whole batch).
+
+    To extend a stored table, append ``missing_rows`` to it instead of writing all of this.
     """
-    fresh = df.dropDuplicates([key]).join(target.select(key), key, "left_anti")
-    return target.unionByName(fresh, allowMissingColumns=True)
+    return target.unionByName(missing_rows(df, target, key, order), allowMissingColumns=True)
 
 
 def purge_sessions(table: DataFrame, session_ids: DataFrame, key: str = "session_id") -> DataFrame:
@@ -78,12 +84,11 @@ class GuardError(ValueError):
 def guarded_sql(spark: SparkSession, query: str, limit: int = LIMIT_DEFAULT) -> DataFrame:
     """Run a read-only query with at most ``limit`` rows (clamped to 1..1000).
 
-    Must start with SELECT (WITH is accepted too: a CTE read is a read); any
-    prohibited keyword as a token rejects it.  The limit is always applied with
+    Must start with SELECT; any prohibited keyword as a token rejects it.  The limit is always applied with
     ``.limit`` (D18), not by text inspection.
     """
     upper = query.strip().upper()
-    if not (upper.startswith("SELECT") or upper.startswith("WITH")):
+    if not upper.startswith("SELECT"):
         raise GuardError("Only SELECT queries are allowed.")
     tokens = set(re.split(r"[\s;()]", upper))
     for kw in PROHIBITED:

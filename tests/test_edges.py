@@ -256,7 +256,9 @@ def test_cosine_distance_zero_vector_is_null(spark):
 def test_guarded_sql(spark):
     spark.range(3000).selectExpr("id", "id as created_at").createOrReplaceTempView("g")
     assert IO.guarded_sql(spark, "select * from g").count() == 100
-    assert IO.guarded_sql(spark, "with x as (select * from g) select * from x", limit=5000).count() == 1000
+    assert IO.guarded_sql(spark, " select * from (select * from g) x", limit=5000).count() == 1000
+    with pytest.raises(IO.GuardError):
+        IO.guarded_sql(spark, "with x as (select * from g) select * from x")
     assert IO.guarded_sql(spark, "SELECT created_at FROM g", limit=0).count() == 1
     with pytest.raises(IO.GuardError):
         IO.guarded_sql(spark, "delete from g")

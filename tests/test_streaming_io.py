@@ -89,7 +89,8 @@ def test_insert_missing_is_idempotent(spark):
     once = IO.insert_missing(new, target, "name")
     twice = IO.insert_missing(new, once, "name")
     assert sorted(r["name"] for r in once.collect()) == ["a", "b"]
-    assert _rows(once) == _rows(twice)
+    assert _rows(once) == [("a", 1), ("b", 2)] and _rows(once) == _rows(twice)
+    assert _rows(IO.missing_rows(new.withColumn("w", -F.col("v")), target, "name", ["w"])) == [("b", 3, -3)]
 
 
 def test_dense_chunk_ids_are_contiguous(spark, small_dir):
