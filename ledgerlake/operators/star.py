@@ -78,3 +78,16 @@ def star_view(tables: dict[str, DataFrame], fact: str, role_playing: dict[str, s
 def measure(star: DataFrame, column: str, dims: list[str], name: str | None = None) -> DataFrame:
     """Implicit SUM of ``column`` by any dimension columns of the star."""
     return star.groupBy(*dims).agg(F.sum(column).alias(name or f"sum_{column.split('__')[-1]}"))
+
+
+def totals(tables: dict[str, DataFrame]) -> DataFrame:
+    """Every implicit SUM measure that the given tables have: table_name, column_name, total (one aggregate per table)."""
+    out = None
+    for name in dict.fromkeys(t for t, _ in SUM_MEASURES if t in tables):
+        columns = [c for t, c in SUM_MEASURES if t == name and c in tables[name].columns]
+        if not columns:
+            continue
+        sums = tables[name].agg(*[F.sum(c).cast("double").alias(c) for c in columns])
+        rows = sums.unpivot([], columns, "column_name", "total").select(F.lit(name).alias("table_name"), "column_name", "total")
+        out = rows if out is None else out.unionByName(rows)
+    return out

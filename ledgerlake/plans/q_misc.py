@@ -65,6 +65,22 @@ def a32c(spark, d):
     return m.withColumn("sum_total_tokens", F.col("sum_total_tokens").cast("bigint"))
 
 
+_TOTALS = [("accounts", "balance"), ("transactions", "amount"), ("chat_history", "total_tokens"), ("tool_usage", "tokens_used"),
+           ("agent_traces", "execution_duration_ms"), ("agent_traces", "step_order")]
+
+
+@register("a32d_sum_measures", " union all ".join(
+    f"select '{t}' as table_name, '{c}' as column_name, round(cast(sum({c}) as double), 2) as total from {t}" for t, c in _TOTALS)
+    + """ union all select 'session_duration_date', 'sess_duration', cast(sum(cast(epoch(date_trunc('second', updated_at))
+  - epoch(date_trunc('second', created_at)) as bigint)) as double) from chat_sessions""")
+def a32d(spark, d):
+    ch = X.chat_history(spark, d)
+    tables = {"accounts": X.accounts(spark, d), "transactions": X.transactions(spark, d), "chat_history": ch,
+              "tool_usage": X.tool_usage(spark, d), "agent_traces": X.agent_traces(spark, d, ch),
+              "session_duration_date": T.session_duration(X.chat_sessions(spark, d, ch))}
+    return ST.totals(tables).withColumn("total", F.round("total", 2))
+
+
 @register("p19_widget_counts", """
 select user_id, count(*) as all_widgets, count(*) filter (where widget_type <> 'simulation') as charts,
   count(*) filter (where widget_type = 'simulation') as simulations
