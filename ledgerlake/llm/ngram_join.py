@@ -42,6 +42,8 @@ from .graph import components
 
 #: Nodes and shingles of a chunk at most (a single larger set is a chunk of its own), and pivots of a split block.
 CHUNK_NODES, CHUNK_SHINGLES, PIVOTS = 256, 400_000, 8
+#: Percent of the hash range whose shingles are counted to order them by frequency.
+COUNTED = 42
 #: Bits of the table of nodes whose sets are needed; fixed, so a large corpus only lets more sets through to the join.
 FILTER_BITS, FILTER_BLOCK = 1 << 26, 1 << 15
 #: DivideSkip's weight of merging against probing, from its authors' experiments.
@@ -91,7 +93,10 @@ def _signed(docs: DataFrame, size: int) -> DataFrame:
 
 
 def _nodes(docs: DataFrame, size: int, percent: int, universe: int) -> DataFrame:
-    """node, n, counted (shingles below ``universe``) and the shingles that may be among its first ones."""
+    """row, node, n, counted (shingles below ``universe``) and the shingles that may be among its first ones.
+
+    ``row`` is a short number for the node, fixed once the table is written.
+    """
     added = T.StructType([T.StructField("node", T.LongType()), T.StructField("n", T.LongType()),
                           T.StructField("counted", T.LongType()), T.StructField("kept", T.ArrayType(T.LongType()))])
 
@@ -106,23 +111,29 @@ def _nodes(docs: DataFrame, size: int, percent: int, universe: int) -> DataFrame
 
     rows = add_columns(docs, ["text"], added, make, keep=[])
     return rows.where("node is not null").groupBy("node").agg(
-        F.first("n").alias("n"), F.first("counted").alias("counted"), F.first("kept").alias("kept"))
+        F.first("n").alias("n"), F.first("counted").alias("counted"), F.first("kept").alias("kept")) \
+        .withColumn("row", F.monotonically_increasing_id())
 
 
 def _routes(nodes: DataFrame, percent: int, universe: int) -> DataFrame:
-    """node, n, key: the pairs of a first shingle and a size band under which the node can meet others."""
-    postings = nodes.select("node", F.explode("kept").alias("shingle"))
-    shared = postings.groupBy("shingle").agg(F.count(F.lit(1)).alias("df")).where("df > 1")
-    own = Window.partitionBy("node")
-    rows = postings.join(shared, "shingle").join(nodes.select("node", "n", "counted"), "node") \
-        .withColumn("outside", (F.col("shingle") >= universe).cast("int"))
-    order = own.orderBy("outside", F.when(F.col("outside") == 0, F.col("df")).otherwise(0), "shingle")
+    """node, key: a first shingle that other nodes hold as well, with a band of sizes.
+
+    Sets that link differ in size by the factor percent / 100 at most, so they
+    lie in the same band or in adjacent ones; each node joins its own band and
+    the next.
+    """
+    postings = nodes.select("row", F.explode("kept").alias("key"))
+    shared = postings.groupBy("key").agg(F.count(F.lit(1)).alias("df")).where("df > 1")
+    own = Window.partitionBy("row")
+    rows = postings.join(shared, "key").join(nodes.select("row", "node", "n", "counted"), "row") \
+        .withColumn("outside", (F.col("key") >= universe).cast("int"))
+    order = own.orderBy("outside", F.when(F.col("outside") == 0, F.col("df")).otherwise(0), "key")
     # shingles of this node alone come first in the order and were left out above
     place = F.col("counted") - F.sum(1 - F.col("outside")).over(own) + F.row_number().over(order)
     first = F.col("n") - F.ceil(F.col("n") * percent / 100) + 1
     band = F.floor(F.log(F.col("n")) / (math.log(100 / percent) * (1 + 1e-9)))
     return rows.withColumn("place", place).where(F.col("place") <= first) \
-        .select("node", "n", F.explode(F.array(F.xxhash64("shingle", band), F.xxhash64("shingle", band + 1))).alias("key"))
+        .select("node", F.explode(F.array(F.xxhash64("key", band), F.xxhash64("key", band + 1))).alias("key"))
 
 
 class Search:
@@ -326,7 +337,7 @@ def _links(docs: DataFrame, size: int, percent: int, universe: int) -> DataFrame
     chunks = F.ceil(F.greatest(F.col("members") / CHUNK_NODES, F.col("total") / CHUNK_SHINGLES)).cast("int")
     placed = materialize(blocks.join(sizes.select("block", "members", chunks.alias("chunks")), "block").withColumn(
         "chunk", F.pmod(F.xxhash64("node", F.lit(3)), F.col("chunks")).cast("int")), "placed")
-    sets = materialize(_whole_sets(docs, placed, size).join(placed.select("node"), "node", "left_semi"), "sets")
+    sets = materialize(_whole_sets(docs, placed, size), "sets")  # those of other nodes drop out in the joins below
     # small blocks share groups; each chunk of a split block is a group and gets the block's pivots as well
     count = placed.where("chunks = 1").count()
     cells = max(1, -(-count // CHUNK_NODES))
@@ -348,9 +359,10 @@ def _links(docs: DataFrame, size: int, percent: int, universe: int) -> DataFrame
         .groupBy("block").agg(F.max(F.struct("k", "part")).alias("top")).select("block", F.col("top.part").alias("top"))
     minor = split.join(largest, "block").where("part <> top").select("node", "block", "chunk", "part")
     keyed = routes.select("node", "key").join(split.select("node", "block", "chunk", "part"), "node")
-    there = keyed.select("key", "block", F.col("chunk").alias("to"), F.col("part").alias("other")).distinct()
+    # per key and chunk the smallest and largest component: one row, however many nodes hold the key there
+    there = keyed.groupBy("key", "block", F.col("chunk").alias("to")).agg(F.min("part").alias("low"), F.max("part").alias("high"))
     visitors = keyed.join(minor.select("node"), "node", "left_semi").join(there, ["key", "block"]) \
-        .where("to <> chunk and other <> part").select("node", "block", F.col("to").alias("chunk"), "part").distinct()
+        .where("to <> chunk and (low <> part or high <> part)").select("node", "block", F.col("to").alias("chunk"), "part").distinct()
     crowd = visitors.groupBy("block", "chunk").agg(F.ceil(F.count(F.lit(1)) / (4 * CHUNK_NODES)).cast("int").alias("turns"))
     rows = split.join(crowd, ["block", "chunk"]).select(
         "node", "part", F.lit(False).alias("visits"), "block", "chunk", F.explode(F.sequence(F.lit(0), F.col("turns") - 1)).alias("turn")) \
@@ -362,7 +374,8 @@ def _links(docs: DataFrame, size: int, percent: int, universe: int) -> DataFrame
     return found.unionByName(more)
 
 
-def join_components(docs: DataFrame, size: int = 5, percent: int = 80, id: str = "doc_id", text: str = "text") -> DataFrame:
+def join_components(docs: DataFrame, size: int = 5, percent: int = 80, id: str = "doc_id", text: str = "text",
+                    counted: int = COUNTED) -> DataFrame:
     """id, n_shingles, component_id of every row.
 
     Words are the runs without ASCII white space, A-Z in lower case; a set holds
@@ -373,10 +386,11 @@ def join_components(docs: DataFrame, size: int = 5, percent: int = 80, id: str =
     repeated rows among them, share a component.  A null id counts as larger
     than all others.  Other columns are ignored; an empty table gives an empty
     result.  Sets and shingles are compared by 62- and 63-bit hashes.
+    ``counted`` weighs the work of counting against that of searching; results
+    don't depend on it.
     """
     source = docs.select(F.col(id).alias("id"), F.col(text).alias("text"))
-    # room for the first shingles and, of each hundred, 15 more
-    universe = min(100, 100 - percent + 15) * (2**63 // 100)
+    universe = min(100, max(counted, 100 - percent + 10)) * (2**63 // 100)
     rows = materialize(_signed(source, size), "rows")
     links = _links(source.select("text"), size, percent, universe)
     joined = components(links)
