@@ -40,13 +40,14 @@ def fold(key: Column, modulus: int) -> Column:
 
 
 def add_columns(df: DataFrame, used: list[str], added: T.StructType, make: Callable[..., Iterator],
-                keep: list[str] | None = None) -> DataFrame:
+                keep: list[str] | None = None, rows: int = SLICE) -> DataFrame:
     """Append the columns that ``make`` computes from each Arrow batch.
 
     ``make`` is called once per task without arguments and returns a function
     from the ``used`` columns of a batch (Arrow arrays) to the ``added`` ones.
     Input columns that bear an added column's name are replaced; ``keep`` names
-    the input columns to carry along (default: all of them).
+    the input columns to carry along (default: all of them).  It sees ``rows``
+    rows at a time.
     """
     names = [c for c in (keep if keep is not None else df.columns) if c not in added.fieldNames()]
     carried = [f"_{i}" for i in range(len(names))]
@@ -59,7 +60,7 @@ def add_columns(df: DataFrame, used: list[str], added: T.StructType, make: Calla
 
     def run(batches):
         step = make()
-        for batch in (b.slice(at, SLICE) for b in batches for at in range(0, b.num_rows, SLICE)):
+        for batch in (b.slice(at, rows) for b in batches for at in range(0, b.num_rows, rows)):
             new = step(*[batch.column(n + i) for i in range(m)])
             yield pa.RecordBatch.from_arrays(
                 [batch.column(i) for i in range(n)] + [x if isinstance(x, pa.Array) else pa.array(x, f.type)
