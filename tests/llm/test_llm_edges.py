@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+import zlib
+from collections import Counter
+
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -201,3 +205,34 @@ def test_rules_are_found_by_their_rarest_token():
         fits = [r for r in rules if (host == r.host or host.endswith("." + r.host)) and path.startswith(r.path)]
         best = min(fits, key=lambda r: (-len(r.text), -len(r.host), r.verdict != "block", r.text), default=None)
         assert index.judge(host, path) == ((best.text, best.verdict) if best else (None, None))
+
+
+def test_language_model_counts_all_pairs_and_triples(spark, monkeypatch):
+    """Over 200,000 different triples of ids inside words, and every one counts."""
+    rng = np.random.default_rng(6)
+    letters = np.array(list("abcdefghijklmnopqrstuvwxyzéß日"))
+    texts = [" ".join("".join(rng.choice(letters, 14)) for _ in range(60)) + " aaaaaaaaaaaaaaaaaaaaaa the the" for _ in range(700)]
+    rows = list(enumerate(texts))
+    fitted, models = lm._fitted, []
+    monkeypatch.setattr(lm, "_fitted", lambda *a: models.append(fitted(*a)) or models[-1])
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    got = {r["doc_id"]: r["score"] for r in lm.score_texts(df, RANKS, public_tokenizers.PATTERN).collect()}
+    with open(RANKS, "rb") as f:
+        subwords = lm.Subwords(f.read(), public_tokenizers.PATTERN)
+    size, model = subwords.end + 1, models[0]
+    counts, tables = np.zeros(size), [Counter(), Counter()]
+    for i, text in rows:
+        if zlib.crc32(str(i).encode()) % 7 != 2:
+            counts[-1] += 1
+            for word in text.split():
+                ids = subwords.encode(" " + word)
+                np.add.at(counts, ids, 1)
+                tables[0].update(a * size + b for a, b in zip(ids, ids[1:]))
+                tables[1].update((a * size + b) * size + c for a, b, c in zip(ids, ids[1:], ids[2:]))
+    assert len(tables[1]) > 200_000
+    within = lm.Within(model.kinds, counts, *[(np.array(list(t)), np.array(list(t.values()))) for t in tables])
+    words = lm.Words(pa.array(texts))
+    flat = words.flat(subwords)
+    want = lm.score(model.ready(), *words.sequences(subwords, flat))
+    want += np.add.reduceat(within.logs(*flat)[words.own], words.first[:-1])
+    assert all(got[i] == pytest.approx(want[i], rel=1e-6) for i, _ in rows)
