@@ -99,11 +99,20 @@ def _nearest(k: int):
                 continue
             near = (x[q] @ x[r].T) / norm[q][:, None] / norm[r][None, :]
             near[ids[q][:, None] == ids[r][None, :]] = -np.inf
-            kth = np.partition(near, -k, axis=1)[:, -k] if len(r) > k else np.full(len(q), -np.inf)
+            # of each id its best row
+            by_id = np.argsort(ids[r], kind="stable")
+            begin = np.flatnonzero(np.r_[True, ids[r][by_id][1:] != ids[r][by_id][:-1]])
+            top = near if len(begin) == len(r) else np.maximum.reduceat(near[:, by_id], begin, axis=1)
+            kth = np.partition(top, -k, axis=1)[:, -k] if len(begin) > k else np.full(len(q), -np.inf)
             i, j = np.nonzero((near >= kth[:, None] - 1e-9) & (near > -np.inf))
             i, j = q[i], r[j]
             # the product above may differ in its last bits from group to group; this sum doesn't
             score = (x[i] * x[j]).sum(axis=1) / (norm[i] * norm[j])
+            order = np.lexsort((-score, ids[j], i))
+            i, j, score = i[order], j[order], score[order]
+            if len(i):
+                once = np.r_[True, (i[1:] != i[:-1]) | (ids[j][1:] != ids[j][:-1])]
+                i, j, score = i[once], j[once], score[once]
             order = np.lexsort((ids[j], -score, i))
             i, j, score = i[order], j[order], score[order]
             first = np.flatnonzero(np.r_[True, i[1:] != i[:-1]]) if len(i) else np.zeros(0, int)
@@ -140,9 +149,9 @@ def nearest_neighbours(rows: DataFrame, queries: DataFrame, k: int = 5, tables:
     def sound(df: DataFrame) -> DataFrame:
         v = F.col(vector)
         return df.where(usable(v) & F.col(id).isNotNull() & F.exists(v, lambda x: x != 0)) \
-            .select(F.col(id).cast("long").alias("id"), v.alias("vector"))
+            .select(F.col(id).cast("long").alias("id"), v.alias("vector")).distinct()
 
-    rows, queries = sound(rows), sound(queries)
+    rows, queries = materialize(sound(rows), "ann-rows"), materialize(sound(queries), "ann-queries")
     found = materialize(_searched(rows, queries, k, tables, probes, seed), "ann")
     full = found.groupBy("query_id").count().where(F.col("count") >= k)
     few = queries.join(full, queries.id == full.query_id, "left_anti")

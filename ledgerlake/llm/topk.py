@@ -75,14 +75,14 @@ def cover_tree(x: np.ndarray) -> Node:
 
 def dual_tree(queries: np.ndarray, rows: np.ndarray, query_ids: np.ndarray, row_ids: np.ndarray,
               k: int, floor: np.ndarray) -> list[list[tuple[int, int]]]:
-    """For each query its k best (score, row) above or at its floor, ties to the smaller id.
+    """For each query its k best (score, id) above or at its floor, ties to the smaller id.
 
-    All numbers are integers and every sum is exact in double precision.
+    An id with several rows counts once, with its best score.  All numbers are
+    integers and every sum is exact in double precision.
     """
-    order = np.argsort(row_ids, kind="stable")
-    rows, row_ids = rows[order], row_ids[order]
-    step = len(rows) + 1
-    # score and place as one integer: the larger wins, of equal scores the smaller id
+    different, place = np.unique(row_ids, return_inverse=True)
+    step = len(different) + 1
+    # score and the id's place as one integer: the larger wins, of equal scores the smaller id
     top = np.full((len(queries), k), np.iinfo(np.int64).min)
     worst = floor.astype(np.float64).copy()
     stack = [(cover_tree(queries), cover_tree(rows))]
@@ -95,24 +95,40 @@ def dual_tree(queries: np.ndarray, rows: np.ndarray, query_ids: np.ndarray, row_
             stack += sorted(((c, d) for c in a.halves() for d in b.halves()), key=lambda p: bound(*p))
             continue
         scores = (queries[a.points] @ rows[b.points].T).astype(np.int64)
-        packed = scores * step + (len(rows) - b.points)[None, :]
+        packed = scores * step + (len(different) - place[b.points])[None, :]
         packed[query_ids[a.points][:, None] == row_ids[b.points][None, :]] = np.iinfo(np.int64).min
         packed[scores < worst[a.points][:, None]] = np.iinfo(np.int64).min
         joined = np.concatenate([top[a.points], packed], axis=1)
+        if len(different) < len(rows):
+            joined = once(joined, step)
         top[a.points] = best_k = np.partition(joined, -k, axis=1)[:, -k:]
         full = best_k[:, 0] > np.iinfo(np.int64).min
         worst[a.points[full]] = np.maximum(worst[a.points[full]], best_k[full, 0] // step)
-    return [[(int(p // step), int(row_ids[len(rows) - p % step])) for p in line if p > np.iinfo(np.int64).min]
+    return [[(int(p // step), int(different[len(different) - p % step])) for p in line if p > np.iinfo(np.int64).min]
             for line in top]
 
 
+def once(packed: np.ndarray, step: int) -> np.ndarray:
+    """Of each line's numbers that are equal modulo ``step`` (one id's) only the largest is left."""
+    own = packed % step
+    order = np.lexsort((~packed, own), axis=-1)
+    packed, own = np.take_along_axis(packed, order, 1), np.take_along_axis(own, order, 1)
+    packed[:, 1:][own[:, 1:] == own[:, :-1]] = np.iinfo(np.int64).min
+    return packed
+
+
 def plain(queries, rows, query_ids, row_ids, k, floor) -> list[list[tuple[int, int]]]:
     """The same by Python's unbounded integers, for numbers too large to be exact in double precision."""
     whole = [[int(v) for v in row] for row in rows]
     out = []
     for q, own in zip(queries, query_ids):
         q = [int(v) for v in q]
-        scored = sorted((-sum(a * b for a, b in zip(q, row)), int(i)) for row, i in zip(whole, row_ids) if i != own)
+        least = {}
+        for row, i in zip(whole, row_ids):
+            if i != own:
+                s = -sum(a * b for a, b in zip(q, row))
+                least[int(i)] = min(s, least.get(int(i), s))
+        scored = sorted((s, i) for i, s in least.items())
         out.append([(max(min(-s, 2**63 - 1), -2**63), i) for s, i in scored[:k]])
     return out
 
@@ -174,7 +190,7 @@ def top_products(rows: DataFrame, queries: DataFrame, k: int = 20, scale: float
     def sound(df: DataFrame) -> DataFrame:
         out = df.where(usable(F.col(vector)) & F.col(id).isNotNull()) \
             .select(F.col(id).cast("long").alias("id"), F.col(vector).alias("vector"))
-        return _scaled(out, scale)
+        return materialize(_scaled(out, scale).distinct(), "topk-once")
 
     rows, queries = sound(rows), sound(queries)
     dims = [r["dim"] for r in rows.select(F.size("vector").alias("dim")).distinct().collect()]  # as many as lengths

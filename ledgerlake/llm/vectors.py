@@ -31,8 +31,9 @@ def meet(rows: DataFrame, queries: DataFrame, key: list[str], row_chunk: int, qu
     Both have the columns ``key``, id, vector and ``carried``; queries may have
     a floor (the score to beat).
     A key's rows are split over ceil(n / row_chunk) chunks and its queries over
-    ceil(m / query_chunk), by id; each pair of chunks is one group, identified
-    by the added column _group.  Column _query tells the sides apart.  Keys
+    ceil(m / query_chunk), by id and vector, so that an id with many vectors is
+    split too; each pair of chunks is one group, identified by the added column
+    _group.  Column _query tells the sides apart.  Keys
     without queries or without rows are left out.  The table of sizes has one
     row per key.
     """
@@ -40,7 +41,7 @@ def meet(rows: DataFrame, queries: DataFrame, key: list[str], row_chunk: int, qu
         .join(queries.groupBy(*key).agg(F.count(F.lit(1)).alias("_m")), key) \
         .select(*key, F.ceil(F.col("_n") / row_chunk).cast("int").alias("_rows"),
                 F.ceil(F.col("_m") / query_chunk).cast("int").alias("_queries"))
-    chunk = F.xxhash64("id", F.lit(7))
+    chunk = F.xxhash64("id", "vector", F.lit(7))
 
     def side(df: DataFrame, own: str, other: str, query: bool) -> DataFrame:
         every = F.explode(F.sequence(F.lit(0), F.col(other) - 1)).alias("_other")
@@ -56,7 +57,11 @@ def meet(rows: DataFrame, queries: DataFrame, key: list[str], row_chunk: int, qu
 
 
 def best(found: DataFrame, k: int) -> DataFrame:
-    """The k rows of highest score per query_id, ties to the smaller vec_id, ranked from 1."""
+    """The k rows of highest score per query_id, ties to the smaller vec_id, ranked from 1.
+
+    Repeated ids count once.  A list that was cut at k before has to hold each id
+    once as well, or copies take others' places.
+    """
     from pyspark.sql.window import Window
     once = found.groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
     order = Window.partitionBy("query_id").orderBy(F.col("score").desc(), F.col("vec_id"))

@@ -236,3 +236,39 @@ def test_language_model_counts_all_pairs_and_triples(spark, monkeypatch):
     want = lm.score(model.ready(), *words.sequences(subwords, flat))
     want += np.add.reduceat(within.logs(*flat)[words.own], words.first[:-1])
     assert all(got[i] == pytest.approx(want[i], rel=1e-6) for i, _ in rows)
+
+
+def test_repeated_ids_take_one_place(spark, monkeypatch):
+    """Copies of the best neighbours, equal or not, take no place of others; one id has a third of all rows."""
+    monkeypatch.setattr(topk, "ROWS_PER_PIVOT", 60)
+    monkeypatch.setattr(topk, "LEAF", 8)
+    monkeypatch.setattr(topk, "ROW_CHUNK", 50)
+    monkeypatch.setattr(ann, "ROW_CHUNK", 50)
+    rng = np.random.default_rng(8)
+    rows = [(int(i), rng.integers(-9, 9, 4).astype(float).tolist()) for i in rng.integers(0, 40, 120)]
+    rows += [(77, (rng.integers(20, 30, 4)).astype(float).tolist()) for _ in range(40)] + [(78, [29.0] * 4)] * 40
+    rows = [(i, v) for i, v in rows if any(v)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+
+    def expected(k, score):
+        found = {}
+        for q, a in rows:
+            if q % 5 == 0:
+                for i, b in rows:
+                    if i != q:
+                        found.setdefault(q, {})[i] = max(score(a, b), found.get(q, {}).get(i, -np.inf))
+        return {q: sorted(((-round(s, 9), i) for i, s in best.items()))[:k] for q, best in found.items()}
+
+    def collected(df):
+        got = {}
+        for r in df.orderBy("query_id", "rank").collect():
+            got.setdefault(r["query_id"], []).append((-round(r["score"], 9), r["vec_id"]))
+        return got
+
+    asked = df.where("vec_id % 5 = 0")
+    assert collected(topk.top_products(df, asked, 20, 1.0)) == expected(20, lambda a, b: int(np.dot(a, b)))
+    cosine = lambda a, b: float(np.dot(a, b) / np.sqrt(np.dot(a, a) * np.dot(b, b)))
+    assert collected(ann.nearest_neighbours(df, asked, 7)) == expected(7, cosine)
+    big = spark.createDataFrame([(0, [1e17]), (1, [1e17]), (1, [2e17]), (1, [3e17]), (2, [5.0])], "vec_id long, embedding array<double>")
+    got = topk.top_products(big, big.where("vec_id = 0"), 2).orderBy("rank").collect()
+    assert [r["vec_id"] for r in got] == [1, 2]
