@@ -1,7 +1,8 @@
 """From raw documents to token ids: the stages of a training-data pipeline.
 
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame; all but the last
-return the columns of documents.  Empty tables pass through as empty tables.
+return the columns of documents; the last adds mix_position and ids.  Empty
+tables pass through as empty tables.
 """
 
 from __future__ import annotations
@@ -9,6 +10,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from ledgerlake.llm import bpe, mixing, ngram_join, quality
 from ledgerlake.llm.common import materialize, table
@@ -37,14 +39,35 @@ def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All rows in the order of the mix; the files, read by name, follow it."""
+    """All rows in the order of the mix; the files, read by name, follow it, and the next stage numbers the rows by them."""
     mixed = mixing.mix(docs, WEIGHTS, OTHER_WEIGHT, BLOCK_ROWS)
     return mixing.in_mixed_order(mixed).select(docs.columns)
 
 
 def encode_texts(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Every document with the ids of its whole text instead of the text."""
-    return bpe.encode(docs, RANKS, public_tokenizers.PATTERN).drop("text")
+    """Every document with its place in the mix (mix_position) and the ids of its whole text instead of the text.
+
+    The place is that of the row in the written files, taken by name.  Documents
+    that weren't read from files have none.
+    """
+    return bpe.encode(placed(spark, docs), RANKS, public_tokenizers.PATTERN).drop("text")
+
+
+def placed(spark: SparkSession, docs: DataFrame) -> DataFrame:
+    """``docs`` with mix_position: from 0, by file name and row of the file; null if they aren't from files.
+
+    The running sum is over one row per file.
+    """
+    docs = docs.drop("mix_position")
+    if not docs.inputFiles():
+        return docs.withColumn("mix_position", F.lit(None).cast("long"))
+    row = docs.select("*", F.col("_metadata.file_path").alias("_file"), F.col("_metadata.file_name").alias("_name"),
+                      F.col("_metadata.row_index").alias("_row"))
+    files = row.groupBy("_file", "_name").agg((F.max("_row") + 1).alias("_n"))
+    earlier = Window.orderBy("_name", "_file").rowsBetween(Window.unboundedPreceding, -1)
+    starts = files.select("_file", F.coalesce(F.sum("_n").over(earlier), F.lit(0)).alias("_start"))
+    return row.join(F.broadcast(starts), "_file").withColumn("mix_position", F.col("_start") + F.col("_row")) \
+        .drop("_file", "_name", "_row", "_start")
 
 
 STAGES = [("quality classifier", keep_quality), ("n-gram Jaccard join", one_of_each_group),

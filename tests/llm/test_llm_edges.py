@@ -11,6 +11,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
+import corpus_pipeline
 from ledgerlake.llm import ann, bpe, chat, lm, mixing, ngram_join, quality, topk, urlfilter, warc
 from ledgerlake.llm.queries import RANKS, RULES
 from ledgerlake.session import checkpoint_path
@@ -272,3 +273,21 @@ def test_repeated_ids_take_one_place(spark, monkeypatch):
     big = spark.createDataFrame([(0, [1e17]), (1, [1e17]), (1, [2e17]), (1, [3e17]), (2, [5.0])], "vec_id long, embedding array<double>")
     got = topk.top_products(big, big.where("vec_id = 0"), 2).orderBy("rank").collect()
     assert [r["vec_id"] for r in got] == [1, 2]
+
+
+def test_pipeline_returns_the_order_of_the_mix(spark, small_dir, monkeypatch):
+    """mix_position of run()'s rows is the mix's, though files are reread in another order."""
+    monkeypatch.setattr(corpus_pipeline, "STAGES", [s for s in corpus_pipeline.STAGES if s[0] in ("mixing", "byte-level BPE")])
+    got = {r["doc_id"]: r["mix_position"] for r in corpus_pipeline.run(spark, small_dir).select("doc_id", "mix_position").collect()}
+    docs = spark.read.parquet(f"{small_dir}/documents.parquet")
+    mixed = mixing.mix(docs, corpus_pipeline.WEIGHTS, corpus_pipeline.OTHER_WEIGHT, corpus_pipeline.BLOCK_ROWS).collect()
+    assert got == {r["doc_id"]: r["mix_position"] for r in mixed}
+
+
+def test_places_follow_file_names(spark, tmp_path):
+    path = str(tmp_path / "rows")
+    spark.range(1000).selectExpr("id as doc_id", "cast(id as string) as text").repartitionByRange(7, "doc_id") \
+        .sortWithinPartitions("doc_id").write.parquet(path)
+    rows = corpus_pipeline.placed(spark, spark.read.parquet(path)).collect()
+    assert len(rows) == 1000 and all(r["mix_position"] == r["doc_id"] for r in rows)
+    assert corpus_pipeline.placed(spark, spark.read.parquet(path).where("doc_id < 0")).count() == 0
