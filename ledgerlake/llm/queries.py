@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import checkpoint_path
-from . import ann, bpe, chat, lm, mixing, ngram_join, quality, topk, urlfilter, warc
+from . import ann, bpe, chat, lm, merkle, mixing, ngram_join, quality, topk, urlfilter, warc
 from .common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -175,3 +175,57 @@ def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The place of every document in the mix."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "source")
     return mixing.mix(docs, WEIGHTS, OTHER_WEIGHT, BLOCK_ROWS)
+
+
+@register("op13_merkle_manifest", """
+with recursive d as (
+  select *, row_number() over (partition by lang order by doc_id) - 1 as pos, count(*) over (partition by lang) as n,
+         translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') as lowered,
+         xor(list_reduce(list_prepend(4294967295::bigint, list_transform(string_split(cast(doc_id as varchar), ''), lambda c: ascii(c)::bigint)),
+           lambda c, b: list_reduce(list_prepend(xor(c, b), range(8)),
+             lambda x, i: case when x % 2 = 1 then xor(x // 2, 3988292384) else x // 2 end)), 4294967295) as crc
+  from documents),
+e as (
+  select doc_id, lang, pos, n,
+    coalesce(strlen(cast(doc_id as varchar)) || ':' || doc_id, '-') || coalesce(strlen(source) || ':' || source, '-')
+      || coalesce(strlen(lang) || ':' || lang, '-') || coalesce(strlen(cast(n_chars as varchar)) || ':' || n_chars, '-') as head,
+    coalesce(strlen(text) || ':' || text, '-') as whole,
+    case when crc % 3 = 0 then coalesce(strlen(text) || ':' || lowered, '-') else coalesce(strlen(text) || ':' || text, '-') end as seen
+  from d),
+leaves as (select doc_id, coalesce('+' || lang, '') as tree, pos, n, sha256(head || whole) as leaf, sha256(head || seen) as found from e),
+t as (
+  select tree, 0 as level, pos, n, leaf as h from leaves
+  union all
+  select tree, level + 1, pos // 8, (n + 7) // 8, sha256(string_agg(h, '' order by pos)) from t where n > 1
+  group by tree, level, pos // 8, (n + 7) // 8),
+subroots as (select tree, h, row_number() over (order by tree) - 1 as pos, count(*) over () as n from t where n = 1),
+s as (
+  select 0 as level, pos, n, h from subroots
+  union all
+  select level + 1, pos // 8, (n + 7) // 8, sha256(string_agg(h, '' order by pos)) from s where n > 1
+  group by level, pos // 8, (n + 7) // 8),
+f as (
+  select doc_id, leaf, tree, 0 as level, pos, n, found as h, '' as proof from leaves
+  union all
+  select f.doc_id, f.leaf, f.tree, f.level + 1, f.pos // 8, (f.n + 7) // 8,
+    sha256(string_agg(case when t.pos = f.pos then f.h else t.h end, '' order by t.pos)),
+    f.proof || coalesce(string_agg(case when t.pos <> f.pos then t.h end, '' order by t.pos), '')
+  from f join t on f.tree = t.tree and f.level = t.level and f.pos // 8 = t.pos // 8 where f.n > 1
+  group by f.doc_id, f.leaf, f.tree, f.level, f.pos, f.n, f.h, f.proof),
+g as (
+  select f.doc_id, f.leaf, b.h as subroot, 0 as level, b.pos, b.n, f.h, f.proof from f join subroots b on f.tree = b.tree where f.n = 1
+  union all
+  select g.doc_id, g.leaf, g.subroot, g.level + 1, g.pos // 8, (g.n + 7) // 8,
+    sha256(string_agg(case when s.pos = g.pos then g.h else s.h end, '' order by s.pos)),
+    g.proof || coalesce(string_agg(case when s.pos <> g.pos then s.h end, '' order by s.pos), '')
+  from g join s on g.level = s.level and g.pos // 8 = s.pos // 8 where g.n > 1
+  group by g.doc_id, g.leaf, g.subroot, g.level, g.pos, g.n, g.h, g.proof)
+select g.doc_id, g.leaf, g.subroot, r.h as root, sha256(g.proof) as proof_sha256, g.h as folded_root, g.h = r.h as verified
+from g, (select h from s where n = 1) r where g.n = 1""")
+def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's place in a Merkle tree per language; a third of the rows are checked in a changed form."""
+    docs = table(spark, sf_dir, "documents")
+    lowered = F.translate("text", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+    tampered = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 3 == 0
+    return merkle.manifest(docs, ["doc_id", "source", "lang", "n_chars", "text"], "lang", "doc_id",
+                           {"text": F.when(tampered, lowered).otherwise(F.col("text"))})
