@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import checkpoint_path
-from . import ann, bpe, chat, lm, merkle, mixing, ngram_join, quality, topk, urlfilter, warc
+from . import ann, bpe, chat, filter_audit, lm, merkle, mixing, ngram_join, quality, repeats, topk, urlfilter, warc
 from .common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -177,6 +177,61 @@ def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(docs, WEIGHTS, OTHER_WEIGHT, BLOCK_ROWS)
 
 
+@register("op11_filter_audit", r"""
+with w as (
+  select doc_id, coalesce(lang, '') as part, coalesce(text, '') as body,
+         regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') as words from documents),
+f as (
+  select w.*, len(words) < 100 as a, 100 * len(list_distinct(words)) < 80 * len(words) as b,
+         100 * length(regexp_replace(body, '[^A-Z]', '', 'g')) > 10 * length(body) as c, regexp_matches(body, '[#$%&*|]') as d,
+         coalesce(doc_id > min(doc_id) over (partition by body), false) as e from w),
+m as (select doc_id, max(quality = 1) as good, max(toxic = 1) as toxic from labels group by doc_id),
+g as (
+  select part, a::int + 2 * b::int + 4 * c::int + 8 * d::int + 16 * e::int as fails, count(*) as n,
+         count(*) filter (good) as good, count(*) filter (toxic) as toxic from f left join m using (doc_id) group by all),
+l as (select unnest(['A', 'B', 'C', 'D', 'E']) as x, unnest([1, 2, 4, 8, 16]) as v),
+o as (
+  select a.x || b.x || c.x || d.x || e.x as filter_order, unnest([1, 2, 3, 4, 5]) as step,
+         unnest([a.v, b.v, c.v, d.v, e.v]) as bit, unnest([0, a.v, a.v + b.v, a.v + b.v + c.v, a.v + b.v + c.v + d.v]) as before
+  from l a, l b, l c, l d, l e where a.v + b.v + c.v + d.v + e.v = 31 and len(list_distinct([a.x, b.x, c.x, d.x, e.x])) = 5),
+s as (
+  select part, filter_order, step, bit,
+    coalesce(sum(n) filter (fails & (before | bit) = 0), 0)::bigint as kept,
+    coalesce(sum(n) filter (fails & bit <> 0 and fails & before = 0), 0)::bigint as removed,
+    coalesce(sum(n) filter (fails & bit <> 0 and fails & before <> 0), 0)::bigint as redundant,
+    coalesce(sum(n) filter (fails = bit), 0)::bigint as unique_fails,
+    coalesce(sum(good) filter (fails & bit <> 0 and fails & before = 0), 0)::bigint as good_lost,
+    coalesce(sum(toxic) filter (fails & bit <> 0 and fails & before = 0), 0)::bigint as toxic_lost
+  from g, o group by part, filter_order, step, bit)
+select * exclude (bit), sum(removed) over (partition by part, bit)::bigint as shapley from s""")
+def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What five filters remove in each of their orders, per language."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "lang", "text")
+    return filter_audit.audit(filter_audit.failures(docs, table(spark, sf_dir, "labels")))
+
+
+@register("op12_substring_dedup", r"""
+with d as (select doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') as words from documents),
+u as (select doc_id, unnest(words) as word, generate_subscripts(words, 1) as i from d),
+w as (
+  select doc_id, i, word, string_agg(word, ' ') over r as body, count(*) over r as n
+  from u window r as (partition by doc_id order by i rows between current row and 19 following)),
+f as (select doc_id, i, row_number() over (partition by body order by doc_id, i) > 1 as later from w where n = 20),
+c as (
+  select w.doc_id, w.i, w.word, coalesce(bool_or(f.later) over (
+    partition by w.doc_id order by w.i rows between 19 preceding and current row), false) as gone
+  from w left join f using (doc_id, i)),
+k as (
+  select doc_id, count(*) as n_words, count(*) filter (gone) as n_removed,
+         coalesce(string_agg(word, ' ' order by i) filter (not gone), '') as kept from c group by doc_id)
+select d.doc_id, coalesce(n_words, 0) as n_words, coalesce(n_removed, 0) as n_removed, sha256(coalesce(kept, '')) as kept_sha256
+from d left join k using (doc_id)""")
+def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document without the passages of 20 words and more that stand earlier."""
+    found = repeats.remove_repeats(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return found.select("doc_id", "n_words", "n_removed", F.sha2(F.encode("kept", "utf-8"), 256).alias("kept_sha256"))
+
+
 @register("op13_merkle_manifest", """
 with recursive d as (
   select *, row_number() over (partition by lang order by doc_id) - 1 as pos, count(*) over (partition by lang) as n,
