@@ -5,7 +5,7 @@ A shard of rows is encoded by its own words first and written in compressed
 sparse rows: of each row the words it holds, as numbers, and how often.  The
 shards' word lists then meet by word, one row per shard and word whatever the
 word's frequency, and every distinct word gets a number of its own.  The numbers
-go back to the shards as one array each, and replace the shard's own.
+go back to the shards and replace the shard's own.
 """
 
 from __future__ import annotations
@@ -53,6 +53,8 @@ def shard_rows(docs: DataFrame, keep: list[str], text: str = "text", measure: Ca
                measured: dict[str, pa.DataType] | None = None, size: int = SHARD_BYTES) -> DataFrame:
     """Stored shards: shard, rows (the ``keep`` columns and what ``measure`` returns), entries, columns, counts, words.
 
+    Entries, columns (each less the one before) and counts are 32-bit numbers in bytes.
+
     ``measure`` gets the bytes of a shard's texts and where each begins, and
     returns one array per name in ``measured``.  A null text has no words.
     """
@@ -68,13 +70,14 @@ def shard_rows(docs: DataFrame, keep: list[str], text: str = "text", measure: Ca
             extra = [pa.array(x, t) for x, t in zip(measure(raw, offsets), measured.values())] if measure else []
             rows = pa.StructArray.from_arrays([batch.column(i + 1) for i in range(len(names))] + extra, fields=list(kept))
             yield pa.RecordBatch.from_arrays(
-                [pa.array([shard], pa.int64()), one(rows), one(pa.array(entries, pa.int32())), one(pa.array(columns, pa.int32())),
-                 one(pa.array(counts, pa.int32())), one(vocabulary)], names=["shard", "rows", "entries", "columns", "counts", "words"])
+                [pa.array([shard], pa.int64()), one(rows), *[pa.array([x.astype("<i4").tobytes()], pa.binary()) for x in (
+                    entries, np.diff(columns, prepend=0), counts)], one(vocabulary)],
+                names=["shard", "rows", "entries", "columns", "counts", "words"])
 
     inner = ", ".join([f"{k}: {source.schema[k].dataType.simpleString()}" for k in names]
                       + [f"{c}: {_sql(t)}" for c, t in measured.items()])
-    return stored(source.mapInArrow(run, f"shard long, rows array<struct<{inner}>>, entries array<int>, columns array<int>, "
-                                         "counts array<int>, words array<binary>"), "terms")
+    return stored(source.mapInArrow(run, f"shard long, rows array<struct<{inner}>>, entries binary, columns binary, "
+                                         "counts binary, words array<binary>"), "terms")
 
 
 def _sql(kind: pa.DataType) -> str:
@@ -116,12 +119,10 @@ def dictionary(shards: DataFrame) -> DataFrame:
 def encoded(shards: DataFrame, ids: DataFrame, make: Callable[[pa.Array, np.ndarray, np.ndarray, np.ndarray], list],
             schema: str) -> DataFrame:
     """What ``make`` returns for each shard: from its rows, and in compressed sparse rows the entries of each, their ids and counts."""
-    lists = ids.groupBy("shard").agg(F.array_sort(F.collect_list(F.struct("column", "id"))).alias("ids")) \
-        .select("shard", F.expr("transform(ids, x -> x.id)").alias("ids"))
-
     def run(mine: pa.Table, found: pa.Table) -> pa.Table:
-        flat = {c: mine[c].combine_chunks().flatten() for c in ("rows", "entries", "columns", "counts")}
-        number = found["ids"].combine_chunks().flatten().to_numpy() if len(found) else np.zeros(0, np.int64)
-        return make(flat["rows"], flat["entries"].to_numpy(), number[flat["columns"].to_numpy()], flat["counts"].to_numpy())
+        entries, columns, counts = (np.frombuffer(mine[c][0].as_py(), "<i4") for c in ("entries", "columns", "counts"))
+        number = np.empty(len(found), np.int64)
+        number[found["column"].to_numpy()] = found["id"].to_numpy()
+        return make(mine["rows"].combine_chunks().flatten(), entries, number[np.cumsum(columns, dtype=np.int64)], counts)
 
-    return with_answers(shards.select("shard", "rows", "entries", "columns", "counts"), lists, run, schema)
+    return with_answers(shards.drop("words"), ids.select("shard", "column", "id"), run, schema)

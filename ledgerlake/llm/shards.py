@@ -43,7 +43,7 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     table = f"llm_{name}_{uuid.uuid4().hex}"
     df.write.bucketBy(int(spark.conf.get("spark.sql.shuffle.partitions")), "shard") \
-        .option("path", checkpoint_path(spark, table)).saveAsTable(table)
+        .option("compression", "zstd").option("path", checkpoint_path(spark, table)).saveAsTable(table)
     return spark.table(table)
 
 
