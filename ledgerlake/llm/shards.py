@@ -14,7 +14,7 @@ from ..session import checkpoint_path
 from . import words as W
 
 #: UTF-8 bytes of text in a shard (a longer text is a shard of its own).
-SHARD_BYTES = 1 << 23
+SHARD_BYTES = 1 << 24
 
 
 def cut(batches: Iterator[pa.RecordBatch], text: int, size: int = SHARD_BYTES) -> Iterator[tuple[int, pa.RecordBatch]]:
