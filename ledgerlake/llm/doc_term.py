@@ -16,7 +16,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 from pyspark.sql.window import Window
@@ -84,29 +84,44 @@ def _sql(kind: pa.DataType) -> str:
     return {pa.int64(): "bigint", pa.bool_(): "boolean"}[kind]
 
 
-def dictionary(shards: DataFrame) -> DataFrame:
+def dictionary(shards: DataFrame, hashed: Callable[[Column], Column] = F.xxhash64) -> DataFrame:
     """shard, column (the shard's own number of a word), id (the word's number in the whole dictionary) and word.
 
     The word stands on one row of each id only, so ``where("word is not null")``
-    is the dictionary.  Ids are dense.  One shuffle, of a row per shard and word.
+    is the dictionary.  Ids are dense.  One shuffle, of a row per shard and word,
+    sorted by ``hashed``; different words of one hash get different ids.
     """
     def number(batches):
-        base, last, n = TaskContext.get().partitionId() << 33, None, -1
+        base, n, last, held = TaskContext.get().partitionId() << 33, 0, None, {}     # held: the last hash's words
         for batch in batches:
-            words = batch.column(0)
+            words, hashed = batch.column(0), batch.column(3).to_numpy()
             if not len(words):
                 continue
-            new = np.ones(len(words), bool)
-            new[1:] = pc.not_equal(words[1:], words[:-1]).to_numpy(zero_copy_only=False)
-            new[0] = last is None or words[0].as_py() != last
-            at = n + np.cumsum(new)
-            n, last = int(at[-1]), words[-1].as_py()
+            head = np.r_[hashed[0] != last, hashed[1:] != hashed[:-1]]
+            word = np.r_[True, pc.not_equal(words[1:], words[:-1]).to_numpy(zero_copy_only=False)]
+            if (word[1:] & ~head[1:]).any() or (not head[0] and words[0].as_py() not in held):    # two words share a hash
+                at, new = np.empty(len(words), np.int64), np.zeros(len(words), bool)
+                for i, w in enumerate(words.to_pylist()):
+                    held = {} if head[i] else held
+                    new[i] = w not in held
+                    n += int(new[i])
+                    at[i] = held.setdefault(w, n - 1)
+            else:
+                first = n - 1 if head[0] else held[words[0].as_py()]
+                new, at = head, first + np.cumsum(head)
+                at[np.cumsum(head) > 0] += n - 1 - first
+                n += int(head.sum())
+                if head.any():
+                    held = {}
+                held[words[-1].as_py()] = int(at[-1])
+            last = hashed[-1]
             yield pa.RecordBatch.from_arrays([batch.column(1), batch.column(2), pa.array(base + at, pa.int64()),
                                               pc.if_else(pa.array(new), words, pa.scalar(None, pa.binary()))],
                                              names=["shard", "column", "i", "word"])
 
-    listed = shards.select(F.posexplode("words").alias("column", "word"), "shard").select("word", "shard", "column")
-    rows = materialize(listed.repartition("word").sortWithinPartitions("word")
+    listed = shards.select(F.posexplode("words").alias("column", "word"), "shard") \
+        .select("word", "shard", "column", hashed(F.col("word")).cast("long").alias("hash"))
+    rows = materialize(listed.repartition("hash").sortWithinPartitions("hash")
                        .mapInArrow(number, "shard long, column int, i long, word binary"), "dictionary") \
         .withColumn("task", F.shiftright("i", 33))
     tasks = rows.where("word is not null").groupBy("task").agg(F.count(F.lit(1)).alias("n"))

@@ -84,11 +84,11 @@ def test_audit_of_nothing(spark):
     assert filter_audit.audit(filter_audit.failures(none, labels)).count() == 0
 
 
-@pytest.mark.parametrize("size", [1, 40, 1 << 20])
-def test_matrix_is_the_counts_of_words(spark, size):
+@pytest.mark.parametrize("size,hashed", [(1, F.xxhash64), (40, F.octet_length), (1 << 20, F.octet_length), (1 << 20, F.xxhash64)])
+def test_matrix_is_the_counts_of_words(spark, size, hashed):
     docs = spark.createDataFrame([r for r in ROWS if r[2] != LONG], DOCS).repartition(3)
     shards = doc_term.shard_rows(docs, ["doc_id", "text"], size=size)
-    ids = doc_term.dictionary(shards)
+    ids = doc_term.dictionary(shards, hashed).checkpoint()
     word = {r["id"]: bytes(r["word"]) for r in ids.where("word is not null").collect()}
     assert sorted(word) == list(range(len(word))) and len(set(word.values())) == len(word)
 
