@@ -355,8 +355,9 @@ def test_pluggable_scorer_runs_per_batch(spark):
 def test_ordinal_within_splits_a_hot_key_and_stays_exact(spark):
     from ledgerlake.operators.ordering import ordinal_within
     rows = [(1 if i % 10 else 2 + i, 1000 - i, i) for i in range(2000)]      # key 1 holds 90 % of rows
-    df = spark.createDataFrame(rows, "k bigint, t bigint, id bigint")
-    out = ordinal_within(df, "k", ["t", "id"], "n", partitions=16)
+    df = spark.createDataFrame(rows, "k bigint, t bigint, id bigint").withColumn("text", F.concat(F.lit("text "), "id"))
+    out = ordinal_within(df, "k", ["t", "id"], "n")
+    assert out.columns == ["k", "t", "id", "text", "n"] and all(r["text"] == f"text {r['id']}" for r in out.collect())
     got = {r["id"]: r["n"] for r in out.collect()}
     hot = sorted((t, i) for k, t, i in rows if k == 1)
     assert [got[i] for _, i in hot] == list(range(1, len(hot) + 1))
