@@ -74,15 +74,16 @@ def dedupe_messages(msgs: DataFrame) -> DataFrame:
     return msgs.withColumn("_r", F.row_number().over(w)).filter("_r = 1").drop("_r")
 
 
-def latest_tool_usage(tu: DataFrame, order_col: str = "logged_at") -> DataFrame:
-    """One row per tool_call_id, the latest write wins (an upsert as an aggregate).
+def latest_by(df: DataFrame, key: str, order: str) -> DataFrame:
+    """One row per ``key``, the one with the largest ``order``; of different rows with equal ones always the same, by hash."""
+    rest = [c for c in df.columns if c not in (key, order)]
+    best = df.groupBy(key).agg(F.max_by(F.struct(*rest, order), F.struct(F.col(order), F.xxhash64(*rest))).alias("_l"))
+    return best.select(key, "_l.*")
 
-    Of different rows with equal times always the same one wins, by their hash.
-    """
-    cols = [c for c in tu.columns if c not in ("tool_call_id", order_col)]
-    latest = tu.groupBy("tool_call_id").agg(F.max_by(
-        F.struct(*cols, order_col), F.struct(F.col(order_col), F.xxhash64(*cols))).alias("_l"))
-    return latest.select("tool_call_id", "_l.*")
+
+def latest_tool_usage(tu: DataFrame, order_col: str = "logged_at") -> DataFrame:
+    """One row per tool_call_id, the latest write wins (an upsert as an aggregate)."""
+    return latest_by(tu, "tool_call_id", order_col)
 
 
 def user_asks(ch: DataFrame) -> DataFrame:

@@ -310,14 +310,19 @@ def r11(spark, d):
     src = _scratch(spark, "tool-updates")
     t1 = F.lit("2024-01-01 00:00:00").cast("timestamp")
     t2 = F.lit("2024-01-01 01:00:00").cast("timestamp")
-    tu.select("tool_call_id", "tool_output", "tokens_used", t1.alias("logged_at")).write.parquet(src + "/b1")
-    tu.filter(F.col("tool_name") == "click").select(
-        "tool_call_id", F.lit('{"message":"Error: retried"}').alias("tool_output"),
-        (F.col("tokens_used") + 1).alias("tokens_used"), t2.alias("logged_at")).write.parquet(src + "/b2")
     schema = "tool_call_id bigint, tool_output string, tokens_used int, logged_at timestamp"
-    stream = spark.readStream.schema(schema).option("recursiveFileLookup", "true").parquet(src)
     log = _scratch(spark, "tool-log")
-    SE.upsert_tool_usage(stream, log).awaitTermination()
+
+    def run(rows, name):
+        rows.write.parquet(f"{src}/{name}")
+        stream = spark.readStream.schema(schema).option("recursiveFileLookup", "true").parquet(src)
+        SE.upsert_tool_usage(stream, log).awaitTermination()
+
+    run(tu.select("tool_call_id", "tool_output", "tokens_used", t1.alias("logged_at")), "b1")
+    SE.tool_usage_table(spark, log).compact()                # what follows is read from the snapshot and one newer delta
+    run(tu.filter(F.col("tool_name") == "click").select(
+        "tool_call_id", F.lit('{"message":"Error: retried"}').alias("tool_output"),
+        (F.col("tokens_used") + 1).alias("tokens_used"), t2.alias("logged_at")), "b2")
     return SE.current_tool_usage(spark, log).select("tool_call_id", "tool_output", "tokens_used")
 
 

@@ -2,14 +2,17 @@
 
 from __future__ import annotations
 
+import uuid
 from datetime import timedelta
 
 from pyspark.sql import functions as F
 
 from ..operators import safety as S
+from ..session import checkpoint_path
 from ..sources import fixtures as X
 from ..sources.tables import read_table
 from ..streaming import events as SE
+from ..streaming import sessions as RS
 from .oracle import sql_iso
 from .registry import register
 
@@ -175,22 +178,23 @@ def r3s(spark, d):
                       F.col("window_end").cast("timestamp_ntz").alias("window_end"), "filter_category", "eventCount")
 
 
+FIRST_SEEN = [
+    ("seen", "select session_id, agent_name, trace_end, trace_id, routing_step, row_number() over (partition by session_id, agent_name "
+             "order by trace_end, trace_id, routing_step) as r from chat_history where agent_name is not null"),
+    ("used", "select session_id, string_agg(agent_name, ',' order by trace_end, trace_id, routing_step) as names, count(*) as n "
+             "from seen where r = 1 group by session_id")]
+
+
 @register("r10_session_state_stream", """
-select session_id, count(distinct agent_name) as total_agents_used, count(*) as n_messages,
-  cast((epoch_us(max(trace_end)) - epoch_us(min(trace_end))) / 1000 as bigint) as session_duration_ms
-from chat_history group by session_id""")
+select c.session_id, coalesce(any_value(u.names), '') as agent_names_used, coalesce(any_value(u.n), 0) as total_agents_used,
+  count(*) as n_messages, cast(floor((epoch_us(max(trace_end)) - epoch_us(min(trace_end))) / 1000) as bigint) as session_duration_ms,
+  cast(date_diff('second', min(trace_end), max(trace_end)) as bigint) as sess_duration
+from chat_history c left join used u on u.session_id = c.session_id group by c.session_id""", ctes=FIRST_SEEN)
 def r10(spark, d):
-    """Session state as a streaming aggregation (conversations read as a file stream)."""
+    """Running state of all sessions, kept by a stateful stream over the conversations read as a file stream."""
     schema = read_table(spark, d, "conversations").schema
     conv = spark.readStream.schema(schema).option("pathGlobFilter", "conversations.parquet").parquet(d)
-    # the chat_history mapping is row-wise except the ask counter, which session state does not need
-    is_ai = F.col("role") == "assistant"
-    ct = F.col("conv_id") + F.col("turn")
-    msgs = conv.select(
-        F.col("conv_id").alias("session_id"),
-        F.when(is_ai, F.when(ct % 3 == 0, "account_agent").when(ct % 3 == 1, "support_agent")
-               .otherwise("visualization_agent")).alias("agent_name"),
-        (F.lit(X.CHAT_EPOCH).cast("timestamp") + F.make_dt_interval(hours=F.col("conv_id").cast("int"))
-         + F.make_dt_interval(secs=F.col("turn") * 30)).alias("trace_end"))
-    out = SE.run_to_table(SE.session_state(msgs), mode="complete")
-    return out.select("session_id", "total_agents_used", "n_messages", "session_duration_ms")
+    path = checkpoint_path(spark, f"sessions-{uuid.uuid4().hex}")
+    RS.run_sessions(X.chat_messages(conv), path).awaitTermination()
+    return RS.sessions_table(spark, path).read().select(
+        "session_id", "agent_names_used", "total_agents_used", "n_messages", "session_duration_ms", "sess_duration")

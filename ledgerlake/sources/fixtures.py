@@ -110,6 +110,20 @@ def chat_history(spark: SparkSession, d: str) -> DataFrame:
     )
 
 
+def chat_messages(conv: DataFrame) -> DataFrame:
+    """What the running session state needs of chat_history, row by row (no window, so it works on a stream).
+
+    A message's trace is numbered by its turn instead of the asks before it: both grow together.
+    """
+    ct = F.col("conv_id") + F.col("turn")
+    return conv.select(
+        F.col("conv_id").alias("session_id"), F.col("turn").cast("bigint").alias("trace_id"), F.col("turn").cast("bigint").alias("routing_step"),
+        F.when(F.col("role") == "assistant", F.when(ct % 3 == 0, "account_agent").when(ct % 3 == 1, "support_agent")
+               .otherwise("visualization_agent")).alias("agent_name"),
+        (F.lit(CHAT_EPOCH).cast("timestamp") + F.make_dt_interval(hours=F.col("conv_id").cast("int"))
+         + F.make_dt_interval(secs=F.col("turn") * 30)).alias("trace_end"))
+
+
 def agent_traces(spark: SparkSession, d: str, ch: DataFrame | None = None) -> DataFrame:
     ch = chat_history(spark, d) if ch is None else ch
     ai = ch.filter(F.col("message_type") == "ai")

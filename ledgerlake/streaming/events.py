@@ -21,6 +21,7 @@ from ..operators import safety as S
 from ..operators import telemetry as T
 from ..session import checkpoint_path
 from ..sources.tables import read_path_or_empty
+from .merge_table import MergeTable
 
 # Schema of the raw event files (the stream is schema-on-read in the reference; ours is fixed).
 RAW_EVENT_SCHEMA = StructType([
@@ -38,10 +39,14 @@ def default_checkpoint(target: str) -> str:
     return target.rstrip("/") + "/_checkpoint"
 
 
+def batch_name(checkpoint: str, epoch: int) -> str:
+    """The name of one micro-batch of one job: the same if it is replayed, and no other's."""
+    return f"{hashlib.sha256(checkpoint.encode()).hexdigest()[:12]}-{epoch:09d}"
+
+
 def epoch_folder(target: str, checkpoint: str, epoch: int) -> str:
     """The folder of one micro-batch: a replay overwrites its own, other checkpoints and batches never."""
-    job = hashlib.sha256(checkpoint.encode()).hexdigest()[:12]
-    return f"{target.rstrip('/')}/epoch={job}-{epoch:09d}"
+    return f"{target.rstrip('/')}/epoch={batch_name(checkpoint, epoch)}"
 
 
 def read_events_stream(spark: SparkSession, data_dir: str, max_files_per_trigger: int | None = None,
@@ -123,40 +128,33 @@ def run_to_table(df: DataFrame, mode: str = "complete", path: str | None = None)
     return read_path_or_empty(spark, f"{path}/result", df.schema).select(df.columns)
 
 
-def session_state(msgs: DataFrame, watermark: str = "1 day") -> DataFrame:
-    """Running per-session agents, message count and duration (update-mode aggregation).
-
-    ``msgs`` has session_id, agent_name and an event-time ``trace_end`` (TIMESTAMP).
-    """
-    agg = (msgs.withWatermark("trace_end", watermark).groupBy("session_id")
-               .agg(F.collect_set("agent_name").alias("agents"), F.count(F.lit(1)).alias("n_messages"),
-                    F.min("trace_end").alias("created_at"), F.max("trace_end").alias("updated_at")))
-    return agg.select("session_id", F.array_sort("agents").alias("agent_names_used"),
-                      F.size("agents").cast("bigint").alias("total_agents_used"), "n_messages",
-                      ((F.unix_micros("updated_at") - F.unix_micros("created_at")) / 1000).cast("bigint")
-                      .alias("session_duration_ms"))
+def tool_usage_table(spark: SparkSession, path: str) -> MergeTable:
+    """The tool usage below ``path``, one row per tool_call_id, the latest write wins."""
+    return MergeTable(spark, path.rstrip("/"), "tool_call_id", "logged_at")
 
 
-def upsert_tool_usage(updates: DataFrame, log_path: str, checkpoint: str | None = None) -> StreamingQuery:
+def upsert_tool_usage(updates: DataFrame, path: str, checkpoint: str | None = None, compact_every: int = 0) -> StreamingQuery:
     """Idempotent tool-usage upserts, however late they come.
 
-    Every micro-batch writes its own ``epoch=`` folder of the upsert log
-    (overwrite, atomic commit), so a batch replayed after a failure replaces
-    exactly what it wrote before; readers take the latest row per tool_call_id
-    with ``current_tool_usage`` (merge on read, W4), which also absorbs exact
-    replays of an update.
+    Every micro-batch is a delta of ``tool_usage_table(path)``; a batch that is
+    replayed after a failure replaces what it wrote before, and an update that is
+    replayed changes nothing.  With ``compact_every`` each so many batches the
+    deltas are folded into a new snapshot.
     """
-    ck = checkpoint or default_checkpoint(log_path)
+    ck = checkpoint or default_checkpoint(path)
+    table = tool_usage_table(updates.sparkSession, path)
 
     def write(batch: DataFrame, epoch: int) -> None:
-        batch.write.mode("overwrite").parquet(epoch_folder(log_path, ck, epoch))
+        table.write_delta(batch, batch_name(ck, epoch))
+        if compact_every and (epoch + 1) % compact_every == 0 and table.compact():
+            table.vacuum()
 
     return updates.writeStream.foreachBatch(write).option("checkpointLocation", ck).trigger(availableNow=True).start()
 
 
-def current_tool_usage(spark: SparkSession, log_path: str) -> DataFrame:
-    """Latest state per tool_call_id from the upsert log."""
-    return T.latest_tool_usage(spark.read.parquet(log_path).drop("epoch"), "logged_at")
+def current_tool_usage(spark: SparkSession, path: str) -> DataFrame:
+    """Latest state per tool_call_id: the newest snapshot and the deltas after it."""
+    return tool_usage_table(spark, path).read()
 
 
 def score_increment_stream(pairs_stream: DataFrame, scores_path: str, checkpoint: str | None = None) -> StreamingQuery:

@@ -7,6 +7,7 @@ import uuid
 from datetime import datetime
 
 import pandas as pd
+import pytest
 from pyspark.sql import functions as F
 
 from ledgerlake.operators import evaluation as EV
@@ -17,6 +18,8 @@ from ledgerlake.sources import fixtures as X
 from ledgerlake.sources import io as IO
 from ledgerlake.sources.tables import read_table
 from ledgerlake.streaming import events as SE
+from ledgerlake.streaming import sessions as RS
+from ledgerlake.streaming.merge_table import MergeTable
 
 
 def _rows(df):
@@ -301,3 +304,129 @@ def test_questions_without_rows(spark):
     assert V.rag_context(none, chunks).count() == 0
     one = spark.createDataFrame([(5, [2.0])], "query_id bigint, vec array<float>")
     assert [tuple(r) for r in V.rag_context(one, chunks).collect()] == [(5, 1, V.rag_context(one, chunks).first()["context"])]
+
+
+# ---------------------------------------------------------------- running sessions (R10), merge table
+
+def _message_batches(spark, small_dir, parts, order="trace_end"):
+    """chat_history as message batches in time order, and all of it as a table."""
+    msgs = X.chat_messages(read_table(spark, small_dir, "conversations")).checkpoint()
+    ids = msgs.select("session_id", "trace_id").orderBy(order, "session_id", "trace_id").collect()
+    cut = [ids[len(ids) * k // parts:len(ids) * (k + 1) // parts] for k in range(parts)]
+    keys = [spark.createDataFrame([tuple(r) for r in c], "session_id bigint, trace_id bigint") for c in cut]
+    return msgs, [msgs.join(k, ["session_id", "trace_id"], "left_semi") for k in keys]
+
+
+def _batch_sessions(msgs):
+    """A25 and A26 of the messages so far, from the batch operators."""
+    traces = msgs.filter("agent_name is not null").select("session_id", "trace_id", F.col("routing_step").alias("step_order"),
+                                                        F.col("agent_name").alias("current_agent"))
+    sessions = msgs.groupBy("session_id").agg(F.lit(1).alias("user_id"), F.min("trace_end").alias("created_at"),
+                                             F.max("trace_end").alias("updated_at"), F.count(F.lit(1)).alias("n_messages"))
+    stats = T.session_stats(traces, sessions).drop("user_id")
+    return stats.join(T.session_duration(sessions).select("session_id", "sess_duration"), "session_id") \
+        .join(sessions.select("session_id", "n_messages"), "session_id")
+
+
+@pytest.mark.parametrize("parts,order", [(1, "trace_end"), (2, "trace_id"), (3, "trace_end")])
+def test_running_sessions_equal_the_batch_after_every_increment(spark, small_dir, parts, order):
+    """By trace_end the increments follow time; by trace_id every session is touched again and again, out of step with time."""
+    msgs, batches = _message_batches(spark, small_dir, parts, order)
+    src, out = (checkpoint_path(spark, f"sess-{k}-{uuid.uuid4().hex}") for k in ("src", "out"))
+    table = RS.sessions_table(spark, out)
+    known, so_far = set(), None
+    for k, batch in enumerate(batches):
+        batch.write.parquet(f"{src}/b{k}")
+        stream = spark.readStream.schema(msgs.schema).option("recursiveFileLookup", "true").parquet(src)
+        RS.run_sessions(stream, out, idle="3650 days", delay="3650 days").awaitTermination()
+        so_far = batch if so_far is None else so_far.unionByName(batch)
+        want = _batch_sessions(so_far)
+        assert _rows(table.read().select(want.columns)) == _rows(want)
+        new = set(table.open_deltas()) - known
+        known |= new
+        emitted = table._scan(sorted(new)).select("session_id")
+        assert _rows(emitted) == _rows(batch.select("session_id").distinct())       # touched sessions, once each
+
+
+def test_idle_sessions_leave_the_state(spark, small_dir):
+    msgs, batches = _message_batches(spark, small_dir, 3)
+    src, out = (checkpoint_path(spark, f"idle-{k}-{uuid.uuid4().hex}") for k in ("src", "out"))
+    for k, batch in enumerate(batches):
+        batch.write.parquet(f"{src}/b{k}")
+        stream = spark.readStream.schema(msgs.schema).option("recursiveFileLookup", "true").parquet(src)
+        RS.run_sessions(stream, out, idle="2 hours", delay="1 hour").awaitTermination()
+    held = spark.read.format("statestore").option("stateVarName", "totals").load(SE.default_checkpoint(out))
+    ids = {r["key"]["session_id"] for r in held.select("key").collect()}
+    last = {r["session_id"]: r["t"] for r in msgs.groupBy("session_id").agg(F.max("trace_end").alias("t")).collect()}
+    end = max(last.values())
+    assert 0 < len(ids) < len(last) / 2 and all((end - last[i]).total_seconds() <= 3 * 3600 + 60 for i in ids)
+    assert RS.sessions_table(spark, out).read().count() == len(last)                # what was emitted stays in the table
+
+
+def test_a_hot_session_and_messages_without_key(spark):
+    rows = [(1 if i % 3 else 2 + i, i, 1, [None, "b", "a"][i % 3 - 1], datetime(2024, 1, 1, 0, i // 60, i % 60)) for i in range(3000)]
+    rows += [(None, 1, 1, "a", datetime(2024, 1, 1)), (7, 1, 1, "a", None)]
+    schema = "session_id bigint, trace_id bigint, routing_step bigint, agent_name string, trace_end timestamp"
+    src, out = (checkpoint_path(spark, f"hot-{k}-{uuid.uuid4().hex}") for k in ("src", "out"))
+    spark.createDataFrame(rows, schema).repartition(4).write.parquet(src)
+    RS.run_sessions(spark.readStream.schema(schema).parquet(src), out).awaitTermination()
+    hot = RS.sessions_table(spark, out).lookup([1]).first()
+    assert (hot["n_messages"], hot["agent_names_used"], hot["sess_duration"]) == (2000, "b", 2998)
+
+
+def test_merge_table_through_compactions_and_crashes(spark):
+    path = checkpoint_path(spark, f"merge-{uuid.uuid4().hex}")
+    table = MergeTable(spark, path, "id", "at", buckets=4)
+    schema = "id bigint, v string, at bigint"
+    assert table.read() is None and not table.compact()
+
+    def want(*batches):
+        best = {}
+        for r in [x for b in batches for x in b]:
+            if r[0] not in best or r[2] > best[r[0]][2]:
+                best[r[0]] = r
+        return sorted(best.values())
+
+    def got():
+        return sorted((r["id"], r["v"], r["at"]) for r in table.read().collect())
+    b1 = [(i, f"a{i}", 5) for i in range(40)]
+    b2 = [(i, f"b{i}", 9 if i % 2 else 1) for i in range(30, 60)] + [(31, "twice", 10)]
+    b3 = [(3, "c", 7)]
+    table.write_delta(spark.createDataFrame(b1, schema), "j-0")
+    table.write_delta(spark.createDataFrame(b2, schema), "j-1")
+    assert got() == want(b1, b2)
+    plan = table.write_snapshot()                       # a crash here leaves a snapshot that no manifest names
+    assert got() == want(b1, b2) and table.manifest()["snapshot"] is None
+    table.write_delta(spark.createDataFrame(b3, schema), "j-2")      # comes in during the compaction
+    table.publish(plan)
+    assert got() == want(b1, b2, b3) and table.open_deltas() == ["delta-j-2"]
+    with pytest.raises(Exception, match="exist"):       # a slower compaction doesn't replace a newer manifest
+        table.publish(plan)
+    table.write_delta(spark.createDataFrame(b1, schema), "j-0")      # a batch replayed after it was folded
+    assert got() == want(b1, b2, b3)
+    assert table.compact() and table.open_deltas() == []
+    assert got() == want(b1, b2, b3)
+    held = table.read().inputFiles()                    # all of them in one snapshot
+    assert held and all(f"/part={table.manifest()['snapshot']}/" in f for f in held)
+    old = table.parts("snapshot")
+    table.vacuum()
+    assert got() == want(b1, b2, b3) and len(table.parts("snapshot")) == 2 <= len(old) and "delta-j-1" not in table.parts("delta")
+    assert sorted((r["id"], r["v"]) for r in table.lookup([3, 31, 999]).collect()) == [(3, "c"), (31, "twice")]
+    # a delta without the marker of a committed write isn't read
+    table.write_delta(spark.createDataFrame([(1, "half", 99)], schema), "j-3")
+    fs, p = table._fs(f"{path}/data/part=delta-j-3/_SUCCESS")
+    fs.delete(p, False)
+    assert got() == want(b1, b2, b3)
+
+
+def test_upserts_with_compaction_on_the_way(spark):
+    src, log = (checkpoint_path(spark, f"cmp-{k}-{uuid.uuid4().hex}") for k in ("src", "log"))
+    schema = "tool_call_id bigint, tool_output string, tokens_used int, logged_at timestamp"
+    for k in range(5):
+        rows = [(i, f"v{k}", k, datetime(2024, 1, 1 + (k * 7 + i) % 20)) for i in range(k, 30, 2)]
+        spark.createDataFrame(rows, schema).coalesce(1).write.parquet(f"{src}/b{k}")
+    stream = spark.readStream.schema(schema).option("recursiveFileLookup", "true").option("maxFilesPerTrigger", 1).parquet(src)
+    SE.upsert_tool_usage(stream, log, compact_every=2).awaitTermination()
+    want = T.latest_tool_usage(spark.read.schema(schema).option("recursiveFileLookup", "true").parquet(src))
+    assert _rows(SE.current_tool_usage(spark, log).select(want.columns)) == _rows(want)
+    assert len(SE.tool_usage_table(spark, log).open_deltas()) == 1
