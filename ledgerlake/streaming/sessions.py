@@ -11,7 +11,7 @@ event-time timer drops the state of a session that has been idle for a time.
 from __future__ import annotations
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Row
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StreamingQuery
 
@@ -22,37 +22,35 @@ ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvi
 
 
 class SessionState(StatefulProcessor):
-    """State of one session: totals, and the first place of each agent."""
+    """State of one session: totals, and each agent with the place (time, trace, step) where it was first seen."""
 
     def __init__(self, idle_ms: int, trace_type: str):
         self.idle_ms, self.trace_type = idle_ms, trace_type
 
     def init(self, handle) -> None:
         self.handle = handle
-        self.totals = handle.getValueState("totals", "n long, created long, updated long")
-        self.agents = handle.getMapState("agents", "agent string", f"at long, trace {self.trace_type}, step long")
+        self.totals = handle.getValueState("totals", "n long, created long, updated long, agents array<struct<"
+                                           f"at: long, trace: {self.trace_type}, step: long, agent: string>>")
 
     def handleInputRows(self, key, rows, timerValues):
-        n, created, updated = self.totals.get() if self.totals.exists() else (0, None, None)
-        for frame in rows:
-            n += int(frame["n"].sum())
-            low, high = int(frame["created"].min()), int(frame["updated"].max())
-            created, updated = low if created is None else min(created, low), high if updated is None else max(updated, high)
-            named = frame[frame["agent"].notna()].sort_values(["at", "trace", "step"]).drop_duplicates("agent")
-            for agent, at, trace, step in named[["agent", "at", "trace", "step"]].itertuples(index=False):
-                place = (int(at), trace if isinstance(trace, str) else int(trace), int(step))
-                if not self.agents.containsKey((agent,)) or place < tuple(self.agents.getValue((agent,))):
-                    self.agents.updateValue((agent,), place)
-        self.totals.update((n, created, updated))
-        for timer in list(self.handle.listTimers()):
-            self.handle.deleteTimer(timer if isinstance(timer, int) else timer[0])
-        self.handle.registerTimer(updated // 1000 + self.idle_ms)
-        seen = sorted((tuple(place), agent[0]) for agent, place in self.agents.iterator())
-        yield pd.DataFrame({"session_id": [key[0]], "agents": [[a for _, a in seen]], "n": [n], "created": [created], "updated": [updated]})
+        n, created, updated, agents = self.totals.get() or (0, None, None, [])
+        first, before = {a[3]: tuple(a[:3]) for a in agents}, updated
+        for r in rows:
+            n += r.n
+            created = r.created if created is None else min(created, r.created)
+            updated = r.updated if updated is None else max(updated, r.updated)
+            if r.agent is not None:
+                first[r.agent] = min(first.get(r.agent, (r.at, r.trace, r.step)), (r.at, r.trace, r.step))
+        seen = sorted((*place, agent) for agent, place in first.items())
+        self.totals.update((n, created, updated, seen))
+        if updated != before:
+            if before is not None:
+                self.handle.deleteTimer(before // 1000 + self.idle_ms)
+            self.handle.registerTimer(updated // 1000 + self.idle_ms)
+        yield Row(session_id=key[0], agents=[s[3] for s in seen], n=n, created=created, updated=updated)
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):
         self.totals.clear()
-        self.agents.clear()
         return iter([])
 
     def close(self) -> None:
@@ -83,7 +81,7 @@ def running_sessions(msgs: DataFrame, idle: str = "30 days", delay: str = "1 day
         F.col("trace_id").alias("trace"), F.col("routing_step").cast("long").alias("step"))
     folded = rows.mapInPandas(_fold, f"session_id {key}, agent string, at long, trace {trace}, step long, n long, created long, updated long")
     state = folded.withColumn("seen", F.timestamp_micros("updated")).withWatermark("seen", delay).groupBy("session_id") \
-        .transformWithStateInPandas(SessionState(_millis(idle), trace),
+        .transformWithState(SessionState(_millis(idle), trace),
                                     f"session_id {key}, agents array<string>, n long, created long, updated long", "update", "eventTime")
     return state.select(
         "session_id", F.array_join("agents", ",").alias("agent_names_used"), F.size("agents").cast("bigint").alias("total_agents_used"),
