@@ -22,12 +22,17 @@ def _pct(num: Column, den: Column) -> Column:
     return F.round(raw, 1)
 
 
-def _linked(goals: DataFrame, acc: DataFrame) -> DataFrame:
-    """Goals joined to the account they name (first account with that name per user)."""
+def named_accounts(acc: DataFrame) -> DataFrame:
+    """_u, _n, _linked_id, _linked_bal: the first account of each name per user."""
     named = (acc.groupBy(F.col("user_id").alias("_u"), F.col("name").alias("_n"))
                 .agg(F.min("account_id").alias("_linked_id")))
-    named = named.join(acc.select(F.col("account_id").alias("_linked_id"), F.col("balance").alias("_linked_bal")),
-                       "_linked_id")
+    return named.join(acc.select(F.col("account_id").alias("_linked_id"), F.col("balance").alias("_linked_bal")),
+                      "_linked_id")
+
+
+def _linked(goals: DataFrame, acc: DataFrame) -> DataFrame:
+    """Goals joined to the account they name (first account with that name per user)."""
+    named = named_accounts(acc)
     return goals.join(named, (goals["user_id"] == named["_u"]) & (goals["linked_account_name"] == named["_n"]), "left") \
                 .drop("_u", "_n")
 
@@ -40,13 +45,19 @@ def _type_totals(acc: DataFrame, account_type: str, name: str, absolute: bool =
 
 def goal_savings(goals: DataFrame, acc: DataFrame, tx: DataFrame, as_of: datetime) -> DataFrame:
     """Savings progress; named account, else all savings; 30-day contributions for a named account."""
+    since = as_of - timedelta(days=30)
+    contrib = (tx.filter(F.col("type").isin("deposit", "transfer") & in_period("created_at", since, as_of))
+                 .groupBy(F.col("to_account_id").alias("_acct")).agg(F.sum("amount").alias("_sum")))
+    named = _linked(goals.filter(F.col("goal_type") == "savings"), acc)
+    return savings_progress(goals, acc, named.join(contrib, named["_linked_id"] == contrib["_acct"]).select("goal_id", "_sum"))
+
+
+def savings_progress(goals: DataFrame, acc: DataFrame, contributions: DataFrame) -> DataFrame:
+    """A14 from ``contributions`` (goal_id, _sum) that are summed up already."""
     g = _linked(goals.filter(F.col("goal_type") == "savings"), acc)
     totals = _type_totals(acc, "savings", "_all_savings")
     g = g.join(totals, g["user_id"] == totals["_u2"], "left").drop("_u2")
-    since = as_of - timedelta(days=30)
-    contrib = (tx.filter(F.col("type").isin("deposit", "transfer") & in_period("created_at", since, as_of))
-                 .groupBy(F.col("to_account_id").alias("_linked_id")).agg(F.sum("amount").alias("_contrib")))
-    g = g.join(contrib, "_linked_id", "left")
+    g = g.join(contributions.select("goal_id", F.col("_sum").alias("_contrib")), "goal_id", "left")
     linked = F.col("linked_account_name").isNotNull()
     current = F.when(linked, F.coalesce("_linked_bal", F.lit(0))).otherwise(F.coalesce("_all_savings", F.lit(0)))
     target = F.col("target_amount")
@@ -93,9 +104,13 @@ def goal_spending_limit(goals: DataFrame, tx: DataFrame, acc: DataFrame, as_of:
           .join(per_user_cat, (g["user_id"] == per_user_cat["_u"]) & (g["category"] == per_user_cat["_c"]), "left")
           .drop("_u", "_c")
           .join(has_acc, g["user_id"] == has_acc["_ua"], "left"))
-    spent = F.when(F.col("category").isNotNull(), F.coalesce("_s", F.lit(0))).otherwise(F.coalesce("_all", F.lit(0)))
+    return limit_progress(j, F.when(F.col("category").isNotNull(), F.coalesce("_s", F.lit(0))).otherwise(F.coalesce("_all", F.lit(0))))
+
+
+def limit_progress(goals: DataFrame, spent: Column) -> DataFrame:
+    """A16 of goals whose spending is the column ``spent``."""
     lim = F.col("spending_limit")
-    return j.select(
+    return goals.select(
         "goal_id", "user_id", money(spent).alias("current_spending"), money(lim).alias("spending_limit"),
         money(F.greatest(F.lit(0), lim - spent)).alias("remaining"), _pct(spent, lim).alias("progress_percent"),
         F.coalesce("category", F.lit("All Categories")).alias("category"),

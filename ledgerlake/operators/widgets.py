@@ -1,10 +1,6 @@
-"""Stored dashboard widgets: query dispatch, bulk refresh, counts, config update.
+"""Stored dashboard widgets: one query by name for all users, points, counts, config update.
 
-The reference refreshes one widget per HTTP call, one SQL query per month.
-Here every dynamic widget is refreshed in one job: each distinct
-(query_type, time_range) pair present among the widgets is computed once for
-all users, the per-user points are gathered with ``collect_list`` and written
-into ``config.customProps.data``; all other members of the config stay.
+The refresh of all stored widgets, each with its own filters, is in ``refresh``.
 """
 
 from __future__ import annotations
@@ -76,22 +72,22 @@ def _point_order(name: str) -> Column:
     return F.struct(F.format_string("%020.2f", F.lit(1e15) - F.col("value")).alias("a"), F.col("name").alias("b"))
 
 
-def widget_points(name: str, result: DataFrame) -> DataFrame:
-    """(user_id[, time_range], order, point JSON) for one query result; the JSON carries the chart fields."""
+def widget_points(name: str, result: DataFrame, keep: list[str] | None = None) -> DataFrame:
+    """(user_id[, time_range] or the ``keep`` columns, order, point JSON) for one query result; the JSON carries the chart fields."""
+    keep = keep or ["user_id"] + (["time_range"] if "time_range" in result.columns else [])
     if name == "category_trend":
-        return wide_points(result)
-    drop = {"user_id", "month", "date", "rank", "account_id", "time_range"}
+        return wide_points(result, keep=keep)
+    drop = {"user_id", "month", "date", "rank", "account_id", "time_range", *keep}
     fields = [c for c in result.columns if c not in drop]
-    keep = ["user_id"] + (["time_range"] if "time_range" in result.columns else [])
     return result.select(*keep, _point_order(name).alias("_o"), F.to_json(F.struct(*fields)).alias("point"))
 
 
-def wide_points(result: DataFrame, months: DataFrame | None = None) -> DataFrame:
+def wide_points(result: DataFrame, months: DataFrame | None = None, keep: list[str] | None = None) -> DataFrame:
     """Points of category_trend: one per month, its name and a member for each category.
 
-    ``months`` (user_id, time_range, month) adds the months without spending.
+    ``months`` (the ``keep`` columns and month) adds the months without spending.
     """
-    keep = ["user_id"] + (["time_range"] if "time_range" in result.columns else [])
+    keep = keep or ["user_id"] + (["time_range"] if "time_range" in result.columns else [])
     by_month = result.groupBy(*keep, "month").agg(
         F.map_from_entries(F.array_sort(F.collect_list(F.struct("category", "value")))).alias("_v"))
     if months is not None:
@@ -103,61 +99,25 @@ def wide_points(result: DataFrame, months: DataFrame | None = None) -> DataFrame
                            point.alias("point"))
 
 
-def refresh_widgets(widgets: DataFrame, tx: DataFrame, acc: DataFrame, as_of: datetime) -> DataFrame:
-    """Recompute every dynamic widget and write the points into its config.
+def set_widget_json(config: Column, data: Column) -> Column:
+    """config JSON with ``customProps.data`` replaced by the JSON text ``data`` (customProps created if absent).
 
-    Every widget gets a row: dynamic ones are ``refreshed`` (new config, point
-    count, refresh time); the others keep their config and report ``static``,
-    as the reference answers for a non-dynamic widget.  The
-    (query_type, time_range) pairs come from the widgets themselves; they are
-    enumeration values (at most 7 x 10), so listing them is bounded.  All
-    transaction-based chart types derive from one shared pre-aggregate
-    (``shared_chart_results``), so the transactions are scanned and shuffled
-    once for the whole refresh.
-    """
-    is_dyn = F.col("data_mode") == "dynamic"
-    by_type: dict[str, list[str]] = {}
-    for r in widgets.filter(is_dyn).select("query_type", "time_range").distinct().collect():
-        by_type.setdefault(r["query_type"], []).append(r["time_range"])
-    shared = shared_chart_results(tx, acc, as_of, {t: sorted(r) for t, r in by_type.items() if t in SHARED_TYPES})
-    parts = None
-    for qt, trs in sorted(by_type.items()):
-        res = shared.get(qt) if qt in shared else run_query(qt, tx, acc, as_of, ranges=sorted(trs))
-        if res is None:
-            continue
-        pts = wide_points(res, B._spine(B._users_with_accounts(acc), as_of, sorted(trs))) if qt == "category_trend" else widget_points(qt, res)
-        pts = pts.select("user_id", F.lit(qt).alias("query_type"), "time_range", "_o", "point")
-        parts = pts if parts is None else parts.unionByName(pts)
-    if parts is None:
-        j = widgets.withColumn("_data", F.lit(None).cast("array<string>"))
-    else:
-        data = parts.groupBy("user_id", "query_type", "time_range").agg(
-            F.transform(F.array_sort(F.collect_list(F.struct("_o", "point"))), lambda x: x["point"]).alias("_data"))
-        j = widgets.join(data, ["user_id", "query_type", "time_range"], "left")
-    new_data = F.coalesce("_data", F.array().cast("array<string>"))
-    return j.select("widget_id", "user_id", "query_type", "time_range",
-                    F.when(is_dyn, "refreshed").otherwise("static").alias("status"),
-                    F.when(is_dyn, F.size(new_data)).cast("bigint").alias("n_points"),
-                    F.when(is_dyn, set_widget_data(F.col("config"), new_data)).otherwise(F.col("config")).alias("config"),
-                    F.when(is_dyn, F.lit(as_of).cast("timestamp_ntz")).alias("last_refreshed"))
-
-
-def set_widget_data(config: Column, data: Column) -> Column:
-    """config JSON with ``customProps.data`` replaced (customProps created if absent).
-
-    ``data`` is an array of JSON objects (one per point, in order).  Every other
-    member of the config and of customProps stays, whatever its type.  A config
-    that is null or no JSON object is returned as it is.
+    Every other member of the config and of customProps stays, whatever its
+    type.  A config that is null or no JSON object is returned as it is.
     """
     members = F.try_parse_json(config).try_cast("map<string,variant>")
     props = F.coalesce(members["customProps"].try_cast("map<string,variant>"), F.create_map().cast("map<string,variant>"))
-    points = F.parse_json(F.concat(F.lit("["), F.array_join(data, ","), F.lit("]")))
-    props = F.map_concat(F.map_filter(props, lambda k, v: k != "data"), F.create_map(F.lit("data"), points))
+    props = F.map_concat(F.map_filter(props, lambda k, v: k != "data"), F.create_map(F.lit("data"), F.parse_json(data)))
     whole = F.map_concat(F.map_filter(members, lambda k, v: k != "customProps"),
                          F.create_map(F.lit("customProps"), F.call_function("to_variant_object", props)))
     return F.coalesce(F.to_json(whole), config)
 
 
+def set_widget_data(config: Column, data: Column) -> Column:
+    """the same with an array of JSON objects, one per point and in order."""
+    return set_widget_json(config, F.concat(F.lit("["), F.array_join(data, ","), F.lit("]")))
+
+
 def widget_counts(widgets: DataFrame) -> DataFrame:
     """Widgets per user: all, charts (anything not a simulation), simulations."""
     is_sim = F.col("widget_type") == "simulation"
@@ -173,94 +133,3 @@ def list_widgets(widgets: DataFrame) -> DataFrame:
                            (-F.unix_micros(F.col("updated_at").cast("timestamp"))).alias("_k1"),
                            (-F.col("widget_id")).alias("_k2"))
     return ordinal_within(keyed, "user_id", ["_k1", "_k2"], "rank").drop("_k1", "_k2")
-
-
-# ---------------------------------------------------------------- one shared pass for the bulk refresh
-
-SHARED_TYPES = {"spending_by_category", "top_merchants", "daily_spending", "monthly_trend",
-                "monthly_income_expenses", "category_trend"}
-
-def _shared_base(tx: DataFrame, acc: DataFrame, as_of: datetime, ranges: list[str]) -> DataFrame:
-    """Payments and deposits of every period, pre-aggregated once per (user, type, period, kind, category,
-    description, day).  ``kind`` is ``exact`` (the period itself) or ``floor`` (from the first of its
-    start month, what the monthly series use).  Every chart type of the refresh is a re-aggregation
-    of this frame, so inside one plan the transactions are scanned and shuffled once."""
-    members = []
-    for kind, floor in (("exact", False), ("floor", True)):
-        for r, s, e in B._bounds(as_of, ranges, month_floor=floor):
-            members.append((r, kind, s, e))
-    lo = min(m[2] for m in members)
-    hi = max(m[3] for m in members)
-    t = tx.filter(F.col("type").isin("payment", "deposit") & in_period("created_at", lo, hi))
-    arr = F.array(*[F.struct(F.lit(r).alias("r"), F.lit(k).alias("k"), ts_lit(s).alias("s"), ts_lit(e).alias("e"))
-                    for r, k, s, e in members])
-    t = t.withColumn("_m", F.explode(F.filter(arr, lambda m: F.col("created_at").between(m["s"], m["e"]))))
-    acct = F.when(F.col("type") == "deposit", F.col("to_account_id")).otherwise(F.col("from_account_id"))
-    return B._per_user(t, acc, acct,
-                       ["type", F.col("_m.r").alias("time_range"), F.col("_m.k").alias("kind"), "category",
-                        "description", F.to_date("created_at").alias("date")],
-                       {"value": ("sum", F.col("amount")), "n": ("count", F.col("id"))})
-
-
-def shared_chart_results(tx: DataFrame, acc: DataFrame, as_of: datetime,
-                         by_type: dict[str, list[str]]) -> dict[str, DataFrame]:
-    """The chart queries of ``by_type`` (type -> periods), all derived from one shared pre-aggregate.
-
-    Outputs have the columns of the corresponding ``run_query(..., ranges=...)`` results.
-    """
-    ranges = sorted({r for rs in by_type.values() for r in rs})
-    if not ranges:
-        return {}
-    # the user-level pre-aggregate is written once (reliable checkpoint in the
-    # shared folder) and every chart type re-aggregates it: one pass over transactions
-    base = _shared_base(tx, acc, as_of, ranges).checkpoint(eager=True)
-    users = B._users_with_accounts(acc)
-    pay = base.filter(F.col("type") == "payment")
-    exact, floor = pay.filter(F.col("kind") == "exact"), pay.filter(F.col("kind") == "floor")
-    month = F.date_trunc("month", F.col("date").cast("timestamp_ntz")).cast("timestamp_ntz")
-    out: dict[str, DataFrame] = {}
-    for qt, rs in by_type.items():
-        keep = F.col("time_range").isin(rs)
-        if qt == "spending_by_category":
-            g = exact.filter(keep).groupBy("user_id", "time_range", "category").agg(F.sum("value").alias("v"))
-            out[qt] = g.select("user_id", "time_range", label("category", "Uncategorized").alias("name"),
-                               money("v").alias("value"))
-        elif qt == "top_merchants":
-            g = exact.filter(keep).groupBy("user_id", "time_range", "description").agg(
-                F.sum("value").alias("value"), F.sum("n").alias("transactions"))
-            top = B.top_per(g, ["user_id", "time_range"],
-                            [F.col("value").desc(), F.col("description").asc_nulls_last()], 10)
-            out[qt] = top.select("user_id", "time_range", "rank", label("description", "Unknown").alias("name"),
-                                 money("value").alias("value"), F.col("transactions").cast("bigint").alias("transactions"))
-        elif qt == "daily_spending":
-            g = exact.filter(keep).groupBy("user_id", "time_range", "date").agg(F.sum("value").alias("v"))
-            out[qt] = g.select("user_id", "time_range", "date", fmt_day("date").alias("name"), money("v").alias("value"))
-        elif qt == "monthly_trend":
-            g = floor.filter(keep).groupBy("user_id", "time_range", month.alias("month")).agg(F.sum("value").alias("v"))
-            spine = B._spine(users, as_of, rs)
-            out[qt] = spine.join(g, ["user_id", "time_range", "month"], "left").select(
-                "user_id", "time_range", "month", fmt_month("month").alias("name"),
-                money(F.coalesce("v", F.lit(0))).alias("value"))
-        elif qt == "monthly_income_expenses":
-            g = base.filter((F.col("kind") == "floor") & keep).groupBy("user_id", "time_range", month.alias("month")).agg(
-                F.sum(F.when(F.col("type") == "deposit", F.col("value"))).alias("inc"),
-                F.sum(F.when(F.col("type") == "payment", F.col("value"))).alias("exp"))
-            spine = B._spine(users, as_of, rs)
-            out[qt] = spine.join(g, ["user_id", "time_range", "month"], "left").select(
-                "user_id", "time_range", "month", fmt_month("month").alias("name"),
-                money(F.coalesce("inc", F.lit(0))).alias("income"),
-                money(F.coalesce("exp", F.lit(0))).alias("expenses"))
-        elif qt == "category_trend":
-            tot = exact.filter(keep).groupBy("user_id", "time_range", "category").agg(F.sum("value").alias("total"))
-            cats = (B.top_per(tot, ["user_id", "time_range"],
-                              [F.col("total").desc(), F.col("category").asc_nulls_first()], 5)
-                    .filter(F.col("category").isNotNull() & (F.col("category") != ""))
-                    .select("user_id", "time_range", "category"))
-            grid = cats.select("user_id", "time_range", "category",
-                               F.explode(F.element_at(B._month_spines(as_of, rs), F.col("time_range"))).alias("month"))
-            m = floor.filter(keep).groupBy("user_id", "time_range", "category", month.alias("month")).agg(
-                F.sum("value").alias("v"))
-            out[qt] = grid.join(m, ["user_id", "time_range", "category", "month"], "left").select(
-                "user_id", "time_range", "month", fmt_month("month").alias("name"), "category",
-                money(F.coalesce("v", F.lit(0))).alias("value"))
-    return out

@@ -96,12 +96,6 @@ def t6b(spark, d):
     return W.list_widgets(X.ai_widgets(spark, d))
 
 
-@register("j11_refresh_widgets", None)
-def j11(spark, d):
-    """Every dynamic widget of every user refreshed in one job (config JSON rewritten)."""
-    return W.refresh_widgets(X.ai_widgets(spark, d), X.transactions(spark, d), X.accounts(spark, d), AS_OF)
-
-
 # Members that a refresh must leave alone, inserted into the stored config.
 F6_EXTRA = '"xAxisKey":"name","n":null,"nested":{"quote":"a\\"b","list":[1,2.5,true]},'
 

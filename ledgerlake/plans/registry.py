@@ -40,4 +40,4 @@ def load_all() -> None:
         importlib.import_module(f"{__package__}.{mod}")
 
 
-MODULES = ["q_banking", "q_goals_fraud", "q_telemetry", "q_evaluation", "q_safety", "q_text", "q_projections", "q_misc", "q_core"]
+MODULES = ["q_banking", "q_goals_fraud", "q_telemetry", "q_evaluation", "q_safety", "q_text", "q_projections", "q_misc", "q_core", "q_widgets"]

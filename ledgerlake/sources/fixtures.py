@@ -270,3 +270,36 @@ def ai_widgets(spark: SparkSession, d: str) -> DataFrame:
         (F.lit("2001-07-01 00:00:00").cast("timestamp_ntz")
          + F.make_dt_interval(hours=((F.col("user_id") * 7 + F.col("j") * 13) % 500).cast("int"))).alias("updated_at"),
     )
+
+
+# Fixed value: the time ranges of the filtered widgets, the last one unknown.
+QUERY_RANGES = ["last_6_months", "this_year", "last_3_months", "all_time", "last_30_days", "this_month", "some_day"]
+
+
+def widget_queries(spark: SparkSession, d: str) -> DataFrame:
+    """Charts and goals with filters: one widget per user and chart query, one per goal."""
+    u, j = F.col("user_id"), F.col("j")
+    charts = users(spark, d).select("user_id", F.posexplode(F.array(*[F.lit(k) for k in WIDGET_KINDS[:7]])).alias("j", "query_type"))
+    none = F.lit(None)
+    charts = charts.select(
+        (u * 100 + j).alias("widget_id"), "user_id", "query_type", (u + j).alias("k"),
+        F.when((u + j) % 4 == 1, u * 3 + 1).alias("account_id"), F.when(u % 2 == 0, "savings").alias("account_type"),
+        F.when((u + j) % 3 == 1, F.array(F.lit("3-MEDIUM"), F.lit("1-URGENT"))).alias("categories"),
+        F.when((u + j) % 2 == 0, 3).alias("limit"), none.cast("string").alias("category"), none.cast("decimal(15,2)").alias("target_amount"),
+        none.cast("decimal(15,2)").alias("original_debt"), none.cast("decimal(15,2)").alias("spending_limit"),
+        none.cast("string").alias("linked_account_name"))
+    kind = F.when(F.col("goal_type") == "savings", "goal_savings_progress").when(
+        F.col("goal_type") == "debt_payoff", "goal_debt_payoff_progress").otherwise("goal_spending_limit")
+    of_goals = goals(spark, d).select(
+        (10_000_000 + F.col("goal_id")).alias("widget_id"), "user_id", kind.alias("query_type"), F.col("goal_id").alias("k"),
+        F.when(F.col("goal_id") % 7 == 0, F.col("goal_id")).alias("account_id"), none.cast("string").alias("account_type"),
+        none.cast("array<string>").alias("categories"), none.cast("int").alias("limit"), "category", "target_amount", "original_debt",
+        "spending_limit", "linked_account_name")
+    w = charts.unionByName(of_goals)
+    filters = ["account_id", "account_type", "categories", "limit", "category", "target_amount", "original_debt", "spending_limit",
+               "linked_account_name"]
+    k = F.col("k")
+    period = F.element_at(F.array(*[F.lit(r) for r in QUERY_RANGES]), (k % 7 + 1).cast("int"))
+    return w.select("widget_id", "user_id", F.when(k % 5 == 0, "static").otherwise("dynamic").alias("data_mode"),
+                    F.to_json(F.struct("query_type", period.alias("time_range"), F.struct(*filters).alias("filters"))).alias("query_config"),
+                    F.lit('{"title":"w","customProps":{"height":30}}').alias("config"))

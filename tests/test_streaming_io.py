@@ -147,9 +147,10 @@ def test_trace_fan_out_skips_replayed_history(spark):
 
 def test_widget_refresh_writes_the_query_points(spark, small_dir):
     import json
+    from ledgerlake.operators import refresh as R
     from ledgerlake.operators import widgets as W
     widgets, tx, acc = X.ai_widgets(spark, small_dir), X.transactions(spark, small_dir), X.accounts(spark, small_dir)
-    out = W.refresh_widgets(widgets, tx, acc, X.BANK_AS_OF)
+    out = R.refresh_widgets(widgets, tx, acc, X.BANK_AS_OF).checkpoint()
     assert out.count() == widgets.count()
     assert out.filter(F.col("status") == "refreshed").count() == widgets.filter(F.col("data_mode") == "dynamic").count()
     static = out.filter(F.col("status") == "static").join(widgets.select("widget_id", F.col("config").alias("c0")),
@@ -265,10 +266,11 @@ def test_scores_do_not_depend_on_the_increments(spark, small_dir):
 
 def test_trend_points_are_wide_and_complete(spark, small_dir):
     import json
+    from ledgerlake.operators import refresh as R
     from ledgerlake.operators import widgets as W
     tx, acc = X.transactions(spark, small_dir), X.accounts(spark, small_dir)
     widgets = X.ai_widgets(spark, small_dir).withColumn("data_mode", F.lit("dynamic"))
-    out = W.refresh_widgets(widgets, tx, acc, X.BANK_AS_OF).filter(F.col("query_type") == "category_trend").collect()
+    out = R.refresh_widgets(widgets, tx, acc, X.BANK_AS_OF).filter(F.col("query_type") == "category_trend").collect()
     assert out
     for r in out[:20]:
         data = json.loads(r["config"])["customProps"]["data"]
