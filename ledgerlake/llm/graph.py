@@ -1,40 +1,77 @@
-"""Connected components over an edge table, by alternating star contractions."""
+"""Connected components over an edge table, by local components that are merged round by round."""
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import materialize
 
+#: Edges that a task joins at a time, and nodes it holds before it passes them on.
+EDGES, NODES = 1 << 20, 1 << 22
 
-def _state(edges: DataFrame) -> tuple:
-    r = edges.agg(F.count(F.lit(1)).alias("n"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)")).alias("h")).first()
-    return r["n"], r["h"]
+
+def smallest_reachable(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Every node of the edges (a, b), sorted, and the smallest node of its component."""
+    nodes, at = np.unique(np.concatenate([a, b]), return_inverse=True)
+    x, y = at[:len(a)], at[len(a):]
+    label = np.arange(len(nodes))
+    while True:
+        low = np.minimum(label[x], label[y])
+        after = label.copy()
+        for side in (x, y):
+            np.minimum.at(after, side, low)
+            np.minimum.at(after, label[side], low)
+        while True:                                   # follow labels down to their own
+            down = after[after]
+            if (down == after).all():
+                break
+            after = down
+        if (after == label).all():
+            return nodes, nodes[label]
+        label = after
+
+
+def _stars(batches):
+    """Local components of a task's edges: each node with the smallest one of its component."""
+    held: list[np.ndarray] = []
+    n = 0
+
+    def join(parts):
+        return smallest_reachable(np.concatenate([p[0] for p in parts]), np.concatenate([p[1] for p in parts]))
+
+    for batch in batches:
+        held.append((batch.column(0).to_numpy(), batch.column(1).to_numpy()))
+        n += batch.num_rows
+        if n >= EDGES:
+            held = [join(held)]
+            n = 0
+            if len(held[0][0]) > NODES:
+                yield pa.RecordBatch.from_arrays([pa.array(held[0][0]), pa.array(held[0][1])], names=["a", "b"])
+                held = []
+    if held:
+        nodes, label = join(held)
+        yield pa.RecordBatch.from_arrays([pa.array(nodes), pa.array(label)], names=["a", "b"])
 
 
 def components(edges: DataFrame) -> DataFrame:
     """node, component (the smallest node of its component) for every node of an edge (a, b).
 
-    Each round hangs every node's larger neighbours on its smallest one (large
-    star), then its smaller ones (small star); a logarithmic number of rounds
-    leaves stars.  Neighbours are aggregated and joined, never gathered, so a
-    hub may have any number of them.  Loops and repeated edges are allowed.
+    Each round every task finds the components of its own edges and passes on
+    one row per node, so a hub is sent once per task, however many edges it has.
+    Nodes whose rows disagree join what they name; when none do, the labels
+    stand.  Loops and repeated edges are allowed.
     """
-    now = materialize(edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
-                      .where("a <> b").distinct(), "edges")
-    state = _state(now)
-    while state[0]:
-        both = now.unionAll(now.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        least = both.groupBy("a").agg(F.least(F.min("b"), F.first("a")).alias("m"))
-        large = both.where("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
-        low = large.groupBy("a").agg(F.min("b").alias("m"))
-        small = large.join(low, "a")
-        after = small.where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b")) \
-            .unionAll(low.select("a", F.col("m").alias("b"))).distinct()
-        now = materialize(after, "edges")
-        before, state = state, _state(now)
-        if state == before:
-            break
-    return now.select(F.col("a").alias("node"), F.col("b").alias("component")) \
-        .unionAll(now.select(F.col("b").alias("node"), F.col("b").alias("component")).distinct())
+    now = materialize(edges.select(F.col("a").cast("long").alias("a"), F.col("b").cast("long").alias("b"))
+                      .where("a is not null and b is not null and a <> b"), "edges")
+    while True:
+        # a row per node and task: its label there, and the smallest of its labels
+        local = now.mapInArrow(_stars, "a long, b long")
+        least = local.groupBy("a").agg(F.min("b").alias("m"), F.max("b").alias("top"), F.collect_set("b").alias("labels"))
+        met = materialize(least.select("a", "m", "top", F.when(F.col("m") < F.col("top"), F.col("labels")).alias("labels")), "components")
+        if met.where("m < top").isEmpty():
+            return met.select(F.col("a").alias("node"), F.col("m").alias("component"))
+        joined = met.where("m < top").select(F.explode("labels").alias("a"), F.col("m").alias("b")).where("a <> b")
+        now = met.select("a", F.col("m").alias("b")).unionByName(joined)

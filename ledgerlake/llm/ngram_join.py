@@ -332,15 +332,15 @@ def _links(docs: DataFrame, size: int, percent: int, universe: int) -> DataFrame
     hubs = routes.groupBy("key").agg(F.min("node").alias("hub"), F.max("node").alias("_top")).where("hub <> _top").drop("_top")
     met = routes.join(hubs, "key").where("node <> hub").select(F.col("node").alias("a"), F.col("hub").alias("b")).distinct()
     blocks = components(met).withColumnRenamed("component", "block")
-    sizes = blocks.join(nodes.select("node", "n"), "node").groupBy("block").agg(
-        F.count(F.lit(1)).alias("members"), F.sum("n").alias("total"))
+    sized = blocks.join(nodes.select("node", "n"), "node")
+    sizes = sized.groupBy("block").agg(F.count(F.lit(1)).alias("members"), F.sum("n").alias("total"))
     chunks = F.ceil(F.greatest(F.col("members") / CHUNK_NODES, F.col("total") / CHUNK_SHINGLES)).cast("int")
-    placed = materialize(blocks.join(sizes.select("block", "members", chunks.alias("chunks")), "block").withColumn(
+    placed = materialize(sized.join(sizes.select("block", "members", chunks.alias("chunks")), "block").withColumn(
         "chunk", F.pmod(F.xxhash64("node", F.lit(3)), F.col("chunks")).cast("int")), "placed")
     sets = materialize(_whole_sets(docs, placed, size), "sets")  # those of other nodes drop out in the joins below
     # small blocks share groups; each chunk of a split block is a group and gets the block's pivots as well
-    count = placed.where("chunks = 1").count()
-    cells = max(1, -(-count // CHUNK_NODES))
+    count, shingles = placed.where("chunks = 1").agg(F.count(F.lit(1)), F.coalesce(F.sum("n"), F.lit(0))).first()
+    cells = max(1, -(-count // CHUNK_NODES), -(-shingles // CHUNK_SHINGLES))
     small = placed.where("chunks = 1").select("node", "block", F.struct(
         F.lit(0).cast("long").alias("b"), F.pmod(F.xxhash64("block"), F.lit(cells)).cast("int").alias("c")).alias("cell"))
     split = placed.where("chunks > 1")
