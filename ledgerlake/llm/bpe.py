@@ -301,25 +301,31 @@ def decode(df: DataFrame, rank_file: str, ids: str = "ids", decoded: str = "deco
     lines = _ranks(rank_file)
 
     def make():
-        known = _token_bytes(lines)
+        tokens, present = _token_bytes(lines)
+        none = len(present)                                   # the place of the empty token
 
         def step(column):
-            values, offsets = column.flatten(), np.concatenate([[0], np.cumsum(np.asarray(column.value_lengths().fill_null(0)))])
-            valid = np.asarray(column.is_valid())
-            return [pa.array([_joined(values[a:b], known) if v else None
-                              for v, a, b in zip(valid, offsets, offsets[1:])], pa.binary())]
+            ids, rows = column.flatten(), len(column)
+            offsets = np.concatenate([[0], np.cumsum(np.asarray(column.value_lengths().fill_null(0)))])
+            at = ids.fill_null(-1).to_numpy(zero_copy_only=False).astype(np.int64)
+            good = (at >= 0) & (at < none)
+            good[good] = present[at[good]]
+            missing = np.concatenate([[0], np.cumsum(~good)])
+            valid = np.asarray(column.is_valid()) & (missing[offsets[1:]] == missing[offsets[:-1]])
+            joined = tokens.take(pa.array(np.where(good, at, none)))      # all tokens of all rows, one after another
+            ends = np.frombuffer(joined.buffers()[1], np.int32, len(joined) + 1)[offsets].astype(np.int32) if len(joined) \
+                else np.zeros(rows + 1, np.int32)
+            data = joined.buffers()[2] if len(joined) else pa.py_buffer(b"")
+            return [pa.Array.from_buffers(pa.binary(), rows, [pa.py_buffer(np.packbits(valid, bitorder="little").tobytes()),
+                                                              pa.py_buffer(ends.tobytes()), data])]
         return step
 
     return add_columns(df, [ids], T.StructType([T.StructField(decoded, T.BinaryType())]), make)
 
 
 @lru_cache(maxsize=4)
-def _token_bytes(rank_lines: bytes) -> dict[int, bytes]:
-    return {int(rank): base64.b64decode(token) for token, rank in map(bytes.split, rank_lines.splitlines())}
-
-
-def _joined(ids: pa.Array, known: dict[int, bytes]) -> bytes | None:
-    try:
-        return b"".join(map(known.__getitem__, ids.to_pylist()))
-    except KeyError:
-        return None
+def _token_bytes(rank_lines: bytes) -> tuple[pa.Array, np.ndarray]:
+    """The tokens by rank with an empty one after the last, and which ranks there are."""
+    known = {int(rank): base64.b64decode(token) for token, rank in map(bytes.split, rank_lines.splitlines())}
+    size = max(known, default=-1) + 1
+    return pa.array([known.get(i, b"") for i in range(size)] + [b""], pa.binary()), np.array([i in known for i in range(size)], bool)
