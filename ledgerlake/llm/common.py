@@ -66,6 +66,8 @@ def add_columns(df: DataFrame, used: list[str], added: T.StructType, make: Calla
                 [batch.column(i) for i in range(n)] + [x if isinstance(x, pa.Array) else pa.array(x, f.type)
                                                        for x, f in zip(new, arrow)],
                 names=carried + arrow.names)
+        step = new = batch = None
+        pa.default_memory_pool().release_unused()         # the worker waits for its next task without what this one held
 
     out = source.mapInArrow(run, schema)
     return out.select(*[F.col(a).alias(c) for c, a in zip(names, carried)], *added.fieldNames())
