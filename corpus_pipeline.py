@@ -18,28 +18,41 @@ from ledgerlake.llm.queries import BLOCK_ROWS, OTHER_WEIGHT, RANKS, WEIGHTS
 
 
 def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The documents that the quality classifier doesn't reject (score of at least 0.3)."""
+    """The documents that the quality classifier doesn't reject (score of at least 0.3).
+
+    Null and empty texts are scored as texts without words.  Documents without a
+    label are judged like all others; a document labelled twice is learned from
+    as often.  A score of just 0.3 stays.
+    """
     scored = quality.classify(docs, table(spark, sf_dir, "labels"))
     return scored.where(F.col("predicted") == 1).select(docs.columns)
 
 
 def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies (word 5-grams, similarity of at least 0.8): the smallest id's.
+    """One row of each group of near copies (word 5-grams, similarity of at least 0.8).
 
-    Of rows with that id and equal texts one stays.  A document without words is
-    a group of its own.  Documents without an id stay, once per text.
+    The row with the smallest id stays, rows without an id last; of several with
+    that id the first in the written files.  Every row counts by its place there,
+    so neither a repeated nor a missing id lets a copy through.  Each row without
+    words (null, empty or blank text) is a group of its own and stays.  An empty
+    table stays empty.
     """
-    groups = ngram_join.join_components(docs, 5, 80)
-    chosen = groups.where("doc_id is null or doc_id = component_id").groupBy("doc_id").agg(F.count(F.lit(1)).alias("rows"))
-
-    def kept(ids: DataFrame) -> DataFrame:
-        return docs.join(ids.withColumnRenamed("doc_id", "_id"), F.col("doc_id").eqNullSafe(F.col("_id")), "left_semi")
-
-    return kept(chosen.where("rows = 1")).unionByName(kept(chosen.where("rows > 1")).dropDuplicates(["doc_id", "text"]))
+    rows = in_files(docs if docs.inputFiles() else materialize(docs, "rows"))
+    doc_id = F.col("_row.doc_id")
+    keyed = rows.select(F.struct(doc_id.isNull().alias("none"), doc_id.alias("doc_id"), "_place").alias("id"),
+                        F.col("_row.text").alias("text"))
+    groups = ngram_join.join_components(keyed, 5, 80, "id")
+    chosen = groups.where("id = component_id").select("id._place")
+    return rows.join(chosen, "_place", "left_semi").select("_row.*")
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All rows in the order of the mix; the files, read by name, follow it, and the next stage numbers the rows by them."""
+    """All rows in the order of the mix; the files, read by name, follow it, and the next stage numbers the rows by them.
+
+    Null texts are kept; rows without a source form one of their own.  Within a
+    source rows follow doc_id, nulls first; rows with equal ids the hash of their
+    columns, so only equal rows may change places.
+    """
     mixed = mixing.mix(docs, WEIGHTS, OTHER_WEIGHT, BLOCK_ROWS)
     return mixing.in_mixed_order(mixed).select(docs.columns)
 
@@ -53,21 +66,27 @@ def encode_texts(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
     return bpe.encode(placed(spark, docs), RANKS, public_tokenizers.PATTERN).drop("text")
 
 
-def placed(spark: SparkSession, docs: DataFrame) -> DataFrame:
-    """``docs`` with mix_position: from 0, by file name and row of the file; null if they aren't from files.
+def in_files(docs: DataFrame) -> DataFrame:
+    """The rows of a table read from files: _row (a struct of its columns) and _place.
 
-    The running sum is over one row per file.
+    Places count from 0, by file name and row of the file; the running sum is
+    over one row per file.
     """
+    rows = docs.select(F.struct(*[F.col("`" + c.replace("`", "``") + "`") for c in docs.columns]).alias("_row"),
+                       F.col("_metadata.file_path").alias("_file"), F.col("_metadata.file_name").alias("_name"),
+                       F.col("_metadata.row_index").alias("_index"))
+    files = rows.groupBy("_file", "_name").agg((F.max("_index") + 1).alias("_n"))
+    earlier = Window.orderBy("_name", "_file").rowsBetween(Window.unboundedPreceding, -1)
+    starts = files.select("_file", F.coalesce(F.sum("_n").over(earlier), F.lit(0)).alias("_start"))
+    return rows.join(F.broadcast(starts), "_file").select("_row", (F.col("_start") + F.col("_index")).alias("_place"))
+
+
+def placed(spark: SparkSession, docs: DataFrame) -> DataFrame:
+    """``docs`` with mix_position, its place in the files; null if they aren't from files."""
     docs = docs.drop("mix_position")
     if not docs.inputFiles():
         return docs.withColumn("mix_position", F.lit(None).cast("long"))
-    row = docs.select("*", F.col("_metadata.file_path").alias("_file"), F.col("_metadata.file_name").alias("_name"),
-                      F.col("_metadata.row_index").alias("_row"))
-    files = row.groupBy("_file", "_name").agg((F.max("_row") + 1).alias("_n"))
-    earlier = Window.orderBy("_name", "_file").rowsBetween(Window.unboundedPreceding, -1)
-    starts = files.select("_file", F.coalesce(F.sum("_n").over(earlier), F.lit(0)).alias("_start"))
-    return row.join(F.broadcast(starts), "_file").withColumn("mix_position", F.col("_start") + F.col("_row")) \
-        .drop("_file", "_name", "_row", "_start")
+    return in_files(docs).select("_row.*", F.col("_place").alias("mix_position"))
 
 
 STAGES = [("quality classifier", keep_quality), ("n-gram Jaccard join", one_of_each_group),
