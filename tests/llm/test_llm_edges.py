@@ -291,3 +291,73 @@ def test_places_follow_file_names(spark, tmp_path):
     rows = corpus_pipeline.placed(spark, spark.read.parquet(path)).collect()
     assert len(rows) == 1000 and all(r["mix_position"] == r["doc_id"] for r in rows)
     assert corpus_pipeline.placed(spark, spark.read.parquet(path).where("doc_id < 0")).count() == 0
+
+
+def test_pipeline_keeps_one_row_of_a_group_whatever_its_ids(spark, tmp_path):
+    """Near copies without an id, and rows that repeat an id, go like all others."""
+    words = [f"w{i}" for i in range(200)]
+    text, near = " ".join(words), " ".join([*words, "more"])
+    other = " ".join(reversed(words))
+    rows = [(7, text, 1), (None, near, 2), (None, text, 3), (4, near, 4), (4, text, 5), (4, other, 6), (None, other, 7),
+            (8, None, 8), (9, "", 9), (None, " ", 10)]
+    frame = spark.createDataFrame(rows, "doc_id long, text string, _place int")
+    kept = lambda df: sorted(r["_place"] for r in corpus_pipeline.one_of_each_group(spark, df, "").collect())
+    path = str(tmp_path / "rows")
+    frame.coalesce(1).write.parquet(path)
+    for df in (frame, spark.read.parquet(path)):
+        got = kept(df)
+        assert got[0] in (4, 5) and got[1:] == [6, 8, 9, 10]
+        assert corpus_pipeline.one_of_each_group(spark, df, "").columns == frame.columns
+    assert corpus_pipeline.one_of_each_group(spark, frame.limit(0), "").count() == 0
+
+
+def slow_schedule(sizes, weights):
+    """Slot by slot: of the released blocks the one due first, by name if several are; anew when a source runs out."""
+    left, out = dict(sizes), []
+    while left:
+        total, taken, now = sum(weights[s] for s in left), dict.fromkeys(left, 0), 0
+        while min(left[s] - taken[s] for s in left):
+            ready = [(-(-(taken[s] + 1) * total // weights[s]), s) for s in left if taken[s] * total // weights[s] <= now]
+            s = min(ready)[1]
+            out.append((s, taken[s]))
+            taken[s] += 1
+            now += 1
+        left = {s: n - taken[s] for s, n in left.items() if n > taken[s]}
+    return [s for s, _ in out]
+
+
+@pytest.mark.parametrize("sizes,weights,block", [
+    ({"+a": 41, "+b": 17, "-": 9, "+c": 1}, {"a": 5, "b": 2, "": 3, "c": 2}, 4),
+    ({f"+s{i:02}": 3 + i % 7 for i in range(40)}, {f"s{i:02}": 4 for i in range(40)}, 2)])
+def test_mix_is_the_earliest_deadline_schedule(spark, sizes, weights, block):
+    """Row by row equal to a loop over slots, with input columns that bear internal names."""
+    names = "_s _i _gap _p _m _first _t _b _w _d _h _o0 _row _start".split()
+    rows = [(k, None if s == "-" else s[1:], *[f"{n}{k}" for n in names])
+            for s, count in sizes.items() for k in range(sum(map(ord, s)) * 1000, sum(map(ord, s)) * 1000 + count)]
+    df = spark.createDataFrame(rows, "doc_id long, source string, " + ", ".join(f"{n} string" for n in names))
+    got = mixing.mix(df, weights, 1, block).orderBy("mix_position").collect()
+    assert [r["mix_position"] for r in got] == list(range(len(rows)))
+    assert all(r[n] == f"{n}{r['doc_id']}" for r in got for n in names)
+    of = {s: sorted(r[0] for r in rows if r[1] == (None if s == "-" else s[1:])) for s in sizes}
+    want, at = [], dict.fromkeys(sizes, 0)
+    for s in slow_schedule({s: -(-n // block) for s, n in sizes.items()}, {s: weights[s[1:]] for s in sizes}):
+        want += of[s][at[s]:at[s] + block]
+        at[s] += block
+    assert [r["doc_id"] for r in got] == want
+
+
+def test_many_equal_sources_mix():
+    """Weights are divided by their common divisor: 1000 sources of weight 4 take turns."""
+    parts, pattern = mixing.phases({f"s{i:04}": 1 + i % 5 for i in range(1000)}, {f"s{i:04}": 4 for i in range(1000)})
+    assert sum(end - first for _, _, first, end, *_ in parts) == 3000 and len(pattern) <= mixing.MAX_PATTERN
+
+
+def test_language_model_does_not_depend_on_partitions(spark, small_dir):
+    docs = spark.read.parquet(f"{small_dir}/documents.parquet").select("doc_id", "text").where("doc_id < 120").collect()
+    scores = []
+    for order, parts in ((docs, 1), (docs[::-1], 5)):
+        df = spark.createDataFrame(order, "doc_id long, text string").repartition(parts)
+        rows = lm.score_texts(df, RANKS, public_tokenizers.PATTERN).collect()
+        scores.append({r["doc_id"]: r["score"] for r in rows})
+    assert scores[0].keys() == scores[1].keys()
+    assert scores[0] == pytest.approx(scores[1], rel=1e-6)
