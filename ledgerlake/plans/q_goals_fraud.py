@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from datetime import timedelta
 
+from pyspark.sql import functions as F
 
 from ..functions.common import sql_ts, time_range
 from ..operators import banking as B
@@ -182,7 +183,20 @@ def a21(spark, d):
     return FR.fraud_round_amount(_timed(spark, d, P30), P30)
 
 
-@register("u1_fraud_findings", _findings_sql(P30), ctes=[("fw", _fw(P30))])
+def _reasons_sql(p: FR.FraudParams, columns: str) -> str:
+    """``ff`` with the reason of each finding; the mean is in ``st``."""
+    r = FR.REASONS
+    return f"""select {columns}, case ff.type
+  when 'UNUSUAL_AMOUNT' then 'Amount $' || cast(cast(ff.amount as decimal(18,2)) as varchar) || ' is {p.amount_multiple}x higher than your average $'
+    || cast(cast(st.average_amount as decimal(18,2)) as varchar)
+  when 'RAPID_TRANSACTIONS' then cast(ff.count as varchar) || ' {r["RAPID_TRANSACTIONS"]}'
+  when 'UNUSUAL_TIME' then '{r["UNUSUAL_TIME"]}' else '{r["ROUND_AMOUNT"]}' end as reason
+from ff join st on st.user_id = ff.user_id"""
+
+
+@register("u1_fraud_findings", _reasons_sql(P30, "ff.*"),
+          ctes=[("fw", _fw(P30)), ("ff", _findings_sql(P30)), ("st", """select user_id, round(avg(cast(amount as double)), 2) as average_amount
+from fw group by 1""")])
 def u1(spark, d):
     return FR.fraud_findings(_timed(spark, d, P30), P30)
 
@@ -215,10 +229,25 @@ ST_SQL = """select user_id, round(avg(cast(amount as double)), 2) as average_amo
   round(cast(max(amount) as double), 2) as highest_amount, count(*) as transaction_count from fw group by 1"""
 
 
+def _with_keys(report):
+    """Findings as type:transaction (rapid ones: their time), one text per report."""
+    key = lambda f: F.concat_ws(":", f["type"], F.coalesce(f["transaction_id"].cast("string"), f["time"]))
+    return report.withColumn("findings", F.array_join(F.transform("findings", key), ","))
+
+
 @register("a22_fraud_report", _report_sql(P30),
           ctes=[("fw", _fw(P30)), ("ff", _findings_sql(P30)), ("st", ST_SQL)])
 def a22(spark, d):
-    return FR.fraud_report(X.timed_transactions(spark, d), TAS, P30)
+    return _with_keys(FR.fraud_report(X.timed_transactions(spark, d), TAS, P30))
+
+
+@register("a22c_fraud_report_details", f"""select user_id, type, transaction_id, amount, time, description, count, reason, risk_points,
+  cast(row_number() over (partition by user_id order by check_order, event_at desc, transaction_id asc nulls last) as int) as position
+from ({_reasons_sql(P30, "ff.*")}) z
+qualify position <= 10""", ctes=[("fw", _fw(P30)), ("ff", _findings_sql(P30)), ("st", ST_SQL)])
+def a22c(spark, d):
+    """The findings that the reports hold, with their details and reasons."""
+    return FR.report_findings(FR.fraud_report(X.timed_transactions(spark, d), TAS, P30))
 
 
 PB = FR.FraudParams(lookback_days=30)
@@ -233,4 +262,4 @@ def a22b(spark, d):
     """Every user with accounts; users without completed transactions in the window get the NONE row."""
     acc = X.accounts(spark, d)
     scoped = B.user_scope(X.transactions(spark, d), acc, "from")
-    return FR.fraud_report(scoped, AS_OF, PB, users=acc.select("user_id"))
+    return _with_keys(FR.fraud_report(scoped, AS_OF, PB, users=acc.select("user_id")))

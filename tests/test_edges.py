@@ -139,7 +139,30 @@ def test_fraud_report_keeps_ten_findings(spark):
     base = datetime(2024, 1, 10, 12)
     rows = [(i, 1, d(100), "completed", "x", base + timedelta(minutes=7 * i)) for i in range(11)]
     r = FR.fraud_report(_timed(spark, rows), datetime(2024, 1, 11)).first()
-    assert r["suspicious_count"] == 11 and len(r["findings"].split(",")) == 10
+    assert r["suspicious_count"] == 11 and len(r["findings"]) == 10
+
+
+def test_fraud_report_equals_its_findings(spark):
+    """A hot user whose large, but usual amounts find nothing: all findings count, the first ten stay with their reasons."""
+    base = datetime(2024, 1, 8)
+    rows = [(i, 1, d(501 + i % 7), "completed", "x", base + timedelta(minutes=3 * i)) for i in range(900)]
+    rows += [(2000 + i, 1, d(1900), "completed", f"d{i}", base + timedelta(minutes=97 * i, seconds=1)) for i in range(14)]
+    rows += [(3000, 2, d(1), "completed", None, base), (3001, 3, None, "completed", None, base), (3002, 4, d(9), "failed", "x", base)]
+    df, as_of = _timed(spark, rows), datetime(2024, 1, 11)
+    for check in ("all", "unusual_amounts", "rapid_transactions", "unusual_time", "round_amounts"):
+        found = FR.fraud_findings(FR.in_window(df, as_of, FR.FraudParams()), FR.FraudParams(), check).collect()
+        report = {r["user_id"]: r for r in FR.fraud_report(df, as_of, check_type=check).collect()}
+        assert set(report) == {1, 2, 3} and report[2]["suspicious_count"] == report[3]["risk_score"] == 0
+        mine = sorted((r for r in found if r["user_id"] == 1),
+                      key=lambda r: (r["check_order"], -r["event_at"].timestamp(), r["transaction_id"] or 0))
+        assert report[1]["suspicious_count"] == len(mine) and report[1]["risk_score"] == sum(r["risk_points"] for r in mine)
+        fields = ["type", "transaction_id", "amount", "time", "description", "count", "reason", "risk_points"]
+        assert [[f[c] for c in fields] for f in report[1]["findings"]] == [[r[c] for c in fields] for r in mine[:10]]
+        if check == "unusual_amounts":
+            assert len(mine) == 14
+            assert mine[0]["reason"] == f"Amount $1900.00 is 3x higher than your average ${report[1]['average_amount']:.2f}"
+    scans = FR.fraud_report(df, as_of)._jdf.queryExecution().executedPlan().toString()
+    assert scans.count("Scan ExistingRDD") + scans.count("LocalTableScan") <= 2
 
 
 def test_rapid_transactions_bucket_per_minute(spark):
