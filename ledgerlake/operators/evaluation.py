@@ -1,21 +1,22 @@
 """Incremental answer evaluation.
 
-Question/answer pairs are aligned with a two-key equi-join; each pair's prior
-turns come from a range-frame window instead of the reference's O(turns^2)
-theta self-join.  The default scorer is built from Spark expressions (word
+Question/answer pairs are aligned with a two-key equi-join; a session's pairs
+are stored in blocks of turns, and a pair's prior turns are those of the earlier
+blocks and of its own, joined by session and block number.  The default scorer is built from Spark expressions (word
 overlap, repetition, length), so scoring stays inside whole-stage codegen; a
 Python scorer can be plugged in and runs per Arrow batch via ``mapInPandas``.
 """
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable, Iterator
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
+from ..session import checkpoint_path
 from .telemetry import conversation_messages
 
 # The four metrics, pass threshold and run labels of the reference.
@@ -24,6 +25,9 @@ THRESHOLD = 3.0
 METHOD = "offline_expression_scorer"
 WORD_SPLIT = "[ \t\n\r]+"   # explicit class: identical in Java regex and RE2
 
+#: Turns of a session that are stored together.
+BLOCK_TURNS = 32
+
 PAIR_COLUMNS = ["agent_trace_id", "session_id", "user_id", "agent_id", "user_question", "agent_answer",
                 "turn_number", "invoked_tool_name", "response_time_ms", "model_name", "total_tokens",
                 "completion_tokens", "prompt_tokens", "trace_end"]
@@ -43,21 +47,58 @@ def qa_pairs(ch: DataFrame) -> DataFrame:
     return asked.join(answered, ["trace_id", "session_id"]).withColumnRenamed("trace_id", "agent_trace_id").select(*PAIR_COLUMNS)
 
 
-def qa_with_history(pairs: DataFrame) -> DataFrame:
+def history_blocks(pairs: DataFrame, block_turns: int = BLOCK_TURNS) -> DataFrame:
+    """A session's pairs cut into blocks of ``block_turns`` turns, each written once: session_id, block, members.
+
+    ``members`` holds the block's pairs (structs of all their columns) in the
+    order of turn, question and answer.  A block is bounded by its turns, so a
+    session with a third of all pairs lies in many rows and tasks.
+    """
+    spark = pairs.sparkSession
+    path = checkpoint_path(spark, f"history-{uuid.uuid4().hex}")
+    member = F.struct(F.col("turn_number").alias("turn"), F.col("user_question").alias("question"),
+                      F.col("agent_answer").alias("answer"), F.struct(*pairs.columns).alias("_pair"))
+    pairs.groupBy("session_id", F.floor(F.col("turn_number") / block_turns).alias("block")) \
+        .agg(F.array_sort(F.collect_list(member)).alias("members")).write.parquet(path)
+    return spark.read.parquet(path)
+
+
+def prior_turns(blocks: DataFrame) -> DataFrame:
+    """For every block with earlier ones in its session, their turns in order: session_id, block, prior.
+
+    A block refers to the earlier blocks by number; each reference fetches one
+    block by (session, number), so no task holds more of a session than one
+    block's history, which is an output value.
+    """
+    wanted = blocks.filter(F.col("block") > 0).select(
+        "session_id", F.col("block").alias("_for"), F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("block") - 1)).alias("block"))
+    kept = blocks.select(F.col("session_id").alias("_session"), F.col("block").alias("_block"), _turns(F.col("members")).alias("_turns"))
+    same = F.col("session_id").eqNullSafe(F.col("_session")) & (F.col("block") == F.col("_block"))
+    return wanted.join(kept, same).groupBy("session_id", F.col("_for").alias("block")) \
+        .agg(F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("_block", "_turns"))), lambda x: x["_turns"])).alias("prior"))
+
+
+def _turns(members: Column) -> Column:
+    return F.transform(members, lambda m: F.struct(m["question"].alias("question"), m["answer"].alias("answer"),
+                                                   m["turn"].alias("turn")))
+
+
+def with_history(blocks: DataFrame) -> DataFrame:
+    """The pairs of ``blocks`` with ``conversation_history``: earlier blocks, then the earlier turns of their own."""
+    prior = prior_turns(blocks).select(F.col("session_id").alias("_session"), F.col("block").alias("_block"), "prior")
+    same = F.col("session_id").eqNullSafe(F.col("_session")) & (F.col("block") == F.col("_block"))
+    own = F.filter(F.col("_own"), lambda x: x["turn"] < F.col("_m._pair.turn_number"))
+    return blocks.join(prior, same, "left") \
+        .select("prior", _turns(F.col("members")).alias("_own"), F.explode("members").alias("_m")) \
+        .select("_m._pair.*", F.when(F.col("prior").isNull(), own).otherwise(F.concat("prior", own)).alias("conversation_history"))
+
+
+def qa_with_history(pairs: DataFrame, block_turns: int = BLOCK_TURNS) -> DataFrame:
     """Every earlier pair of the same session (turn strictly smaller), sorted by turn.
 
-    A RANGE frame ending at -1 over ``turn_number`` includes all pairs with a
-    smaller turn and excludes ties with the current turn, exactly like the
-    reference's ``current.turn > previous.turn`` self-join, in one shuffle.
+    Pairs that share a turn are not part of each other's history.
     """
-    w = (Window.partitionBy("session_id").orderBy("turn_number")
-         .rangeBetween(Window.unboundedPreceding, -1))
-    prev = F.collect_list(F.struct(F.col("turn_number").alias("turn"), F.col("user_question").alias("question"),
-                                   F.col("agent_answer").alias("answer"))).over(w)
-    return pairs.withColumn("conversation_history",
-                            F.transform(F.array_sort(prev), lambda x: F.struct(x["question"].alias("question"),
-                                                                               x["answer"].alias("answer"),
-                                                                               x["turn"].alias("turn"))))
+    return with_history(history_blocks(pairs, block_turns))
 
 
 def to_messages(history: Column, question: Column, answer: Column) -> Column:

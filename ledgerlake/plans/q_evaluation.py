@@ -86,25 +86,34 @@ def j2(spark, d):
 
 @register("j3_qa_with_history", """
 select c.agent_trace_id, c.session_id, c.turn_number, count(p.turn_number) as n_prior,
-  coalesce(string_agg(cast(p.turn_number as varchar), ',' order by p.turn_number), '') as prior_turns
+  coalesce(string_agg(cast(p.turn_number as varchar), ',' order by p.turn_number), '') as prior_turns,
+  md5(coalesce(string_agg(p.user_question || chr(9) || p.agent_answer, chr(10)
+    order by p.turn_number, p.user_question, p.agent_answer), '')) as history_md5
 from pairs c left join pairs p on p.session_id = c.session_id and c.turn_number > p.turn_number
 group by c.agent_trace_id, c.session_id, c.turn_number, c.user_question, c.agent_answer""", ctes=[("pairs", PAIRS_SQL)])
 def j3(spark, d):
     h = EV.qa_with_history(_pairs(spark, d))
+    told = F.transform("conversation_history", lambda x: F.concat(x["question"], F.lit("\t"), x["answer"]))
     return h.select("agent_trace_id", "session_id", "turn_number",
                     F.size("conversation_history").cast("bigint").alias("n_prior"),
                     F.array_join(F.transform("conversation_history", lambda x: x["turn"].cast("string")), ",")
-                    .alias("prior_turns"))
+                    .alias("prior_turns"), F.md5(F.array_join(told, "\n")).alias("history_md5"))
 
 
 @register("f11_to_messages", """
-select c.agent_trace_id, c.session_id, c.turn_number, 2 * count(p.turn_number) + 2 as n_messages
+select c.agent_trace_id, c.session_id, c.turn_number, 2 * count(p.turn_number) + 2 as n_messages,
+  md5(coalesce(string_agg('user:' || p.user_question || chr(10) || 'assistant:' || p.agent_answer || chr(10), ''
+    order by p.turn_number, p.user_question, p.agent_answer), '')
+    || 'user:' || c.user_question || chr(10) || 'assistant:' || c.agent_answer || chr(10)) as messages_md5
 from pairs c left join pairs p on p.session_id = c.session_id and c.turn_number > p.turn_number
 group by c.agent_trace_id, c.session_id, c.turn_number, c.user_question, c.agent_answer""", ctes=[("pairs", PAIRS_SQL)])
 def f11(spark, d):
     h = EV.qa_with_history(_pairs(spark, d))
     msgs = EV.to_messages(F.col("conversation_history"), F.col("user_question"), F.col("agent_answer"))
-    return h.select("agent_trace_id", "session_id", "turn_number", F.size(msgs).cast("bigint").alias("n_messages"))
+    line = F.transform("msgs", lambda m: F.concat(m["role"], F.lit(":"), m["content"], F.lit("\n")))
+    return h.withColumn("msgs", msgs).select(
+        "agent_trace_id", "session_id", "turn_number", F.size("msgs").cast("bigint").alias("n_messages"),
+        F.md5(F.array_join(line, "")).alias("messages_md5"))
 
 
 @register("j4_new_pairs", f"""
