@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from ..operators import safety as S
 from ..session import checkpoint_path
 from ..sources import fixtures as X
-from ..sources.tables import read_table
+from ..sources.tables import read_table, stream_table
 from ..streaming import events as SE
 from ..streaming import sessions as RS
 from .oracle import sql_iso
@@ -192,8 +192,7 @@ select c.session_id, coalesce(any_value(u.names), '') as agent_names_used, coale
 from chat_history c left join used u on u.session_id = c.session_id group by c.session_id""", ctes=FIRST_SEEN)
 def r10(spark, d):
     """Running state of all sessions, kept by a stateful stream over the conversations read as a file stream."""
-    schema = read_table(spark, d, "conversations").schema
-    conv = spark.readStream.schema(schema).option("pathGlobFilter", "conversations.parquet").parquet(d)
+    conv = stream_table(spark, d, "conversations", read_table(spark, d, "conversations").schema)
     path = checkpoint_path(spark, f"sessions-{uuid.uuid4().hex}")
     RS.run_sessions(X.chat_messages(conv), path).awaitTermination()
     return RS.sessions_table(spark, path).read().select(

@@ -20,7 +20,7 @@ from pyspark.sql.types import DoubleType, LongType, StringType, StructField, Str
 from ..operators import safety as S
 from ..operators import telemetry as T
 from ..session import checkpoint_path
-from ..sources.tables import read_path_or_empty
+from ..sources.tables import read_path_or_empty, stream_path
 from .merge_table import MergeTable
 
 # Schema of the raw event files (the stream is schema-on-read in the reference; ours is fixed).
@@ -53,16 +53,14 @@ def read_events_stream(spark: SparkSession, data_dir: str, max_files_per_trigger
                        glob: str | None = "events.parquet") -> DataFrame:
     """The event stream with the agentic-event shape; event time as TIMESTAMP (watermarks need it).
 
-    ``glob`` selects the event files inside ``data_dir`` (the test layout keeps
-    one ``events.parquet`` next to other tables; a landing folder of event
-    files uses ``glob=None``).
+    ``glob`` selects the event files, or folders of them, inside ``data_dir``
+    (the test layout keeps one ``events.parquet`` next to other tables; a landing
+    folder of event files uses ``glob=None``).
     """
     r = spark.readStream.schema(RAW_EVENT_SCHEMA)
-    if glob:
-        r = r.option("pathGlobFilter", glob)
     if max_files_per_trigger:
         r = r.option("maxFilesPerTrigger", max_files_per_trigger)
-    raw = r.parquet(data_dir)
+    raw = r.parquet(stream_path(f"{data_dir.rstrip('/')}/{glob}") if glob else data_dir)
     return to_agentic(raw)
 
 

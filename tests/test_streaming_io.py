@@ -86,6 +86,15 @@ def test_session_state_stream_equals_batch_stats(spark, small_dir):
     assert _rows(got.select("session_id", "total_agents_used", "n_messages")) == _rows(want)
 
 
+def test_streams_read_tables_of_several_files(spark, small_dir, tmp_path):
+    import __spark_entry__ as ep
+    for name in ("conversations", "events"):
+        spark.read.parquet(f"{small_dir}/{name}.parquet").repartition(3).write.parquet(f"{tmp_path}/{name}.parquet")
+    for name in ("r10_session_state_stream", "r3s_events_by_category_stream"):
+        got = ep.queries()[name](spark, str(tmp_path))
+        assert _rows(got) == _rows(ep.queries()[name](spark, small_dir))
+
+
 def test_insert_missing_is_idempotent(spark):
     target = spark.createDataFrame([("a", 1)], "name string, v int")
     new = spark.createDataFrame([("a", 9), ("b", 2), ("b", 3)], "name string, v int")
