@@ -45,7 +45,9 @@ def requests(configs: DataFrame) -> DataFrame:
     missing query type means spending_by_category; a text that is no JSON object
     asks for nothing (query_type null).
     """
-    parsed = configs.withColumn("_c", F.from_json("query_config", CONFIG)) \
+    # reading a configuration takes long beside listing it, so that is dealt to all tasks
+    n = int(configs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    parsed = configs.repartition(n, "user_id", "query_config").withColumn("_c", F.from_json("query_config", CONFIG)) \
         .withColumn("_ok", F.try_parse_json("query_config").try_cast("map<string,variant>").isNotNull())
     f = F.col("_c.filters")
     cats = F.array_sort(F.array_distinct(F.filter(F.coalesce(f["categories"], F.array().cast("array<string>")), lambda c: c.isNotNull())))

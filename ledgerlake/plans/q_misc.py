@@ -107,7 +107,8 @@ select widget_id, config->>'$.title' as title, config->>'$.chartType' as chart_t
 from (select widget_id, replace(replace(config, '{{"title"', '{{{F6_EXTRA}"title"'), '"data":[]',
         '"height":30,"data":[{{"widget":' || cast(widget_id as varchar) || '}}]') as config from ai_widgets) d""")
 def f6(spark, d):
-    w = X.ai_widgets(spark, d)
+    # the list of users is short, and what is made of each takes long: it is dealt to all tasks
+    w = X.ai_widgets(spark, d).repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "widget_id")
     stored = F.replace(F.replace(F.col("config"), F.lit('{"title"'), F.lit("{" + F6_EXTRA + '"title"')),
                        F.lit('"data":[]'), F.lit('"height":30,"data":[]'))
     point = F.concat(F.lit('{"widget":'), F.col("widget_id").cast("string"), F.lit("}"))

@@ -41,3 +41,12 @@ def test_transactions_are_combined_before_the_shuffle(spark, small_dir):
                                   "t1_recent_history"])
 def test_per_key_top_k_is_limited_before_the_shuffle(spark, small_dir, name):
     assert "WindowGroupLimit" in _plan(spark, small_dir, name)
+
+
+def test_widget_work_is_dealt_to_all_tasks(spark, small_dir):
+    import __spark_entry__ as ep
+    from ledgerlake.operators import refresh as R
+    from ledgerlake.sources import fixtures as X
+    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    assert n > 1 and ep.queries()["f6_set_widget_data"](spark, small_dir).rdd.getNumPartitions() == n
+    assert R.requests(X.widget_queries(spark, small_dir)).rdd.getNumPartitions() == n
