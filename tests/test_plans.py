@@ -49,4 +49,5 @@ def test_widget_work_is_dealt_to_all_tasks(spark, small_dir):
     from ledgerlake.sources import fixtures as X
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
     assert n > 1 and ep.queries()["f6_set_widget_data"](spark, small_dir).rdd.getNumPartitions() == n
-    assert R.requests(X.widget_queries(spark, small_dir)).rdd.getNumPartitions() == n
+    asked = R.requests(X.widget_queries(spark, small_dir))
+    assert asked.rdd.getNumPartitions() == n and not asked.schema["set_id"].nullable
