@@ -19,6 +19,7 @@ import sys
 import unicodedata
 from array import array
 from functools import lru_cache
+from itertools import islice
 
 import ahocorasick
 import numpy as np
@@ -33,6 +34,8 @@ from .common import add_columns
 
 #: Distinct chunks of text whose ids a worker remembers: up to twice as many, the older half goes first.
 REMEMBERED = 150_000
+#: And those it still remembers while it waits for its next task.
+KEPT = 20_000
 
 
 class Vocabulary:
@@ -217,6 +220,15 @@ class Encoder:
                 pass
         return b"".join(map(self.pieces.__getitem__, self.split(text)))
 
+    def forget(self) -> None:
+        """Keep only the first of what was remembered last, which the commonest chunks are among."""
+        for known in (self.pieces, self.first, self.later):
+            known.older = {}
+            if len(known) > KEPT:
+                kept = dict(islice(known.items(), KEPT))
+                known.clear()
+                known.update(kept)
+
     def ids(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
         """All ids of the texts and the offsets of each text's ids."""
         packed = [self.packed(t) for t in texts]
@@ -287,6 +299,7 @@ def encode(df: DataFrame, rank_file: str, pattern: str, text: str = "text", ids:
         def step(column):
             values, offsets = own.ids(column.to_pylist())
             return [pa.ListArray.from_arrays(pa.array(offsets.astype(np.int32)), pa.array(values))]
+        step.end = own.forget
         return step
 
     return add_columns(df, [text], T.StructType([T.StructField(ids, T.ArrayType(T.IntegerType()))]), make)

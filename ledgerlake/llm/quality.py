@@ -93,6 +93,8 @@ def train_vectors(docs: DataFrame, text: str = "text") -> np.ndarray:
         if total.any():
             yield pa.RecordBatch.from_arrays([pa.array(np.arange(BLOCKS, dtype=np.int32)), pa.array(
                 [part.astype("<i8").tobytes() for part in np.array_split(total, BLOCKS)], pa.binary())], names=["block", "sums"])
+        batch = None
+        pa.default_memory_pool().release_unused()
 
     def added(batches):
         sums: dict[int, np.ndarray] = {}
@@ -111,26 +113,35 @@ def train_vectors(docs: DataFrame, text: str = "text") -> np.ndarray:
     return (table / np.maximum(length, 1)).astype(np.float32)
 
 
-def pool(docs: DataFrame, vectors: np.ndarray, text: str = "text", feature: str = "pooled") -> DataFrame:
-    """``docs`` with each whole text's mean word vector, mean shape vector and mean shape index vector."""
+def _pooled(vectors: np.ndarray):
+    """The function from a batch of whole texts to each one's mean word vector, mean shape vector and mean shape index vector."""
     plus, minus = _index_vectors()
     own = np.zeros((SHAPE_ROWS, DIM), np.float32)
     own[np.arange(SHAPE_ROWS), plus[WORD_ROWS:]] = 1
     own[np.arange(SHAPE_ROWS), minus[WORD_ROWS:]] = -1
 
+    def step(column):
+        word, shape, first = tokens(column)
+        out = np.zeros((len(column), 3 * DIM), np.float32)
+        for i, (a, b) in enumerate(zip(first[:-1].tolist(), first[1:].tolist())):
+            if b > a:
+                out[i, :DIM] = vectors[word[a:b]].mean(axis=0)
+                kinds, n = np.unique(shape[a:b], return_counts=True)
+                share = (n / (b - a)).astype(np.float32)
+                out[i, DIM:2 * DIM] = share @ vectors[kinds]
+                out[i, 2 * DIM:] = share @ own[kinds - WORD_ROWS]
+        return out
+    return step
+
+
+def pool(docs: DataFrame, vectors: np.ndarray, text: str = "text", feature: str = "pooled") -> DataFrame:
+    """``docs`` with each whole text's mean word vector, mean shape vector and mean shape index vector."""
     def make():
+        pooled = _pooled(vectors)
+
         def step(column):
-            word, shape, first = tokens(column)
-            out = np.zeros((len(column), 3 * DIM), np.float32)
-            for i, (a, b) in enumerate(zip(first[:-1].tolist(), first[1:].tolist())):
-                if b > a:
-                    out[i, :DIM] = vectors[word[a:b]].mean(axis=0)
-                    kinds, n = np.unique(shape[a:b], return_counts=True)
-                    share = (n / (b - a)).astype(np.float32)
-                    out[i, DIM:2 * DIM] = share @ vectors[kinds]
-                    out[i, 2 * DIM:] = share @ own[kinds - WORD_ROWS]
             offsets = np.arange(len(column) + 1, dtype=np.int32) * 3 * DIM
-            return [pa.ListArray.from_arrays(pa.array(offsets), pa.array(out.reshape(-1)))]
+            return [pa.ListArray.from_arrays(pa.array(offsets), pa.array(pooled(column).reshape(-1)))]
         return step
 
     return add_columns(docs, [text], T.StructType([T.StructField(feature, T.ArrayType(T.FloatType()))]), make)
@@ -209,13 +220,14 @@ def classify(docs: DataFrame, labels: DataFrame, folds: int = 5, threshold: floa
         if sample else None
 
     def make():
+        pooled = _pooled(vectors)
+
         def step(column):
-            x = column.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(column), -1)
+            x = pooled(column).astype(np.float64)      # pooled and scored in one step: one Python worker a task
             return [pa.array(network.score(x) if network else np.full(len(x), 0.5))]
         return step
 
     added = ("held_out", "score", "predicted", "pooled")
-    pooled = pool(docs.drop(*added), vectors, text)
-    scored = add_columns(pooled, ["pooled"], T.StructType([T.StructField("score", T.DoubleType())]), make).drop("pooled")
+    scored = add_columns(docs.drop(*added), [text], T.StructType([T.StructField("score", T.DoubleType())]), make)
     return scored.withColumn("held_out", fold(F.col(id), folds) == 0) \
         .withColumn("predicted", (F.col("score") >= threshold).cast("int"))

@@ -1,4 +1,4 @@
-"""Learning from all documents."""
+"""Learning from all documents, and what Python workers hold between tasks."""
 
 from __future__ import annotations
 
@@ -8,7 +8,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from ledgerlake.llm import lm
+from ledgerlake.llm import bpe, lm, quality
 from ledgerlake.llm.queries import RANKS
 
 WORDS = "alpha beta gamma delta Epsilon zeta42 éta theta-iota kappa l'm ünder nu xi <omicron> pi rho".split()
@@ -71,3 +71,19 @@ def test_words_encoded_together_have_the_ids_they_have_alone():
     assert [np.frombuffer(p, "<i4").tolist() for p in got] == [subwords.encode(" " + w.decode()) for w in odd]
     subwords.forget()
     assert subwords.all(odd) == got
+
+
+def test_scores_and_pooled_columns_of_the_classifier_come_from_one_python_step(spark):
+    docs = spark.createDataFrame(list(enumerate(texts(20, 5))), "doc_id long, text string")
+    labels = spark.createDataFrame([(i, i % 2) for i in range(20)], "doc_id long, quality int")
+    plan = quality.classify(docs, labels)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("MapInArrow") == 1
+
+
+def test_encoder_forgets_between_tasks():
+    own = bpe.Encoder(lines(), public_tokenizers.PATTERN, "")
+    text = " ".join(f"w{i}" for i in range(3 * bpe.KEPT))
+    ids = own.packed(text)
+    own.forget()
+    assert all(len(d) <= bpe.KEPT and not d.older for d in (own.pieces, own.first, own.later))
+    assert own.packed(text) == ids
