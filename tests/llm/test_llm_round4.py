@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import time
+
 import numpy as np
 import public_tokenizers
 import pyarrow as pa
@@ -87,3 +89,60 @@ def test_encoder_forgets_between_tasks():
     own.forget()
     assert all(len(d) <= bpe.KEPT and not d.older for d in (own.pieces, own.first, own.later))
     assert own.packed(text) == ids
+
+
+@pytest.mark.parametrize("kind", [np.float64, np.float32])
+@pytest.mark.parametrize("sharper", [1, 60])
+def test_step_agrees_with_differences_of_its_loss(kind, sharper):
+    """Unlikely ids, whose probability single precision can't hold, have their full loss; so do windows with places not held."""
+    rng = np.random.default_rng(7)
+    kinds = np.r_[rng.integers(0, 6, 29), 6]
+    model = lm.Attention(kinds)
+    for n in ("far", "b", "c"):
+        model.w[n] = rng.normal(0, 0.3, model.w[n].shape)
+    model.w = {n: (v * (sharper if n in ("q", "out") else 1)).astype(kind) for n, v in model.w.items()}
+    size = lm.CONTEXT + lm.STRIDE
+    x, y, held = rng.integers(0, 30, (3, size)), rng.integers(0, 30, (3, size)), np.ones((3, size), bool)
+    held[1, 20:], held[2, :7] = False, False
+    loss, g = model.step(x, y, held)
+
+    def plain(w):
+        total = 0.0
+        for xs, ys, hs in zip(x, y, held):
+            e = w["e"][xs]
+            for i in np.flatnonzero(hs):
+                seen = [j for j in range(i + 1) if hs[j]]
+                a = np.array([e[i] @ w["q"] @ (e[j] @ w["k"]) / np.sqrt(lm.DIM) + w["far"][i - j] for j in seen])
+                a = np.exp(a - a.max())
+                u = np.maximum(e[i] @ w["own"] + (a / a.sum()) @ e[seen] @ w["v"] @ w["seen"] + w["b"], 0)
+                z = u @ w["out"] + w["c"]
+                total += z.max() + np.log(np.exp(z - z.max()).sum()) - z[kinds[ys[i]]]
+        return total
+
+    wide = {n: v.astype(np.float64) for n, v in model.w.items()}
+    assert loss == pytest.approx(plain(wide), rel=1e-9 if kind is np.float64 else 1e-4)
+    if kind is np.float64 and sharper == 1:
+        of_ids = np.zeros_like(wide["e"])
+        np.add.at(of_ids, x[held], g["e"][held.ravel()])
+        for n, d in (g | {"e": of_ids}).items():
+            for at in rng.choice(d.size, min(4, d.size), replace=False):
+                low, high = ({**wide, n: wide[n] + by * (np.arange(d.size) == at).reshape(d.shape)} for by in (-1e-5, 1e-5))
+                assert d.ravel()[at] == pytest.approx((plain(high) - plain(low)) / 2e-5, rel=1e-4, abs=1e-5)
+
+
+def test_gradients_take_little_more_than_scoring():
+    """They took over five times as long, a third of that for adding to the embeddings."""
+    rng = np.random.default_rng(8)
+    kinds = rng.integers(0, 84, 50_000)
+    model = lm.Attention(kinds)
+    ready, model.w = model.ready(), {n: v.astype(np.float32) for n, v in model.w.items()}
+    ids, starts = rng.integers(0, len(kinds), 80_000).astype(np.int32), np.arange(0, 80_001, 800)
+    dense, rows = np.zeros(2 + sum(v.size for n, v in model.w.items() if n != "e")), np.zeros((lm.DIM + 1, len(kinds)))
+
+    def took(f, *a):
+        began = time.thread_time()
+        f(*a)
+        return time.thread_time() - began
+    a, b = (min(x) for x in zip(*[(took(lm.add_gradients, model, ids, starts, dense, rows), took(lm.score, ready, ids, starts)) for _ in range(5)]))
+    assert dense[0] == rows[lm.DIM].sum() == 5 * (len(ids) - 100)
+    assert a < 4 * b
